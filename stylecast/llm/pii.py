@@ -117,8 +117,10 @@ class Rewritten:
         return s, e
 
     def touched(self, start: int, end: int) -> bool:
+        """Whether anything in text[start:end] was rewritten or left out."""
         a, b = self._piece(start), self._piece(end - 1)
-        return not all(self.plain[a : b + 1])
+        s, e = self.source(start, end)
+        return not all(self.plain[a : b + 1]) or e - s != end - start
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Applies (start, end, replacement) in order of place, without overlap."""
