@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, pii, quality, tokens
+from . import bpe, chat, decontaminate, lines, pii, quality, tokens
 from .common import table
 
 
@@ -22,10 +22,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), op4_tokenizer())
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("against")
 
@@ -35,5 +43,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_bpe_round_trip, op8_quality_rules, op9_pii)}
-ORACLES: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op3_decontamination, op4_bpe_round_trip, op5_chat_format, op8_quality_rules, op9_pii, op10_line_dedup)
+}
+ORACLES: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op10_line_dedup": lines.LINES_SQL}
