@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, lines, pii, quality, tokens
+from . import bpe, chat, decontaminate, licences, lines, pii, quality, substrings, tokens
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +38,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    return licences.scanned(docs, licences.template_table(spark))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("against")
 
@@ -49,6 +58,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op3_decontamination, op4_bpe_round_trip, op5_chat_format, op8_quality_rules, op9_pii, op10_line_dedup)
+    for f in (op1_token_counts, op2_substring_dedup, op3_decontamination, op4_bpe_round_trip, op5_chat_format, op6_licence_scan, op8_quality_rules, op9_pii, op10_line_dedup)
 }
-ORACLES: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op10_line_dedup": lines.LINES_SQL}
+ORACLES: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op6_licence_scan": licences.licence_sql(), "op10_line_dedup": lines.LINES_SQL}
