@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, licences, lines, pii, quality, substrings, tokens
+from . import bpe, chat, decontaminate, jaccard, licences, lines, pii, quality, substrings, tokens
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(docs, licences.template_table(spark))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("against")
 
@@ -58,6 +62,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_substring_dedup, op3_decontamination, op4_bpe_round_trip, op5_chat_format, op6_licence_scan, op8_quality_rules, op9_pii, op10_line_dedup)
+    for f in (op1_token_counts, op2_substring_dedup, op3_decontamination, op4_bpe_round_trip, op5_chat_format, op6_licence_scan, op7_jaccard_join, op8_quality_rules, op9_pii, op10_line_dedup)
 }
 ORACLES: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op6_licence_scan": licences.licence_sql(), "op10_line_dedup": lines.LINES_SQL}
