@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 PART_CHARS = 2048
 #: Characters of a text from which its parts are spread over tasks, and of such a part.
 SPREAD_CHARS = 1 << 15
+#: Units of text whose ids a worker remembers before it starts anew.
+REMEMBERED = 200_000
 #: Tokens that must agree at each end of a window.
 AGREE = 2
+_BLANK_PAIR = re.compile(r"\s ")
 
 
 class TreeCoder:
@@ -46,6 +50,8 @@ class TreeCoder:
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("a byte-level BPE file without normaliser and prefix space is needed")
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.splits = not any(" " in t for t in self.special) and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        self.known: dict[str, bytes] = {}
         size = self.lib.get_vocab_size()
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         other = [b for b in range(256) if b not in set(plain)]
@@ -69,7 +75,26 @@ class TreeCoder:
         return self.parts(text[:k], most) + self.parts(text[k:], most)
 
     def leaves(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.int64) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        """Token ids of each part, from those of its units.
+
+        A byte-level pre-token never runs from a non-blank into a blank, so that a part may be
+        split before each single blank; the units' ids are remembered, as most of them recur.
+        """
+        split = [self._units(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*split).difference(self.known))
+        if new:
+            found = self.lib.encode_batch_fast(new, add_special_tokens=False)
+            self.known.update((u, np.asarray(e.ids, "<u4").tobytes()) for u, e in zip(new, found, strict=True))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, u)), "<u4").astype(np.int64) for u in split]
+
+    def _units(self, text: str) -> list[str]:
+        if not self.splits or _BLANK_PAIR.search(text):
+            return [text] if text else []
+        first, *rest = text.split(" ")
+        units = [" " + u for u in rest]
+        return [first, *units] if first else units
 
     def joined(self, sides: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
         """The tokens of neighbouring parts together: level by level, two by two."""
@@ -134,9 +159,32 @@ def _slices(texts: list[str], most: int = 1 << 19):
 
 def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """Per row: the id as doc_id, the text, its token ids (array of int)."""
+    return _coded(docs, tokenizer_path, id_col, text_col, spread_chars, "text string, ids array<int>", _with_text)
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", spread_chars: int = SPREAD_CHARS) -> DataFrame:
+    """Per row: doc_id, n_tokens, SHA-256 of the ids (little-endian 32-bit) and of the decoded text."""
+    return _coded(docs, tokenizer_path, id_col, text_col, spread_chars, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
+
+
+def _with_text(c: TreeCoder, texts: list[str], ids: list[np.ndarray]) -> list:
+    import pyarrow as pa
+
+    return [pa.array(texts, pa.string()), _lists(ids)]
+
+
+def _digests(c: TreeCoder, texts: list[str], ids: list[np.ndarray]) -> list:
+    import pyarrow as pa
+
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.astype("<u4").tobytes()) for x in ids], pa.string()), pa.array([sha(c.decode(x).encode()) for x in ids], pa.string())]
+
+
+def _coded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, spread_chars: int, fields: str, finish) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(x.split()[0] for x in fields.split(", "))]
     long = F.length("text") > spread_chars
 
     def whole(batches):
@@ -146,17 +194,16 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for s in _slices(texts):
-                ids = c.encode(texts[s])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], batch.column(1)[s.start : s.stop], _lists(ids)], names=["doc_id", "text", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], *finish(c, texts[s], c.encode(texts[s]))], names=names)
 
     def spread(batches):
         import pyarrow as pa
 
         c = coder(tokenizer_path)
         for batch in batches:
-            for row, doc_id, text in zip(batch.column(2).to_pylist(), batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for k, (row, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 parts = c.parts(text, spread_chars)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts), pa.int64()), pa.array([doc_id.as_py()] * len(parts), batch.column(0).type), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["row", "doc_id", "place", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts), pa.int64()), batch.column(0).take(pa.array([k] * len(parts))), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["row", "doc_id", "place", "text"])
 
     def encode_parts(batches):
         import pyarrow as pa
@@ -175,15 +222,15 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
             for k in range(batch.num_rows):
                 parts = batch.column(1)[k].as_py()
                 ids = c.joined([(p["text"].encode(), np.asarray(p["ids"], np.int64)) for p in parts])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], pa.array(["".join(p["text"] for p in parts)], pa.string()), _lists([ids])], names=["doc_id", "text", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], *finish(c, ["".join(p["text"] for p in parts)], [ids])], names=names)
 
-    out = f"doc_id {kind}, text string, ids array<int>"
-    short = rows.where(~long).mapInArrow(whole, out)
+    short = rows.where(~long).mapInArrow(whole, f"doc_id {kind}, {fields}")
+    # the row number tells rows apart that share an id; it is set once, as the parts are made
     parts = rows.where(long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(spread, f"row long, doc_id {kind}, place int, text string")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts.repartition(n, "row", "place").mapInArrow(encode_parts, f"row long, doc_id {kind}, place int, text string, ids array<int>")
     joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("place", "text", "ids"))).alias("parts"))
-    return short.unionByName(joined.select("doc_id", "parts").mapInArrow(join_parts, out))
+    return short.unionByName(joined.select("doc_id", "parts").mapInArrow(join_parts, f"doc_id {kind}, {fields}"))
 
 
 def _lists(ids: list[np.ndarray]):
@@ -191,40 +238,3 @@ def _lists(ids: list[np.ndarray]):
 
     flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)), pa.array(flat))
-
-
-def decoded(rows: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Adds what the ids decode to, as decoded."""
-
-    def decode(batches):
-        import pyarrow as pa
-
-        c = coder(tokenizer_path)
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            for k in range(batch.num_rows):
-                text = c.decode(ids[k].values.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([x[k : k + 1] for x in batch.columns] + [pa.array([text], pa.string())], names=[*batch.schema.names, "decoded"])
-
-    return rows.mapInArrow(decode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded string")
-
-
-def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", spread_chars: int = SPREAD_CHARS) -> DataFrame:
-    """Per row: doc_id, n_tokens, SHA-256 of the ids (little-endian 32-bit) and of the decoded text."""
-
-    def digest(batches):
-        import pyarrow as pa
-
-        c = coder(tokenizer_path)
-        for batch in batches:
-            n, a, b = [], [], []
-            flat, offs = batch.column(1).values.to_numpy(zero_copy_only=False), batch.column(1).offsets.to_numpy()
-            for i, j in zip(offs, offs[1:], strict=False):
-                ids = flat[i:j]
-                n.append(len(ids))
-                a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                b.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = encoded(docs, tokenizer_path, id_col, text_col, spread_chars).select("doc_id", "ids")
-    return rows.mapInArrow(digest, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
