@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under a name, with DuckDB SQL that gives the same rows."""
+
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle is not None:
+            from .plans.fixtures import sql_with
+
+            ORACLES[name] = sql_with(oracle)
+        return f
+
+    return register
+
+
+for _module in ("keys", "dates", "joins", "analysis", "festival", "panel", "planning", "similarity", "report", "state", "evaluation", "design", "model", "lots", "streams"):
+    try:
+        importlib.import_module(f".plans.{_module}", __package__)
+    except ModuleNotFoundError as e:
+        if e.name != f"{__package__}.plans.{_module}":
+            raise
