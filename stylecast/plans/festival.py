@@ -32,7 +32,7 @@ def _effects(spark):
 
 
 def daily(spark, sf):
-    return sales(spark, sf).groupBy("day").agg(F.sum("qty").alias("units"))
+    return sales(spark, sf).groupBy("day").agg(F.sum("qty").alias("units")).cache()  # a row a day, read several times
 
 
 @query("f1_windows", "SELECT * FROM windows_v")
