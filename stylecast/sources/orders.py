@@ -90,8 +90,8 @@ def attribute_sheet(rows: DataFrame, style_col: str, order_col: str, columns: tu
 
 def materials(bom: DataFrame, group_col: str = "ARTICLE_GROUP", used_col: str = "USED_IN", suffixes: tuple[str, ...] = ()) -> DataFrame:
     """design, material: each design of a comma list with its material group; section suffixes are cut off."""
-    design = F.upper(F.trim(F.explode(F.split(F.col(used_col), ","))))
-    rows = bom.select(F.upper(F.trim(F.col(group_col))).alias("material"), design.alias("design")).where((F.col("design") != "") & (F.col("material") != ""))
+    rows = bom.select(F.upper(F.trim(F.col(group_col))).alias("material"), F.explode(F.split(F.col(used_col), ",")).alias("design"))
+    rows = rows.withColumn("design", F.upper(F.trim("design"))).where((F.col("design") != "") & (F.col("material") != ""))
     if suffixes:
         rows = rows.withColumn("design", F.regexp_replace("design", rf"[-_ ]?(?:{'|'.join(suffixes)})$", ""))
     return rows.distinct()
