@@ -27,3 +27,49 @@ def style_filter(rows: DataFrame, styles: DataFrame, key: str = "style", **wante
             kept = kept.where(F.upper(F.trim(F.col(column))) == value.strip().upper())
     kept = kept.select(F.upper(F.trim("style")).alias("_style")).distinct()
     return rows.join(kept, F.upper(F.trim(rows[key])) == kept["_style"], "left_semi")
+
+
+def rebucketed(weekly: DataFrame, key: str = "id") -> DataFrame:
+    """Monday weeks as report weeks: a seventh a day, summed, rounded: id, chunk_start, qty.  weekly: id, week, qty."""
+    from ..functions.calendar import chunk_start
+
+    days = weekly.withColumn("day", F.explode(F.sequence("week", F.date_add("week", 6))))
+    out = days.groupBy(key, chunk_start(F.col("day")).alias("chunk_start")).agg(F.sum(F.col("qty") / 7).alias("q"))
+    return out.select(key, "chunk_start", F.bround(F.bround("q", 6), 0).cast("long").alias("qty"))
+
+
+def cells(actual: DataFrame, forecast: DataFrame, today, key: str = "id") -> DataFrame:
+    """One row a cell: id, chunk_start, chunk_end, actual, forecast, state (completed, running, upcoming).
+
+    actual: id, chunk_start, units.  forecast: id, chunk_start, qty.
+    """
+    from ..functions.calendar import chunk_end
+
+    rows = actual.join(forecast, [key, "chunk_start"], "full").withColumn("chunk_end", chunk_end(F.col("chunk_start")))
+    state = F.when(F.col("chunk_end") < F.lit(today), "completed").when(F.col("chunk_start") <= F.lit(today), "running").otherwise("upcoming")
+    return rows.select(key, "chunk_start", "chunk_end", F.coalesce("units", F.lit(0)).alias("actual"), F.coalesce("qty", F.lit(0)).alias("forecast"), state.alias("state"))
+
+
+def totals(cells_: DataFrame, key: str = "id") -> DataFrame:
+    """Sums by month and id, by month, by id, and in all; TOTAL stands for all of a side."""
+    rows = cells_.withColumn("month", F.date_format("chunk_start", "yyyy-MM"))
+    out = rows.groupingSets([[F.col(key), F.col("month")], [F.col("month")], [F.col(key)], []], key, "month").agg(F.sum("actual").alias("actual"), F.sum("forecast").alias("forecast"))
+    return out.fillna("TOTAL", [key, "month"])
+
+
+def accuracy(actual, forecast, finished):
+    """1 - |a - f| / a, held between 0 and 1; only for finished periods with sales."""
+    return F.when(finished & (actual > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(actual - forecast) / actual)))
+
+
+def frozen_view(cells_: DataFrame, frozen: DataFrame, key: str = "id") -> DataFrame:
+    """Forecasts replaced by frozen ones; without one, 0 and a flag unless the period is completed.  frozen: id, chunk_start, frozen."""
+    rows = cells_.join(frozen, [key, "chunk_start"], "left")
+    done = F.col("state") == "completed"
+    return rows.withColumn("not_frozen", F.col("frozen").isNull() & ~done).withColumn("forecast", F.when(F.col("frozen").isNotNull(), F.col("frozen")).when(done, F.col("forecast")).otherwise(0)).drop("frozen")
+
+
+def wide(cells_: DataFrame, value: str, columns: list[str], key: str = "id") -> DataFrame:
+    """One row an id, a column a period (given as dates in text), for export."""
+    rows = cells_.withColumn("_p", F.date_format("chunk_start", "yyyy-MM-dd"))
+    return rows.groupBy(key).pivot("_p", columns).agg(F.sum(value)).fillna(0)
