@@ -25,11 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of a part that is encoded at once.
-PART_CHARS = 2048
+PART_CHARS = 4096
 #: Characters of a text from which its parts are spread over tasks, and of such a part.
 SPREAD_CHARS = 1 << 15
 #: Units of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Tokens that must agree at each end of a window.
 AGREE = 2
 _BLANK_PAIR = re.compile(r"\s ")
