@@ -238,3 +238,19 @@ def _lists(ids: list[np.ndarray]):
 
     flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)), pa.array(flat))
+
+
+def decoded(rows: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Adds what the ids decode to, as decoded."""
+
+    def decode(batches):
+        import pyarrow as pa
+
+        c = coder(tokenizer_path)
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            for k in range(batch.num_rows):
+                text = c.decode(ids[k].values.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*(x[k : k + 1] for x in batch.columns), pa.array([text], pa.string())], names=[*batch.schema.names, "decoded"])
+
+    return rows.mapInArrow(decode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded string")
