@@ -4,9 +4,10 @@ A gear hash rolls over the UTF-8 bytes of each text; where its upper bits vanish
 ends.  As only the last bytes decide, an insertion moves no cut but those next to it, and
 a passage that stands in several documents falls into the same chunks in all of them but
 for its two ends.  Chunks are counted by digest; those that repeat are tied to the
-document where they occur first; consecutive chunks of one alignment form a run.  Each run
-is then extended byte by byte in both documents (which also verifies it) and reported if
-it spans ``min_words`` words.
+document where they occur first; consecutive chunks of one alignment form a run.  A repeat
+can't reach past the chunks next to a region of repeated ones, which bounds its words from
+above; regions that can't hold ``min_words`` go.  The runs of the others are extended byte
+by byte in both documents (which also verifies them) and reported if they span that many.
 
 Only repeats across documents are reported.  Defined cases: a null text counts as an empty
 one; texts without a cut are one chunk; equal rows count once; other columns are ignored.
@@ -17,10 +18,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut, span_hashes, steps, string_buffer
+from .common import cut, span_hashes, steps, string_buffer, word_spans
 
 #: Bytes that decide on a cut; bits that must vanish (chunks of 2**CUT_BITS bytes on average); most bytes of a chunk.
 REACH, CUT_BITS, MOST_BYTES = 16, 5, 1024
+#: Hash places of wanted documents: what is broadcast to leave out other texts before they are shuffled has no more rows.
+PLACES = 1 << 18
 #: Words of a repeated passage at least.
 MIN_WORDS = 50
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, np.uint64).astype(np.uint32)
@@ -31,7 +34,7 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """Start and end of each chunk of the texts of a step."""
     h = np.zeros(len(data), np.uint32)
     g = _GEAR[data]
-    for k in range(REACH):
+    for k in range(min(REACH, len(g))):
         h[k:] += g[: len(g) - k] << np.uint32(k)
     ends = np.flatnonzero((h & _MASK) == 0) + 1
     of = np.searchsorted(offsets, ends, side="left") - 1
@@ -49,7 +52,7 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a chunk: digest, doc_id, k (its number in the text), at (first byte), n (bytes)."""
+    """One row a chunk: digest, doc_id, k (its number in the text), at (first byte), n (bytes), words (that begin in it), beside (in the chunks next to it)."""
 
     def split(batches):
         import pyarrow as pa
@@ -64,35 +67,88 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 starts, ends = chunk_bounds(step, place)
                 of = np.searchsorted(place, starts, side="right") - 1
                 first = np.searchsorted(starts, place[:-1], side="left")
+                begun = np.zeros(len(step) + 1, np.int64)
+                begun[word_spans(step, place[1:])[0] + 1] = 1
+                begun = np.cumsum(begun)
+                words = begun[ends] - begun[starts]
+                padded = np.r_[0, words, 0]
+                same = np.r_[False, of[1:] == of[:-1], False]
+                beside = np.where(same[:-1], padded[:-2], 0) + np.where(same[1:], padded[2:], 0)
                 digest = span_hashes(step, starts, ends, fold_case=False).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest), batch.column(0)[i:j].take(pa.array(of)), pa.array((np.arange(len(of)) - first[of]).astype(np.int32)), pa.array((starts - place[of]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))],
-                    names=["digest", "doc_id", "k", "at", "n"],
+                    [pa.array(digest), batch.column(0)[i:j].take(pa.array(of)), pa.array((np.arange(len(of)) - first[of]).astype(np.int32)), pa.array((starts - place[of]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(beside.astype(np.int32))],
+                    names=["digest", "doc_id", "k", "at", "n", "words", "beside"],
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(split, f"digest long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, k int, at int, n int")
+    return rows.mapInArrow(split, f"digest long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, k int, at int, n int, words int, beside int")
 
 
-def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Runs of repeated chunks and where they stand first: doc_id, at, n, first_id, first_at."""
-    all_ = chunks(docs, id_col, text_col)
-    repeated = all_.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("digest")
-    members = cut(all_.join(repeated.hint("shuffle_hash"), "digest"))
-    first = members.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    dup = members.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    dup = dup.select("doc_id", "k", "at", "n", F.col("first.doc_id").alias("first_id"), F.col("first.at").alias("first_at")).withColumn("shift", F.col("at") - F.col("first_at"))
+def _repeats(rows: DataFrame) -> DataFrame:
+    """Chunks that an earlier document has too: doc_id, k, at, n, words, beside, first_id, first_at.
+
+    One shuffle by digest; each task runs through its sorted rows, of which a digest's first is the earliest.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["digest", "doc_id", "k", "at", "n", "words", "beside"]
+
+    def groups(cols):
+        import pyarrow as pa
+
+        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+        first = np.repeat(starts, np.diff(np.r_[starts, len(cols[0])]))
+        kept = cols[1] != cols[1][first]
+        return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (*cols[1:], cols[1][first], cols[3][first])], names=[*names[1:], "first_id", "first_at"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last digest may go on
+            if last:
+                yield groups([x[:last] for x in cols])
+            # of a digest that goes on, only its first row is still needed once the others are told
+            if len(cols[0]) - last > 1:
+                yield groups([x[last:] for x in cols])
+            held = [x[last : last + 1] for x in cols]
+
+    sorted_ = rows.select(*names).repartition(parts, "digest").sortWithinPartitions("digest", "doc_id", "at")
+    return sorted_.mapInArrow(run, f"doc_id {kind}, k int, at int, n int, words int, beside int, first_id {kind}, first_at int")
+
+
+def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Runs of repeated chunks that may belong to a long repeat, and where they stand first: doc_id, at, n, first_id, first_at."""
+    dup = _repeats(chunks(docs, id_col, text_col).where(F.col("doc_id").isNotNull()))
+    in_text = Window.partitionBy("doc_id").orderBy("k")
+    dup = dup.withColumn("region", F.col("k") - F.row_number().over(in_text))
+    region = Window.partitionBy("doc_id", "region")
+    # words that begin in the region, those of the chunks beside it, and one that begins before
+    most = F.sum("words").over(region) + 2 * F.max("beside").over(region) + 1
+    dup = dup.withColumn("most", most).where(F.col("most") >= min_words)
+    dup = dup.withColumn("shift", F.col("at") - F.col("first_at"))
     by_place = Window.partitionBy("doc_id", "first_id", "shift").orderBy("k")
     dup = dup.withColumn("run", F.col("k") - F.row_number().over(by_place))
-    out = dup.groupBy("doc_id", "first_id", "shift", "run").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min("first_at").alias("first_at"))
+    out = dup.groupBy("doc_id", "region", "first_id", "shift", "run").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min("first_at").alias("first_at"), (F.sum("words") + 2 * F.max("beside") + 1).alias("most"))
+    # runs that are long enough by themselves, and the longest of each region
+    longest = F.max("n").over(Window.partitionBy("doc_id", "region"))
+    out = out.withColumn("longest", longest).where((F.col("most") >= min_words) | (F.col("n") == F.col("longest")))
     return out.select("doc_id", "at", "n", "first_id", "first_at")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Passages that stand in an earlier document too: doc_id, start, end (UTF-8 bytes), n_words, first_doc_id, first_start."""
-    found = cut(runs(docs, id_col, text_col))
+    # a pair's runs together, so that its texts travel once
+    found = cut(runs(docs, id_col, text_col, min_words).groupBy("doc_id", "first_id").agg(F.collect_list(F.struct("at", "n", "first_at")).alias("runs")))
     texts = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
     wanted = found.select(F.explode(F.array("doc_id", "first_id")).alias("id_")).distinct()
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
+    places = wanted.select(place("id_").alias("place")).distinct()
+    texts = texts.withColumn("place", place("id_")).join(F.broadcast(places), "place", "left_semi").select("id_", "text_")
     texts = texts.join(wanted, "id_", "left_semi").dropDuplicates(["id_"])
     rows = found.join(texts.select(F.col("id_").alias("doc_id"), F.col("text_").alias("text")), "doc_id").join(texts.select(F.col("id_").alias("first_id"), F.col("text_").alias("first_text")), "first_id")
     kind = found.schema["doc_id"].dataType.simpleString()
@@ -101,21 +157,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         import pyarrow as pa
 
         for batch in batches:
-            cols = {n: batch.column(batch.schema.get_field_index(n)) for n in ("at", "n", "first_at", "text", "first_text")}
-            (a_data, a_offs), (b_data, b_offs) = string_buffer(cols["text"]), string_buffer(cols["first_text"])
-            start, end, words, first = [], [], [], []
-            for k, (at, n, first_at) in enumerate(zip(*(cols[c].to_pylist() for c in ("at", "n", "first_at")), strict=True)):
+            col = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
+            (a_data, a_offs), (b_data, b_offs) = string_buffer(col("text")), string_buffer(col("first_text"))
+            of, start, end, words, first = [], [], [], [], []
+            for k, found_ in enumerate(col("runs").to_pylist()):
                 a, b = a_data[a_offs[k] : a_offs[k + 1]], b_data[b_offs[k] : b_offs[k + 1]]
-                s, e = _extended(a, b, at, first_at, n)
-                start.append(s)
-                end.append(e)
-                words.append(len(a[s:e].tobytes().split()))
-                first.append(s - at + first_at)
+                for x in found_:
+                    s, e = _extended(a, b, x["at"], x["first_at"], x["n"])
+                    of.append(k)
+                    start.append(s)
+                    end.append(e)
+                    words.append(len(a[s:e].tobytes().split()))
+                    first.append(s - x["at"] + x["first_at"])
+            at = pa.array(of, pa.int32())
             names = ["doc_id", "start", "end", "n_words", "first_doc_id", "first_start"]
-            arrays = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(words, pa.int64()), batch.column(batch.schema.get_field_index("first_id")), pa.array(first, pa.int64())]
+            arrays = [col("doc_id").take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(words, pa.int64()), col("first_id").take(at), pa.array(first, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    out = rows.select("doc_id", "first_id", "at", "n", "first_at", "text", "first_text").mapInArrow(extend, f"doc_id {kind}, start long, end long, n_words long, first_doc_id {kind}, first_start long")
+    out = rows.select("doc_id", "first_id", "runs", "text", "first_text").mapInArrow(extend, f"doc_id {kind}, start long, end long, n_words long, first_doc_id {kind}, first_start long")
     return out.where(F.col("n_words") >= min_words).distinct()
 
 
@@ -140,6 +199,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The documents with all their columns, repeated passages cut out of the text."""
     spans = repeated_passages(docs, id_col, text_col, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans_")).withColumnRenamed("doc_id", "doc_id_")
     rows = docs.join(spans, docs[id_col].eqNullSafe(spans["doc_id_"]), "left")
+    columns = docs.columns
 
     def cut_out(batches):
         import pyarrow as pa
@@ -153,6 +213,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     i = max(i, x["end"])
                 out.append(text if not spans else b"".join([*kept, data[i:]]).decode())
             k = batch.schema.get_field_index(text_col)
-            yield batch.set_column(k, text_col, pa.array(out, pa.string())).select(docs.columns)
+            yield batch.set_column(k, text_col, pa.array(out, pa.string())).select(columns)
 
     return rows.select(*(docs[c] for c in docs.columns), "spans_").mapInArrow(cut_out, docs.schema)

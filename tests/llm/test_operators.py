@@ -141,7 +141,7 @@ def test_chat(spark):
 
 
 def test_licences(spark, odd):
-    rows = [(1, "Released under the MIT License.", "a/b/LICENSE"), (2, "some text\nof prose", "a/b/c/x"), (3, "prose about nothing much at all", "z/x"), (4, "intro\n\n\n\nLicensed under the Apache License, Version 2.0.\nmore", "a/b/y"), (5, None, None)]
+    rows = [(1, "Released under the MIT License.", "a/b/LICENSE"), (2, "some text\nof prose", "a/b/c/x"), (3, "prose about nothing much at all", "z/x"), (4, "intro\n\n\n\nLicensed under the Apache License, Version 2.0.\n" + "more prose " * 40, "a/b/y"), (5, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, path string")
     got = {r.doc_id: (r.licence, r.origin, r.licence_dir) for r in licences.scanned(df, licences.template_table(spark)).collect()}
     assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "a/b"), 3: (None, None, None), 4: ("Apache-2.0", "own", None), 5: (None, None, None)}
