@@ -3,8 +3,9 @@
 A document is the set of its 5-word shingles, held as sorted 64-bit hashes.  Documents
 with equal sets form a class, and only the classes' representatives are compared.  Two
 sets of similarity 0.8 or more have sizes within a fifth of each other and share one of
-the first fifth of their sorted shingles; sets that share one of these make a tile.  A
-tile is sorted by size, so that each set only meets the band of sizes it can be similar
+the first fifth of their shingles, in any order that is the same for all; sets that share
+one of these make a tile.  In the order, shingles that many documents begin with come last
+(how well these are known only bears on speed); the others go by their hash.  A tile is sorted by size, so that each set only meets the band of sizes it can be similar
 to, and a parity bitmap of the set bounds the overlap from above: each bit that differs is
 a shingle that only one of both has.  What passes is verified on the whole sorted arrays.
 
@@ -31,6 +32,8 @@ from .components import components
 WORDS, PER_CENT = 5, 80
 #: First shingles that the first round looks at.
 FIRST = 4
+#: Shingles that are put last: at most so many, and only if so many sets of a partition's begin with them together.
+COMMON, COMMON_SETS = 100_000, 32
 #: Sets of a tile that one task compares at once.
 BLOCK = 4096
 #: Hash places of wanted documents: what is broadcast to leave out most texts before they are shuffled has no more rows.
@@ -129,6 +132,46 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _over_sets(texts, make, f"doc_id {kind}, n long, fp1 long, fp2 long, prefix array<long>, bits binary")
 
 
+def common_shingles(sketched: DataFrame) -> np.ndarray:
+    """The shingles that most sets begin with, sorted; COMMON at most.
+
+    Each task only passes on those that several of its own sets begin with.
+    """
+
+    def count(batches):
+        import pyarrow as pa
+
+        parts = [b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
+        if parts:
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
+
+    rows = sketched.select("prefix").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_SETS)
+    return np.sort(np.array([r[0] for r in rows.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
+
+
+def prefixes(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, prefix (the first shingles when the common ones come last)."""
+    texts = _texts(docs, id_col, text_col)
+
+    def make(ids, keys, bounds):
+        import pyarrow as pa
+
+        last = np.zeros(len(keys), bool)
+        if len(common):
+            last = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+        n = np.diff(bounds)
+        order = np.lexsort((keys, last, np.repeat(np.arange(len(n)), n)))
+        place = np.arange(len(keys)) - np.repeat(bounds[:-1], n)
+        most = np.where(n > 0, n - (n * PER_CENT + 99) // 100 + 1, 0)
+        kept = place < np.repeat(most, n)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(most)].astype(np.int32)), pa.array(keys[order][kept].view(np.int64)))
+        return [ids, lists]
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return _over_sets(texts, make, f"id {kind}, prefix array<long>")
+
+
 def _fold(x: np.ndarray, to: int) -> np.ndarray:
     """Parity bitmaps (rows of words) as bitmaps of fewer words."""
     while x.shape[1] > to:
@@ -137,6 +180,43 @@ def _fold(x: np.ndarray, to: int) -> np.ndarray:
     return x
 
 
+def _shared(posts: DataFrame) -> DataFrame:
+    """Rows of the shingles that sets of several components begin with: h, id, comp, m (sets of the shingle).
+
+    posts: h, id, comp.  One shuffle by shingle; each task runs through its sorted rows.
+    """
+    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = posts.schema["id"].dataType.simpleString()
+    names = ["h", "id", "comp"]
+
+    def groups(h, ids, comp):
+        import pyarrow as pa
+
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        m = np.diff(np.r_[starts, len(h)])
+        several = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        kept = np.repeat(several, m)
+        return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (h, ids, comp, np.repeat(m, m))], names=[*names, "m"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last shingle may go on
+            held = [x[last:] for x in cols]
+            if last:
+                yield groups(*(x[:last] for x in cols))
+        if held is not None:
+            yield groups(*held)
+
+    rows = posts.select(*names).repartition(parts, "h").sortWithinPartitions("h")
+    return rows.mapInArrow(run, f"h long, id {kind}, comp {kind}, m long")
+
+
 def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], block: np.ndarray, cross: bool):
     """Pairs of a tile whose sizes and signatures allow a link; yields arrays of (i, j)."""
     order = np.argsort(n, kind="stable")
@@ -232,11 +312,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = components(links)
 
     # second round: tiles of sets that share a shingle of their prefixes and are not yet together
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = reps.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "prefix")
-    posts = placed.select("id", "comp", F.explode("prefix").alias("h")).repartition(parts, "h")
-    tiles = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = cut(posts.join(tiles.hint("shuffle_hash"), "h"))
+    firsts = prefixes(docs, common_shingles(all_), id_col, text_col).dropDuplicates(["id"])
+    placed = reps.select("id").join(known, "id", "left").join(firsts, "id").select("id", F.coalesce("component", "id").alias("comp"), "prefix")
+    members = cut(_shared(placed.select("id", "comp", F.explode("prefix").alias("h"))).select("h", "id", "comp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("h", "id", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).join(reps.select("id", "n", "bits"), "id")
