@@ -37,7 +37,7 @@ COMMON, COMMON_SETS = 100_000, 32
 #: Sets of a tile that one task compares at once.
 BLOCK = 4096
 #: Hash places of wanted documents: what is broadcast to leave out most texts before they are shuffled has no more rows.
-PLACES = 1 << 18
+PLACES = 1 << 21
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
