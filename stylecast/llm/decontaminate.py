@@ -3,26 +3,33 @@
 Words are lower-cased runs of non-blank characters, hashed once each.  Every position of
 every text gets one hash for each fixed mask; a mask leaves some positions out, so that a
 substituted word there does no harm.  Hashes of benchmark items are joined with those of
-documents; hits of one document, item and alignment are put together, and the words around
-them are compared one by one, with substitutions allowed.
-
-Items shorter than a mask are looked for as exact runs.  Defined cases: null or empty
-texts and items without words match nothing; equal rows of documents or of the benchmark
-count once; other columns are ignored.
+documents, which gives alignments; the words of each are compared one by one.  A stretch
+of an alignment begins and ends with words that agree, and at least ``LEAST_IDENTITY`` of
+it agree; stretches that overlap are put together, others are told apart, so what stands
+between two of them takes nothing from either.
+
+Items shorter than a mask are looked for as exact runs.  Which masks an
+item has depends on its own length only.  Items under ten words need ``LEAST_IDENTITY`` of
+their words (three or fewer thus all), others ``LEAST_SHARE``, or ``LEAST_WORDS`` if these
+are fewer.  Defined cases: null or empty texts and items without words match nothing;
+equal rows of documents or of the benchmark count once; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# The positions that count, of ten.
+# The positions that count; and those for items of so many words, from and to.
 MASKS = ("1110110111", "1101111011")
+SHORT_MASKS = {"1" * n: (n, n) for n in range(1, 10)}
 #: Seed rows of a benchmark that are broadcast; a larger one is joined by shuffling.
 BROADCAST_SEEDS = 1_000_000
-#: Words that must agree at least, or this share of a shorter item; and the share that must agree around the hits.
+#: Words that must agree at least, or this share of a shorter item; and the share that must agree in a stretch.
 LEAST_WORDS, LEAST_SHARE, LEAST_IDENTITY = 13, 0.5, 0.75
+#: Words that must agree in a stretch that counts, if the item doesn't need fewer.
+LEAST_STRETCH = 8
 
 
 def _words(text: str) -> Column:
@@ -37,53 +44,58 @@ def _seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
     shortest = min(map(len, masks))
     placed = rows.select("*", F.explode_outer(F.when(n >= shortest, F.sequence(F.lit(0), n - shortest))).alias("at")).where(F.col("at").isNotNull())
 
-    def seed(k: int, mask: str) -> Column:
+    def seed(mask: str) -> Column:
         picked = [F.get("words", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]
-        return F.when(F.col("at") + len(mask) <= F.size("words"), F.xxhash64(F.lit(k), *picked))
+        return F.when(F.col("at") + len(mask) <= F.size("words"), F.xxhash64(F.lit(mask), *picked))
+
+    return placed.withColumn("seed", F.explode(F.array(*map(seed, masks)))).where(F.col("seed").isNotNull())
+
 
-    return placed.withColumn("seed", F.explode(F.array(*(seed(k, m) for k, m in enumerate(masks))))).where(F.col("seed").isNotNull())
+def _needed(n: Column) -> Column:
+    """Words of an item of n words that must agree."""
+    return F.when(n < 10, F.ceil(n * LEAST_IDENTITY)).otherwise(F.least(F.lit(LEAST_WORDS), F.ceil(n * LEAST_SHARE)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS) -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, n_item_words, n_matched, first_word, last_word."""
-    span = max(map(len, masks))
     items = benchmark.select(F.col(item_col).alias("item_id"), _words(item_text_col).alias("words")).where(F.size("words") > 0).distinct()
-    short = sorted(r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < span).distinct().collect())  # fewer than span numbers
-    every = [*masks, *("1" * n for n in short)]
-    # a short item only has its own exact run
-    item_seeds = _seeds(items, every).where((F.size("words") >= span) | (F.col("at") == 0) & (F.col("seed") == reduce(F.coalesce, [_run_seed(len(masks) + k, n) for k, n in enumerate(short)], F.lit(None).cast("long"))) if short else F.size("words") >= span)
-    item_seeds = item_seeds.select("seed", "item_id", F.col("at").alias("item_at"), F.col("words").alias("item_words")).distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "words"))
+    n = F.size("words")
+    longest = max(hi for _, hi in SHORT_MASKS.values())
+    lengths = {r[0] for r in items.select(F.least(n, F.lit(longest + 1)).alias("n")).distinct().collect()}  # few numbers
+    bounds = {m: (longest + 1, None) for m in masks} | {m: (lo, hi) for m, (lo, hi) in SHORT_MASKS.items() if any(lo <= k <= hi for k in lengths)}
+    item_seeds = reduce(DataFrame.unionByName, (_seeds(items.where((n >= lo) & (n <= hi if hi else F.lit(True))), [m]) for m, (lo, hi) in bounds.items()))
+    item_seeds = item_seeds.select("seed", "item", F.col("at").alias("item_at"), n.alias("n_item_words")).distinct()
+    item_words = items.select("item", "item_id", F.col("words").alias("item_words"))
     if item_seeds.count() <= BROADCAST_SEEDS:
-        item_seeds = F.broadcast(item_seeds)
+        item_seeds, item_words = F.broadcast(item_seeds), F.broadcast(item_words)
 
     doc_words = docs.select(F.col(id_col).alias("doc_id"), _words(text_col).alias("words"))
-    hits = _seeds(doc_words, every).join(item_seeds, "seed")
+    hits = _seeds(doc_words, list(bounds)).join(item_seeds, "seed")
     shift = F.col("at") - F.col("item_at")  # where the item would begin
-    n = F.size("item_words")
     lines = hits.select(
-        "doc_id", "item_id", shift.alias("shift"), "item_at", "item_words",
-        F.slice("words", F.greatest(shift, F.lit(0)) + 1, n + F.least(shift, F.lit(0))).alias("near"),
-    ).groupBy("doc_id", "item_id", "shift").agg(F.min("item_at").alias("lo"), F.max("item_at").alias("hi"), F.first("near").alias("near"), F.first("item_words").alias("item_words"))
+        "doc_id", "item", "n_item_words", shift.alias("shift"), F.slice("words", F.greatest(shift, F.lit(0)) + 1, F.col("n_item_words") + F.least(shift, F.lit(0))).alias("near"),
+    ).groupBy("doc_id", "item", "n_item_words", "shift").agg(F.first("near").alias("near")).join(item_words, "item")
     skipped = F.greatest(-F.col("shift"), F.lit(0))
-    # the region from the first hit to the last, with some words around
-    lo = F.greatest(F.col("lo") - 4, skipped)
-    hi = F.least(F.col("hi") + span + 4, F.size("item_words"), skipped + F.size("near"))
-    same = F.zip_with(F.slice("item_words", lo + 1, hi - lo), F.slice("near", lo - skipped + 1, hi - lo), lambda a, b: a == b)
-    agreed = F.filter(F.transform(same, lambda x, k: F.when(x, k)), lambda k: k.isNotNull())
-    found = lines.select(
-        "doc_id", "item_id", F.size("item_words").alias("n_item_words"), F.size(agreed).alias("agreed"),
-        (F.array_max(agreed) - F.array_min(agreed) + 1).alias("extent"),
-        (F.col("shift") + lo + F.array_min(agreed)).alias("first_word"), (F.col("shift") + lo + F.array_max(agreed)).alias("last_word"),
-    ).where(F.col("agreed") >= LEAST_IDENTITY * F.col("extent"))
+    same = F.zip_with(F.slice("item_words", skipped + 1, F.size("near")), F.col("near"), lambda a, b: a == b)
+    agreed = F.filter(F.transform(same, lambda x, k: F.when(x, k + skipped)), lambda k: k.isNotNull())
+    least = F.least(F.lit(LEAST_STRETCH), _needed(F.col("n_item_words")))
+    lines = lines.select("doc_id", "item", "item_id", "shift", "n_item_words", agreed.alias("agreed")).where(F.size("agreed") >= least)
+
+    # with 1 for a word that agrees and -3 for another, a stretch sums up to 0 at least: from the lowest sum before a gap to the highest after it
+    line = Window.partitionBy("doc_id", "item", "item_id", "shift")
+    ordered, parts = line.orderBy("k"), int(round(1 / (1 - LEAST_IDENTITY)))
+    before = F.col("k") * parts - F.col("item_at") * (parts - 1)
+    words = lines.select("doc_id", "item", "item_id", "shift", "n_item_words", F.posexplode("agreed").alias("k", "item_at")).withColumn("before", before)
+    words = words.withColumn("low", F.min("before").over(ordered.rowsBetween(Window.unboundedPreceding, -1))).withColumn("high", F.max("before").over(ordered.rowsBetween(0, Window.unboundedFollowing)) + 1)
+    words = words.withColumn("stretch", F.sum(F.when(F.col("high") < F.col("low"), 1).otherwise(0)).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    found = words.groupBy("doc_id", "item", "item_id", "shift", "n_item_words", "stretch").agg(
+        F.count(F.lit(1)).alias("agreed"), (F.col("shift") + F.min("item_at")).alias("first_word"), (F.col("shift") + F.max("item_at")).alias("last_word")
+    ).where(F.col("agreed") >= least)
     pairs = found.groupBy("doc_id", "item_id", "n_item_words").agg(
         F.least(F.sum("agreed"), F.col("n_item_words").cast("long")).alias("n_matched"), F.min("first_word").cast("long").alias("first_word"), F.max("last_word").cast("long").alias("last_word")
     )
-    return pairs.where(F.col("n_matched") >= F.least(F.lit(LEAST_WORDS), F.ceil(F.col("n_item_words") * LEAST_SHARE)))
-
-
-def _run_seed(k: int, n: int) -> Column:
-    """The seed of a whole item of n words."""
-    return F.when(F.size("words") == n, F.xxhash64(F.lit(k), *(F.get("words", F.lit(i)) for i in range(n))))
+    return pairs.where(F.col("n_matched") >= _needed(F.col("n_item_words")))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,6 +128,19 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_tells_stretches_apart(spark):
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    item, item2 = [word() for _ in range(60)], [word() for _ in range(40)]
+    # words 1-15 and 46-60 with others between; and 15 words with the item's 30th at its place
+    texts = [item[:15] + [word() for _ in range(30)] + item[45:], item2[:15] + [word() for _ in range(14)] + item2[29:30] + [word() for _ in range(20)], item[:8] + [word() for _ in range(9)]]
+    docs = frame(spark, [" ".join(t) for t in texts])
+    for more in ([], [(2, item2[29]), (3, " ".join(item2[28:30]))]):  # other items change nothing
+        bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(item2)), *more], "item_id long, text string")
+        got = {(r.doc_id, r.item_id): (r.n_matched, r.first_word, r.last_word) for r in decontaminate.contaminated(docs, bench).where("item_id < 2").collect()}
+        assert got == {(0, 0): (30, 0, 59), (1, 1): (15, 0, 14)}
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 1, "assistant", "yo"), (4, None, None, None), (None, 0, "user", "lost"), (5, 0, "user", "hi"), (5, 1, "assistant", "other")]
     pdf = pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
