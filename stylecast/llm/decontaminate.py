@@ -8,7 +8,8 @@ of an alignment begins and ends with words that agree, and at least ``LEAST_IDEN
 it agree; stretches that overlap are put together, others are told apart, so what stands
 between two of them takes nothing from either.
 
-Items shorter than a mask are looked for as exact runs.  Which masks an
+The masks hit each stretch of ``LEAST_STRETCH`` agreeing words, wherever its substitutions
+are; ``SHORT_MASKS`` hit each of a shorter item that holds what it needs.  Which masks an
 item has depends on its own length only.  Items under ten words need ``LEAST_IDENTITY`` of
 their words (three or fewer thus all), others ``LEAST_SHARE``, or ``LEAST_WORDS`` if these
 are fewer.  Defined cases: null or empty texts and items without words match nothing;
@@ -22,8 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # The positions that count; and those for items of so many words, from and to.
-MASKS = ("1110110111", "1101111011")
-SHORT_MASKS = {"1" * n: (n, n) for n in range(1, 10)}
+MASKS = ("11101", "100111")
+SHORT_MASKS = {"1": (1, 1), "11": (2, 2), "111": (3, 15), "1101": (3, 15), "1011": (3, 15)}
 #: Seed rows of a benchmark that are broadcast; a larger one is joined by shuffling.
 BROADCAST_SEEDS = 1_000_000
 #: Words that must agree at least, or this share of a shorter item; and the share that must agree in a stretch.

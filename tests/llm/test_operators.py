@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or the library it follows, and on odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -141,6 +142,31 @@ def test_decontamination_tells_stretches_apart(spark):
         assert got == {(0, 0): (30, 0, 59), (1, 1): (15, 0, 14)}
 
 
+def test_decontamination_finds_all_substitutions(spark):
+    for masks, cases in ((decontaminate.MASKS, [(10, 2), (12, 3), (16, 4), (20, 5), (24, 6)]), (("111", "1101", "1011"), [(3, 0), (4, 1), (5, 1), (6, 1), (7, 1), (8, 2), (9, 2), (10, 2)])):
+        placed = lambda n: [sum(1 << (k + i) for i, c in enumerate(m) if c == "1") for m in masks for k in range(n - len(m) + 1)]  # noqa: B023, E731
+        for n, wrong in cases:
+            at = placed(n)
+            assert all(any(not p & q for q in at) for p in (sum(1 << i for i in c) for c in itertools.combinations(range(n), wrong)))
+    rnd = random.Random(16)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    lengths = [*range(1, 30), 60]
+    items = {k: [word() for _ in range(n)] for k, n in enumerate(lengths)}
+    docs, want = [], {}
+    for k, words in items.items():
+        for _ in range(12):
+            w = list(words)
+            for i in rnd.sample(range(len(w)), len(w) // 4):
+                w[i] = word()
+            want[len(docs), k] = len(w) - len(w) // 4
+            docs.append(" ".join([word(), word(), *w, word()]))
+    want[len(docs), 29] = 50  # every sixth word
+    docs.append(" ".join(word() if i % 6 == 5 else x for i, x in enumerate(items[29])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert found.keys() == want.keys() and all(want[k] - found[k] < 8 for k in want)
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 1, "assistant", "yo"), (4, None, None, None), (None, 0, "user", "lost"), (5, 0, "user", "hi"), (5, 1, "assistant", "other")]
     pdf = pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
