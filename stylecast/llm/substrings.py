@@ -2,32 +2,43 @@
 
 A gear hash rolls over the UTF-8 bytes of each text; where its upper bits vanish, a chunk
 ends.  As only the last bytes decide, an insertion moves no cut but those next to it, and
-a passage that stands in several documents falls into the same chunks in all of them but
-for its two ends.  Chunks are counted by digest; those that repeat are tied to the
-document where they occur first; consecutive chunks of one alignment form a run.  A repeat
-can't reach past the chunks next to a region of repeated ones, which bounds its words from
-above; regions that can't hold ``min_words`` go.  The runs of the others are extended byte
-by byte in both documents (which also verifies them) and reported if they span that many.
-
-Only repeats across documents are reported.  Defined cases: a null text counts as an empty
-one; texts without a cut are one chunk; equal rows count once; other columns are ignored.
+a passage that stands twice falls into the same chunks both times but for its two ends.
+
+Chunks are deduplicated by digest: each is told whether it stands anywhere else, in its
+own text or in another.  Repeated chunks in a row make a region.  A repeated passage can't
+reach past the chunks next to a region, which bounds its words from above; regions that
+can't hold ``min_words`` go.  In the others every window of ``min_words`` words is hashed
+(96 bits), and a window that has an earlier occurrence (by document id, then place) is
+repeated, whichever document has it and whatever stands around it there.  Windows that
+overlap are put together.
+
+Both shuffles carry what a step of the scan has seen first only: its further occurrences
+are known to be repeats without being sent, so a passage that a third of all rows share
+is sent once a step.
+
+Defined cases: a null text counts as an empty one; texts without a cut are one chunk, cut
+every MOST_BYTES bytes; equal rows count once; rows that share an id but differ in text
+are told apart by place (those of the smaller text hash first); rows without an id are left
+out; other columns are ignored by ``repeated_passages`` and kept by ``deduplicated``; an
+empty table gives an empty result.  A passage is found if it holds one whole chunk, of 32
+bytes on average: of passages of 300 bytes about one in a thousand has none.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, span_hashes, steps, string_buffer, word_spans
+from .common import mix, span_hashes, steps, string_buffer, word_spans, written
 
 #: Bytes that decide on a cut; bits that must vanish (chunks of 2**CUT_BITS bytes on average); most bytes of a chunk.
 REACH, CUT_BITS, MOST_BYTES = 16, 5, 1024
-#: Hash places of wanted documents: what is broadcast to leave out other texts before they are shuffled has no more rows.
-PLACES = 1 << 18
 #: Words of a repeated passage at least.
 MIN_WORDS = 50
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, np.uint64).astype(np.uint32)
 _MASK = np.uint32(((1 << CUT_BITS) - 1) << (REACH - CUT_BITS))
+#: Words of a chunk, and of those beside it, as they are packed beside its number.
+_WORDS = 12
 
 
 def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,154 +62,253 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends
 
 
+def _cut_up(texts):
+    """(first, last text, bytes, offsets, chunk starts, chunk ends, text of each chunk, first chunk of each text) of each step."""
+    data, offsets = string_buffer(texts)
+    for i, j in steps(offsets):
+        part = offsets[i : j + 1]
+        if part[0] == part[-1]:
+            continue
+        step, place = data[part[0] : part[-1]], part - part[0]
+        starts, ends = chunk_bounds(step, place)
+        of = np.searchsorted(place, starts, side="right") - 1
+        yield i, j, step, place, starts, ends, of, np.searchsorted(starts, place[:-1], side="left")
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts keys, where a group of equal ones begins in it, and rows of each row's group."""
+    order = np.argsort(key, kind="stable")
+    x = key[order]
+    fresh = np.r_[True, x[1:] != x[:-1]]
+    n = np.diff(np.r_[np.flatnonzero(fresh), len(x)])
+    return order, fresh, np.repeat(n, n)
+
+
+def _not_first(key: np.ndarray, tail: np.ndarray, uid: np.ndarray, at: np.ndarray, before: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """Which of sorted windows stand elsewhere than their hash's first (equal rows share a place), and the last hash with its first place."""
+    fresh = np.r_[before is None or before[:2] != (key[0], tail[0]), (key[1:] != key[:-1]) | (tail[1:] != tail[:-1])]
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+    first_uid, first_at = uid[first], at[first]
+    if not fresh[0]:
+        goes_on = first < 0
+        first_uid[goes_on], first_at[goes_on] = before[2:]
+    return (uid != first_uid) | (at != first_at), (key[-1], tail[-1], first_uid[-1], first_at[-1])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.where(F.col("doc_id").isNotNull())
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a chunk: digest, doc_id, k (its number in the text), at (first byte), n (bytes), words (that begin in it), beside (in the chunks next to it)."""
+    """A row for each chunk that its step has first, or knows to be repeated: key (digest; any for those known), doc_id, chunk (its number, words in it and beside it), known."""
 
     def split(batches):
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = string_buffer(batch.column(1))
-            for i, j in steps(offsets):
-                part = offsets[i : j + 1]
-                if part[0] == part[-1]:
-                    continue
-                step, place = data[part[0] : part[-1]], part - part[0]
-                starts, ends = chunk_bounds(step, place)
-                of = np.searchsorted(place, starts, side="right") - 1
-                first = np.searchsorted(starts, place[:-1], side="left")
+            for i, j, step, place, starts, ends, of, first in _cut_up(batch.column(1)):
                 begun = np.zeros(len(step) + 1, np.int64)
                 begun[word_spans(step, place[1:])[0] + 1] = 1
                 begun = np.cumsum(begun)
                 words = begun[ends] - begun[starts]
                 padded = np.r_[0, words, 0]
                 same = np.r_[False, of[1:] == of[:-1], False]
-                beside = np.where(same[:-1], padded[:-2], 0) + np.where(same[1:], padded[2:], 0)
+                beside = np.minimum(np.maximum(np.where(same[:-1], padded[:-2], 0), np.where(same[1:], padded[2:], 0)), (1 << _WORDS) - 1)
+                chunk = ((np.arange(len(of)) - first[of]) << (2 * _WORDS)) | (np.minimum(words, (1 << _WORDS) - 1) << _WORDS) | beside
                 digest = span_hashes(step, starts, ends, fold_case=False).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest), batch.column(0)[i:j].take(pa.array(of)), pa.array((np.arange(len(of)) - first[of]).astype(np.int32)), pa.array((starts - place[of]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(beside.astype(np.int32))],
-                    names=["digest", "doc_id", "k", "at", "n", "words", "beside"],
-                )
+                order, fresh, n = _grouped(digest)
+                key, known = digest[order], n > 1
+                key[~fresh] = batch.column(2).to_numpy()[i:j][of[order][~fresh]]  # any will do: they go with their text
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)[i:j].take(pa.array(of[order])), pa.array(chunk[order]), pa.array(known)], names=["key", "doc_id", "chunk", "known"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(split, f"digest long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, k int, at int, n int, words int, beside int")
+    rows = _rows(docs, id_col, text_col).withColumn("place", F.xxhash64("doc_id"))
+    return rows.mapInArrow(split, f"key long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, chunk long, known boolean")
 
 
-def _repeats(rows: DataFrame) -> DataFrame:
-    """Chunks that an earlier document has too: doc_id, k, at, n, words, beside, first_id, first_at.
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The chunks that stand twice or more: doc_id, chunk.  One shuffle by digest, of which each task runs through its sorted rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            batch = batch.select(["key", "doc_id", "chunk", "known"])
+            table = pa.Table.from_batches([b for b in (held, batch) if b is not None and b.num_rows])
+            if not table.num_rows:
+                continue
+            key = table.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            twice = np.r_[False, same] | np.r_[same, False] | table.column("known").to_numpy()
+            out = table.select(["doc_id", "chunk"]).slice(0, table.num_rows - 1).filter(pa.array(twice[:-1]))
+            yield from out.to_batches()
+            # whether the last row repeats may depend on the next batch
+            last = table.slice(table.num_rows - 1).combine_chunks()
+            held = last.set_column(3, "known", pa.array([bool(twice[-1])])).to_batches()[0]
+        if held is not None and held.column("known")[0].as_py():
+            yield held.select(["doc_id", "chunk"])
+
+    sorted_ = rows.repartition("key").sortWithinPartitions("key")
+    return sorted_.select("key", "doc_id", "chunk", "known").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, chunk long")
+
+
+def regions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Texts with regions of repeated chunks that may hold a passage of min_words: doc_id, spans (first and last chunk of each region in turn)."""
+
+    def find(batches):
+        import pyarrow as pa
 
-    One shuffle by digest; each task runs through its sorted rows, of which a digest's first is the earliest.
+        for batch in batches:
+            lists = batch.column(1)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            packed = lists.values.to_numpy()[bounds[0] : bounds[-1]]
+            of = np.repeat(np.arange(len(lists)), np.diff(bounds))
+            k, most = packed >> (2 * _WORDS), (1 << _WORDS) - 1
+            words, beside = (packed >> _WORDS) & most, packed & most
+            if not len(k):
+                continue
+            fresh = np.r_[True, (k[1:] > k[:-1] + 1) | (of[1:] != of[:-1])]
+            at = np.flatnonzero(fresh)
+            # those that begin in the region and beside it, and before by what decides on a cut
+            total = np.add.reduceat(words, at) + 2 * np.maximum.reduceat(beside, at) + REACH // 2 + 1
+            full = (np.maximum.reduceat(words, at) == most) | (np.maximum.reduceat(beside, at) == most)
+            good = np.flatnonzero((total >= min_words) | full)
+            lo, hi, doc = k[at[good]], k[np.r_[at[1:], len(k)][good] - 1], of[at[good]]
+            spans = np.stack([lo, hi], 1).reshape(-1).astype(np.int32)
+            n = np.bincount(doc, minlength=len(lists))
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(2 * n)].astype(np.int32)), pa.array(spans))], names=["doc_id", "spans"])
+            yield out.filter(pa.array(n > 0))
+
+    twice = _repeated(chunks(docs, id_col, text_col)).groupBy("doc_id").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))
+    return twice.mapInArrow(find, f"doc_id {twice.schema['doc_id'].dataType.simpleString()}, spans array<int>")
+
+
+def windows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each window of min_words words in the regions that its step has first, and for each row of windows that it knows to be repeats.
+
+    key, tail (hash), doc_id, uid (of the text), at (first word), n (repeated windows from there on; 0 if the step has it first), start, end (bytes).
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["digest", "doc_id", "k", "at", "n", "words", "beside"]
+    names = ["key", "tail", "doc_id", "uid", "at", "n", "start", "end"]
 
-    def groups(cols):
+    def split(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists = batch.column(2)
+            bounds, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            rank = pc.rank(batch.column(0), tiebreaker="dense").to_numpy().astype(np.int64)
+            uid = batch.column(3).to_numpy()
+            for i, j, step, place, starts, ends, of, first in _cut_up(batch.column(1)):
+                mine = flat[bounds[i] : bounds[j]].reshape(-1, 2).astype(np.int64)
+                doc = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]) // 2)
+                last = np.r_[first[1:], len(starts)] - 1
+                # a chunk more on each side, and what may decide on the first cut
+                lo = np.maximum(starts[np.minimum(np.maximum(first[doc] + mine[:, 0] - 1, first[doc]), last[doc])] - REACH, place[doc])
+                hi = ends[np.minimum(first[doc] + mine[:, 1] + 1, last[doc])]
+                a, b = word_spans(step, place[1:])
+                if len(a) < min_words:
+                    continue
+                inside = np.zeros(len(a) + 1, np.int64)  # windows that lie in a region
+                w0 = np.searchsorted(a, lo, side="left")
+                w1 = np.searchsorted(b, hi, side="right") - min_words + 1
+                fits = w1 > w0
+                np.add.at(inside, w0[fits], 1)
+                np.add.at(inside, w1[fits], -1)
+                w = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+                if not len(w):
+                    continue
+                text = np.searchsorted(place, a[w], side="right") - 1
+                start, end = a[w], b[w + min_words - 1]
+                key = span_hashes(step, start, end, fold_case=False).view(np.int64)
+                each = np.r_[np.uint64(0), np.cumsum(mix(span_hashes(step, a, b, fold_case=False)))]
+                tail = ((each[w + min_words] - each[w]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                begins = np.searchsorted(a, place[:-1], side="left")
+                at = w - begins[text]
+                start, end = start - place[text], end - place[text]
+                order = np.lexsort((at, uid[i:j][text], rank[i:j][text], tail, key))
+                again = np.zeros(len(w), bool)
+                again[order] = _not_first(key[order], tail[order], uid[i:j][text[order]], at[order])[0]
+                # rows of windows known to be repeats: one row each
+                k = np.flatnonzero(again)
+                fresh = np.r_[True, (w[k][1:] != w[k][:-1] + 1) | (text[k][1:] != text[k][:-1])] if len(k) else np.zeros(0, bool)
+                head = k[fresh]
+                tailend = k[np.r_[fresh[1:], True]] if len(k) else k
+                new = np.flatnonzero(~again)
+                put = lambda x, y: pa.array(np.concatenate([x, y]))
+                pick = np.concatenate([text[new], text[head]])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        put(key[new], mix((uid[i:j][text[head]] + at[head]).view(np.uint64)).view(np.int64)), put(tail[new], np.zeros(len(head), np.int32)), batch.column(0)[i:j].take(pa.array(pick)), pa.array(uid[i:j][pick]),
+                        put(at[new].astype(np.int32), at[head].astype(np.int32)), put(np.zeros(len(new), np.int32), (w[tailend] - w[head] + 1).astype(np.int32)),
+                        put(start[new].astype(np.int32), start[head].astype(np.int32)), put(end[new].astype(np.int32), end[tailend].astype(np.int32)),
+                    ],
+                    names=names,
+                )
 
-        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-        first = np.repeat(starts, np.diff(np.r_[starts, len(cols[0])]))
-        kept = cols[1] != cols[1][first]
-        return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (*cols[1:], cols[1][first], cols[3][first])], names=[*names[1:], "first_id", "first_at"])
+    rows = _rows(docs, id_col, text_col).withColumn("uid", F.xxhash64("doc_id", "text"))
+    rows = rows.join(found.withColumnRenamed("doc_id", "found_id"), F.col("doc_id") == F.col("found_id")).select("doc_id", "text", "spans", "uid")
+    return rows.mapInArrow(split, f"key long, tail int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, at int, n int, start int, end int")
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """The windows that have an earlier occurrence: doc_id, uid, at, n, start, end.  One shuffle by hash."""
+    kept = ["doc_id", "uid", "at", "n", "start", "end"]
 
     def run(batches):
-        held = None
+        import pyarrow as pa
+
+        before = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last digest may go on
-            if last:
-                yield groups([x[:last] for x in cols])
-            # of a digest that goes on, only its first row is still needed once the others are told
-            if len(cols[0]) - last > 1:
-                yield groups([x[last:] for x in cols])
-            held = [x[last : last + 1] for x in cols]
-
-    sorted_ = rows.select(*names).repartition(parts, "digest").sortWithinPartitions("digest", "doc_id", "at")
-    return sorted_.mapInArrow(run, f"doc_id {kind}, k int, at int, n int, words int, beside int, first_id {kind}, first_at int")
-
-
-def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs of repeated chunks that may belong to a long repeat, and where they stand first: doc_id, at, n, first_id, first_at."""
-    dup = _repeats(chunks(docs, id_col, text_col).where(F.col("doc_id").isNotNull()))
-    in_text = Window.partitionBy("doc_id").orderBy("k")
-    dup = dup.withColumn("region", F.col("k") - F.row_number().over(in_text))
-    region = Window.partitionBy("doc_id", "region")
-    # words that begin in the region, those of the chunks beside it, and one that begins before
-    most = F.sum("words").over(region) + 2 * F.max("beside").over(region) + 1
-    dup = dup.withColumn("most", most).where(F.col("most") >= min_words)
-    dup = dup.withColumn("shift", F.col("at") - F.col("first_at"))
-    by_place = Window.partitionBy("doc_id", "first_id", "shift").orderBy("k")
-    dup = dup.withColumn("run", F.col("k") - F.row_number().over(by_place))
-    out = dup.groupBy("doc_id", "region", "first_id", "shift", "run").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min("first_at").alias("first_at"), (F.sum("words") + 2 * F.max("beside") + 1).alias("most"))
-    # runs that are long enough by themselves, and the longest of each region
-    longest = F.max("n").over(Window.partitionBy("doc_id", "region"))
-    out = out.withColumn("longest", longest).where((F.col("most") >= min_words) | (F.col("n") == F.col("longest")))
-    return out.select("doc_id", "at", "n", "first_id", "first_at")
+            col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("key", "tail", *kept)}
+            key, tail, n, uid, at = (col[c].to_numpy() for c in ("key", "tail", "n", "uid", "at"))
+            take = n > 0
+            unknown = np.flatnonzero(~take)
+            if len(unknown):
+                take[unknown], before = _not_first(*(x[unknown] for x in (key, tail, uid, at)), before)
+            out = pa.RecordBatch.from_arrays([pa.array(np.maximum(n, 1)) if c == "n" else col[c] for c in kept], names=kept)
+            yield out.filter(pa.array(take))
+
+    sorted_ = rows.repartition("key").sortWithinPartitions("key", "tail", "doc_id", "uid", "at")
+    return sorted_.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, at int, n int, start int, end int")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages that stand in an earlier document too: doc_id, start, end (UTF-8 bytes), n_words, first_doc_id, first_start."""
-    # a pair's runs together, so that its texts travel once
-    found = cut(runs(docs, id_col, text_col, min_words).groupBy("doc_id", "first_id").agg(F.collect_list(F.struct("at", "n", "first_at")).alias("runs")))
-    texts = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
-    wanted = found.select(F.explode(F.array("doc_id", "first_id")).alias("id_")).distinct()
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
-    places = wanted.select(place("id_").alias("place")).distinct()
-    texts = texts.withColumn("place", place("id_")).join(F.broadcast(places), "place", "left_semi").select("id_", "text_")
-    texts = texts.join(wanted, "id_", "left_semi").dropDuplicates(["id_"])
-    rows = found.join(texts.select(F.col("id_").alias("doc_id"), F.col("text_").alias("text")), "doc_id").join(texts.select(F.col("id_").alias("first_id"), F.col("text_").alias("first_text")), "first_id")
-    kind = found.schema["doc_id"].dataType.simpleString()
-
-    def extend(batches):
+    """Passages of min_words words or more that have stood before: doc_id, uid (xxhash64 of id and text), start, end (UTF-8 bytes), n_words."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = written(regions(docs, min_words=min_words), "regions")
+    again = _repeats(windows(docs, found, min_words=min_words))
+    by_text = again.groupBy("doc_id", "uid").agg(F.sort_array(F.collect_set(F.struct("at", "n", "start", "end"))).alias("w"))
+    kind = by_text.schema["doc_id"].dataType.simpleString()
+
+    def put_together(batches):
         import pyarrow as pa
 
         for batch in batches:
-            col = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
-            (a_data, a_offs), (b_data, b_offs) = string_buffer(col("text")), string_buffer(col("first_text"))
-            of, start, end, words, first = [], [], [], [], []
-            for k, found_ in enumerate(col("runs").to_pylist()):
-                a, b = a_data[a_offs[k] : a_offs[k + 1]], b_data[b_offs[k] : b_offs[k + 1]]
-                for x in found_:
-                    s, e = _extended(a, b, x["at"], x["first_at"], x["n"])
-                    of.append(k)
-                    start.append(s)
-                    end.append(e)
-                    words.append(len(a[s:e].tobytes().split()))
-                    first.append(s - x["at"] + x["first_at"])
-            at = pa.array(of, pa.int32())
-            names = ["doc_id", "start", "end", "n_words", "first_doc_id", "first_start"]
-            arrays = [col("doc_id").take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(words, pa.int64()), col("first_id").take(at), pa.array(first, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    out = rows.select("doc_id", "first_id", "runs", "text", "first_text").mapInArrow(extend, f"doc_id {kind}, start long, end long, n_words long, first_doc_id {kind}, first_start long")
-    return out.where(F.col("n_words") >= min_words).distinct()
-
-
-def _extended(a: np.ndarray, b: np.ndarray, at: int, first_at: int, n: int) -> tuple[int, int]:
-    """The bytes of a that equal b's around a[at:at+n] and b[first_at:...]; empty if these differ."""
-    if not np.array_equal(a[at : at + n], b[first_at : first_at + n]):
-        return at, at
-    m = min(at, first_at)
-    differs = np.flatnonzero(a[at - m : at] != b[first_at - m : first_at])
-    s = at - m + (int(differs[-1]) + 1 if len(differs) else 0)
-    m = min(len(a) - at, len(b) - first_at)
-    differs = np.flatnonzero(a[at : at + m] != b[first_at : first_at + m])
-    e = at + (int(differs[0]) if len(differs) else m)
-    while s < at and a[s] & 0xC0 == 0x80:  # no half characters
-        s += 1
-    while e > at and e < len(a) and a[e] & 0xC0 == 0x80:
-        e -= 1
-    return s, e
+            lists = batch.column(2)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            at, n, start, end = (lists.values.field(k).to_numpy()[bounds[0] : bounds[-1]].astype(np.int64) for k in range(4))
+            if not len(at):
+                continue
+            of = np.repeat(np.arange(len(lists)), np.diff(bounds))
+            # windows overlap if the next begins before the furthest of the same text ends
+            reach = np.maximum.accumulate(at + n - 1 + min_words + of * (1 << 40)) - of * (1 << 40)
+            fresh = np.r_[True, (of[1:] != of[:-1]) | (at[1:] >= reach[:-1])]
+            k = np.flatnonzero(fresh)
+            words = np.maximum.reduceat(at + n - 1 + min_words, k) - at[k]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[k])), batch.column(1).take(pa.array(of[k])), pa.array(start[k]), pa.array(np.maximum.reduceat(end, k)), pa.array(words)], names=["doc_id", "uid", "start", "end", "n_words"])
+
+    return by_text.mapInArrow(put_together, f"doc_id {kind}, uid long, start long, end long, n_words long")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with all their columns, repeated passages cut out of the text."""
-    spans = repeated_passages(docs, id_col, text_col, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans_")).withColumnRenamed("doc_id", "doc_id_")
-    rows = docs.join(spans, docs[id_col].eqNullSafe(spans["doc_id_"]), "left")
+    spans = repeated_passages(docs, id_col, text_col, min_words).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans_")).withColumnRenamed("uid", "uid_")
+    uid = F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col], F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    rows = docs.join(spans, uid == spans["uid_"], "left")
     columns = docs.columns
 
     def cut_out(batches):

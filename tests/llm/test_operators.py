@@ -264,16 +264,58 @@ def test_components_of_a_chain(spark):
     assert {r.component for r in components.components(links).collect()} == {0}
 
 
-def test_substring_dedup(spark, odd):
+def repeats_of(texts, most):
+    """Spans of windows of so many words that have stood before, by brute force: (start, end, words) by id."""
+    seen, out = {}, {}
+    for i, t in sorted((i, (t or "").encode()) for i, t in texts):
+        at = [(x.start(), x.end()) for x in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        again = [k for k in range(len(at) - most + 1) if seen.setdefault(t[at[k][0] : at[k + most - 1][1]], (i, k)) != (i, k)]
+        spans = []
+        for k in again:
+            if spans and k < spans[-1][1]:
+                spans[-1][1] = k + most
+            else:
+                spans.append([k, k + most])
+        if spans:
+            out[i] = [(at[a][0], at[b - 1][1], b - a) for a, b in spans]
+    return out
+
+
+def test_substring_dedup(spark):
     rnd = random.Random(8)
-    prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
-    passage, short = prose(60), prose(20)
-    texts = [prose(100) + " " + passage + " " + prose(30), prose(20) + " " + passage, prose(200), prose(50) + " " + short + " " + prose(50), short + " " + prose(80), passage]
-    df = frame(spark, texts)
-    rows = substrings.repeated_passages(df).collect()
-    assert {(r.doc_id, r.first_doc_id) for r in rows} == {(1, 0), (5, 0)}
-    for r in rows:
-        assert passage.encode().strip() in texts[r.doc_id].encode()[r.start : r.end] and r.n_words >= 60
-    cut = {r.doc_id: r.text for r in substrings.deduplicated(df).collect()}
-    assert cut[5] == "" and passage not in cut[1] and cut[2] == texts[2]
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)]
+    prose = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    passages = [prose(rnd.choice([50, 52, 55, 60, 70, 84])) for _ in range(60)]
+    texts = []
+    for i in range(300):
+        w = prose(rnd.randrange(150))
+        for _ in range(rnd.randrange(3)):
+            p = rnd.choice(passages)
+            if rnd.random() < 0.4:  # parts that are too short, and that occur first elsewhere
+                a = rnd.randrange(30)
+                p = p[a : a + rnd.randrange(10, 60)]
+            w += p + prose(rnd.randrange(60))
+        texts.append((i, " ".join(w)))
+    twice = prose(60)
+    texts += [(1000 + i, texts[5][1]) for i in range(20)] + [(2000, " ".join(twice + ["é", "日本"] + twice))]
+    df = spark.createDataFrame([*texts, texts[7], (None, texts[5][1])], "doc_id long, text string").repartition(3)
+    got = {}
+    for r in substrings.repeated_passages(df).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.n_words))
+    want = repeats_of(texts, 50)
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want[2000]) == 1
+    cut = {r.doc_id: r.text for r in substrings.deduplicated(df).collect() if r.doc_id is not None}
+    for i, t in texts:
+        data = t.encode()
+        for start, end, _ in reversed(want.get(i, [])):
+            data = data[:start] + data[end:]
+        assert cut[i] == data.decode()
+
+
+def test_substring_dedup_on_odd_rows(spark, odd):
     assert substrings.repeated_passages(odd).count() == 0
+    assert sorted(map(str, substrings.deduplicated(odd).collect())) == sorted(map(str, odd.collect()))
+    assert substrings.repeated_passages(odd.limit(0)).count() == 0
+    words = " ".join(f"w{k}" for k in range(60))
+    tied = spark.createDataFrame([(1, words), (1, words), (1, words + " x"), (2, "y " + words)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words) for r in substrings.repeated_passages(tied).collect()) == [(1, 60), (2, 60)]
