@@ -3,27 +3,31 @@
 A document is the set of its 5-word shingles, held as sorted 64-bit hashes.  Documents
 with equal sets form a class, and only the classes' representatives are compared.  Two
 sets of similarity 0.8 or more have sizes within a fifth of each other and share one of
-the first fifth of their shingles, in any order that is the same for all; sets that share
-one of these make a tile.  In the order, shingles that many documents begin with come last
-(how well these are known only bears on speed); the others go by their hash.  A tile is sorted by size, so that each set only meets the band of sizes it can be similar
-to, and a parity bitmap of the set bounds the overlap from above: each bit that differs is
-a shingle that only one of both has.  What passes is verified on the whole sorted arrays.
+the first fifth of their shingles, in any order that is the same for all.  In that order,
+shingles that many documents begin with come last (how well these are known only bears on
+speed); the others go by their hash.  A tile is the sets of one band of sizes and the band
+above it that share such a shingle.  Within a tile each set only meets the sizes it can be
+similar to, and a parity bitmap of the set bounds the overlap from above: each bit that
+differs is a shingle that only one of both has.  What passes is verified on the whole
+sorted arrays.
 
 Large groups of near copies would pass in all pairs.  So a first round only ties each set
-to the smallest id of its first shingles' groups and links those that are similar; in the
-second, sets that already belong together aren't compared again, which loses no link
+to one pivot, the smallest id of one of its first shingles' groups, and links those that are
+similar; sets that already belong together aren't compared again, which loses no link
 between components.  A tile too large for one task is cut into blocks, and its pairs of
-blocks are tiles of their own.
+blocks are tiles of their own.  Pairs are verified a pivot at a time; a pivot's text is sent
+once for each TOGETHER of its partners.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing;
-fewer words than a shingle has count as one shingle; rows that share an id
-should be equal: each is classed by its own set, but only one of them is compared further; other columns are ignored.
+fewer words than a shingle has count as one shingle; rows without an id link with nothing;
+rows that share an id are one document that holds the sets of all of them; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, mix, span_hashes, steps, string_buffer, word_spans, written
 from .components import components
@@ -34,9 +38,11 @@ WORDS, PER_CENT = 5, 80
 FIRST = 4
 #: Shingles that are put last: at most so many, and only if so many sets of a partition's begin with them together.
 COMMON, COMMON_SETS = 100_000, 32
-#: Sets of a tile that one task compares at once.
-BLOCK = 4096
-#: Hash places of wanted documents: what is broadcast to leave out most texts before they are shuffled has no more rows.
+#: Sets of a tile that one task compares at once, and partners of a pivot that are verified together.
+BLOCK, TOGETHER = 1024, 64
+#: Growth of sizes from band to band: a little more than two linked sets can differ.
+BAND = 1.26
+#: Hash places of wanted documents, a filter of fixed size: beyond it more texts are shuffled, once each at most.
 PLACES = 1 << 21
 
 
@@ -83,11 +89,6 @@ def _signature(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _prefix(n: int) -> int:
-    """Shingles of which similar sets share one."""
-    return n - (n * PER_CENT + 99) // 100 + 1
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -110,66 +111,86 @@ def _over_sets(texts: DataFrame, make, schema: str) -> DataFrame:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (shingles), fp1 and fp2 (fingerprint of the set), prefix (its first shingles), bits (signature)."""
+    """doc_id, n (shingles), fp1 and fp2 (fingerprint of the set), firsts (its first shingles by hash), bits (signature)."""
     texts = _texts(docs, id_col, text_col)
 
     def make(ids, keys, bounds):
         import pyarrow as pa
         import xxhash
 
-        n, fp, prefix, bits = np.diff(bounds), [], [], []
+        n, fp, firsts, bits = np.diff(bounds), [], [], []
         for a, b in zip(bounds, bounds[1:], strict=False):
             s = keys[a:b]
             d = xxhash.xxh3_128_digest(s.tobytes())
             fp.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            prefix.append(s[: _prefix(len(s))].view(np.int64) if len(s) else s.view(np.int64))
+            firsts.append(s[:FIRST].view(np.int64))
             bits.append(_signature(s))
-        flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, prefix)))].astype(np.int32)), pa.array(flat))
+        flat = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, firsts)))].astype(np.int32)), pa.array(flat))
         return [ids, pa.array(n.astype(np.int64)), pa.array([x for x, _ in fp], pa.int64()), pa.array([y for _, y in fp], pa.int64()), lists, pa.array(bits, pa.binary())]
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return _over_sets(texts, make, f"doc_id {kind}, n long, fp1 long, fp2 long, prefix array<long>, bits binary")
+    return _over_sets(texts, make, f"doc_id {kind}, n long, fp1 long, fp2 long, firsts array<long>, bits binary")
 
 
-def common_shingles(sketched: DataFrame) -> np.ndarray:
+def common_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The shingles that most sets begin with, sorted; COMMON at most.
 
-    Each task only passes on those that several of its own sets begin with.
+    Each step of a task only passes on those that several of its own distinct sets begin with.
     """
 
-    def count(batches):
+    def make(ids, keys, bounds):
         import pyarrow as pa
 
-        parts = [b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
-        if parts:
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
+        kept = _distinct(keys, bounds)
+        n = np.diff(bounds)
+        place = np.arange(len(keys)) - np.repeat(bounds[:-1], n)
+        h, times = np.unique(keys[(place < np.repeat(_prefixes(n), n)) & np.repeat(kept, n)], return_counts=True)
+        return [pa.array(h[times > 1].view(np.int64)), pa.array(times[times > 1].astype(np.int64))]
 
-    rows = sketched.select("prefix").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_SETS)
+    rows = _over_sets(_texts(docs, id_col, text_col), make, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_SETS)
     return np.sort(np.array([r[0] for r in rows.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
 
 
-def prefixes(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, prefix (the first shingles when the common ones come last)."""
-    texts = _texts(docs, id_col, text_col)
+def posts(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """h, ids: the documents of a step with h among their first shingles when the common ones come last; one of those with equal sets."""
+    texts = _texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
 
     def make(ids, keys, bounds):
         import pyarrow as pa
 
+        n = np.diff(bounds)
+        of = np.repeat(np.arange(len(n)), n)
         last = np.zeros(len(keys), bool)
         if len(common):
             last = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
-        n = np.diff(bounds)
-        order = np.lexsort((keys, last, np.repeat(np.arange(len(n)), n)))
-        place = np.arange(len(keys)) - np.repeat(bounds[:-1], n)
-        most = np.where(n > 0, n - (n * PER_CENT + 99) // 100 + 1, 0)
-        kept = place < np.repeat(most, n)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(most)].astype(np.int32)), pa.array(keys[order][kept].view(np.int64)))
-        return [ids, lists]
+        order = np.lexsort((keys, last, of))
+        kept = (np.arange(len(keys)) - np.repeat(bounds[:-1], n) < np.repeat(_prefixes(n), n)) & np.repeat(_distinct(keys, bounds), n)
+        h, of = keys[order][kept], of[kept]
+        order = np.argsort(h, kind="stable")
+        h, of = h[order], of[order]
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(h)].astype(np.int32)), ids.take(pa.array(of)))
+        return [pa.array(h[starts].view(np.int64)), lists]
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return _over_sets(texts, make, f"id {kind}, prefix array<long>")
+    return _over_sets(texts, make, f"h long, ids array<{kind}>")
+
+
+def _prefixes(n: np.ndarray) -> np.ndarray:
+    """Shingles of which similar sets share one."""
+    return np.where(n > 0, n - (n * PER_CENT + 99) // 100 + 1, 0)
+
+
+def _distinct(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which sets of a step are the first of those equal to them."""
+    n = np.diff(bounds)
+    sums = [np.r_[np.uint64(0), np.cumsum(mix(keys ^ np.uint64(x)))] for x in (0, 0xA5A5)]
+    id_ = np.stack([n.astype(np.uint64), *(x[bounds[1:]] - x[bounds[:-1]] for x in sums)], 1)
+    out = np.zeros(len(n), bool)
+    if len(n):
+        out[np.unique(id_, axis=0, return_index=True)[1]] = True
+    return out
 
 
 def _fold(x: np.ndarray, to: int) -> np.ndarray:
@@ -180,51 +201,38 @@ def _fold(x: np.ndarray, to: int) -> np.ndarray:
     return x
 
 
-def _shared(posts: DataFrame) -> DataFrame:
-    """Rows of the shingles that sets of several components begin with: h, id, comp, m (sets of the shingle).
-
-    posts: h, id, comp.  One shuffle by shingle; each task runs through its sorted rows.
-    """
-    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = posts.schema["id"].dataType.simpleString()
-    names = ["h", "id", "comp"]
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of posts whose shingle several documents have.  One shuffle by shingle; each task runs through its sorted rows."""
 
-    def groups(h, ids, comp):
+    def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        m = np.diff(np.r_[starts, len(h)])
-        several = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-        kept = np.repeat(several, m)
-        return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (h, ids, comp, np.repeat(m, m))], names=[*names, "m"])
-
-    def run(batches):
-        held = None
+        held, known = None, False
         for batch in batches:
-            if not batch.num_rows:
+            table = pa.Table.from_batches([b for b in (held, batch.select(["h", "ids"])) if b is not None and b.num_rows])
+            if not table.num_rows:
                 continue
-            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last shingle may go on
-            held = [x[last:] for x in cols]
-            if last:
-                yield groups(*(x[:last] for x in cols))
-        if held is not None:
-            yield groups(*held)
-
-    rows = posts.select(*names).repartition(parts, "h").sortWithinPartitions("h")
-    return rows.mapInArrow(run, f"h long, id {kind}, comp {kind}, m long")
-
-
-def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], block: np.ndarray, cross: bool):
-    """Pairs of a tile whose sizes and signatures allow a link; yields arrays of (i, j)."""
+            h = table.column("h").to_numpy()
+            same = h[1:] == h[:-1]
+            several = np.r_[known, same] | np.r_[same, False] | pc.greater(pc.list_value_length(table.column("ids")), 1).to_numpy()
+            yield from table.slice(0, table.num_rows - 1).filter(pa.array(several[:-1])).to_batches()
+            # whether the last row's shingle is shared may depend on the next batch
+            held, known = table.slice(table.num_rows - 1).combine_chunks().to_batches()[0], bool(several[-1])
+        if known:
+            yield held
+
+    return rows.repartition("h").sortWithinPartitions("h").select("h", "ids").mapInArrow(run, rows.schema)
+
+
+def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], lower: np.ndarray, block: np.ndarray, cross: bool):
+    """Pairs of a tile whose sizes and signatures allow a link, the smaller set in the tile's lower band; yields arrays of (i, j)."""
     order = np.argsort(n, kind="stable")
     size = n[order]
     words = np.array([len(bits[k]) // 8 for k in order])
     stack = {w: np.frombuffer(b"".join(bits[k] for k, v in zip(order, words, strict=True) if v == w), np.uint64).reshape(-1, w) for w in np.unique(words)}
     low = np.searchsorted(words, words, side="left")  # words grow with the size
-    for i in range(len(order) - 1):
+    for i in range(min(len(order) - 1, int(lower.sum()))):
         j = np.arange(i + 1, np.searchsorted(size, size[i] * 100 // PER_CENT, side="right"))
         if not len(j):
             continue
@@ -241,58 +249,96 @@ def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], block: np.ndarr
 
 
 def _tile_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs a < b of all tiles; members: tile (h), bi, bj, block, id, n, comp, bits."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Candidate pairs of all tiles, the smaller set's document first; members: h, tile, bi, bj (blocks that meet), block, lower, id, n, comp, bits."""
     kind = members.schema["id"].dataType.simpleString()
-    rows = members.repartition(parts, "h", "bi", "bj").sortWithinPartitions("h", "bi", "bj")
+    rows = members.repartition("h", "tile", "bi", "bj").sortWithinPartitions("h", "tile", "bi", "bj")
 
     def one(tile, cols):
         import pyarrow as pa
 
-        ids, n, comp, bits, block = cols
-        every = np.asarray(ids)
-        found = list(_passing(np.asarray(n), np.asarray(comp), bits, np.asarray(block), tile[1] != tile[2]))
+        ids, n, comp, bits, lower, block = cols
+        found = list(_passing(np.asarray(n), np.asarray(comp), bits, np.asarray(lower), np.asarray(block), tile[2] != tile[3]))
         if found:
-            i, j = (every[np.concatenate(x)] for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            every = pa.array(ids)
+            return pa.RecordBatch.from_arrays([every.take(pa.array(i)), every.take(pa.array(j))], names=["a", "b"])
         return None
 
     def run(batches):
         key, held = None, None
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h", "bi", "bj", "id", "n", "comp", "bits", "block")]
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h", "tile", "bi", "bj", "id", "n", "comp", "bits", "lower", "block")]
             for k in range(batch.num_rows):
-                tile = (cols[0][k], cols[1][k], cols[2][k])
+                tile = tuple(c[k] for c in cols[:4])
                 if tile != key:
                     if key is not None and (out := one(key, held)) is not None:
                         yield out
-                    key, held = tile, ([], [], [], [], [])
-                for x, c in zip(held, cols[3:], strict=True):
+                    key, held = tile, ([], [], [], [], [], [])
+                for x, c in zip(held, cols[4:], strict=True):
                     x.append(c[k])
         if key is not None and (out := one(key, held)) is not None:
             yield out
 
-    return rows.select("h", "bi", "bj", "id", "n", "comp", "bits", "block").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.select("h", "tile", "bi", "bj", "id", "n", "comp", "bits", "lower", "block").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    """The pairs (a, b) of which a set is similar enough; a's text goes once to each TOGETHER of its partners, whose texts go once a pair."""
+    per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    parted = cut(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / TOGETHER)).cast("int").alias("part")))
+    routes = parted.select(F.col("b").alias("id"), "a", "part", F.lit(True).alias("partner")).unionByName(parted.select(F.col("a").alias("id"), "a", "part", F.lit(False).alias("partner")).distinct())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
+    places = routes.select(place("id").alias("place")).distinct()
+    near = texts.withColumn("place", place("doc_id")).join(F.broadcast(places), "place", "left_semi").select("doc_id", "text")
+    rows = near.join(routes, near["doc_id"] == routes["id"]).select("text", "a", "part", "partner", "id")
     kind = texts.schema["doc_id"].dataType.simpleString()
 
-    def make(ids, keys, bounds):
+    def run(batches):
         import pyarrow as pa
 
-        return [ids, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys.view(np.int64)))]
-
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
-    places = wanted.select(place("id").alias("place")).distinct()
-    near = texts.withColumn("place", place("doc_id")).join(F.broadcast(places), "place", "left_semi").select("doc_id", "text")
-    rows = near.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = _over_sets(rows, make, f"id {kind}, s array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PER_CENT).select("a", "b")
+        key, pivots = None, []
+        for batch in batches:
+            data, offsets = string_buffer(batch.column(0))
+            keyed = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            partner = batch.column(3).to_numpy(zero_copy_only=False)
+            good = []
+            for i, j in steps(offsets):
+                at = offsets[i : j + 1]
+                keys, bounds = _sets(data[at[0] : at[-1]], at - at[0])
+                k = i
+                while k < j:
+                    if keyed[k] != key:
+                        key, pivots = keyed[k], []
+                    if not partner[k]:
+                        pivots.append(keys[bounds[k - i] : bounds[k - i + 1]].copy())
+                        k += 1
+                        continue
+                    e = k
+                    while e < j and partner[e] and keyed[e] == key:
+                        e += 1
+                    mine, own = keys[bounds[k - i] : bounds[e - i]], bounds[k - i : e - i + 1] - bounds[k - i]
+                    linked = np.zeros(e - k, bool)
+                    for p in pivots:
+                        linked |= _similar(p, mine, own)
+                    good.append(k + np.flatnonzero(linked))
+                    k = e
+            if good:
+                at = pa.array(np.concatenate(good))
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(4).take(at)], names=["a", "b"])
+
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "partner")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _similar(pivot: np.ndarray, keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which of several sorted sets, back to back, are similar enough to a sorted set: exact intersections by binary search."""
+    n = np.diff(bounds)
+    if not len(pivot) or not len(keys):
+        return np.zeros(len(n), bool)
+    met = pivot[np.minimum(np.searchsorted(pivot, keys), len(pivot) - 1)] == keys
+    met = np.r_[0, np.cumsum(met)]
+    both = met[bounds[1:]] - met[bounds[:-1]]
+    return (n > 0) & (both * 100 >= (n + len(pivot) - both) * PER_CENT)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,34 +346,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _texts(docs, id_col, text_col)
     all_ = written(sketches(docs, id_col, text_col), "sketches")
     filled = all_.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = cut(filled.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id")))
-    reps = filled.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix", "bits")
-
-    # first round: each set and the smallest id of its first shingles' groups
-    first = reps.select("id", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("h"))
+    classes = cut(filled.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class")))
+    of = cut(filled.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select(F.col("doc_id").alias("id"), "n", "class").distinct())
+    # an id with several sets ties their classes together
+    tied = of.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b"))
+    tied = cut(of.join(tied.select("id", "a"), "id").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct())
+
+    # first round: each class and the pivot it shares most first shingles with
+    reps = of.where(F.col("id") == F.col("class")).select(F.col("id").alias("doc_id")).distinct()
+    first = filled.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("firsts").alias("h"))
     pivots = first.groupBy("h").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    stars = first.join(pivots, "h").where(F.col("id") != F.col("p.id"))
-    stars = stars.where(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * PER_CENT).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(_verified(cut(stars), texts))
+    stars = first.join(pivots, "h").where((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * PER_CENT))
+    stars = stars.groupBy("id", F.col("p.id").alias("a")).agg(F.count(F.lit(1)).alias("votes")).groupBy("id").agg(F.min_by("a", F.struct(-F.col("votes"), "a")).alias("a"))
+    links = cut(_verified(cut(stars.select("a", F.col("id").alias("b"))), texts)).unionByName(tied)
     known = components(links)
 
-    # second round: tiles of sets that share a shingle of their prefixes and are not yet together
-    firsts = prefixes(docs, common_shingles(all_), id_col, text_col).dropDuplicates(["id"])
-    placed = reps.select("id").join(known, "id", "left").join(firsts, "id").select("id", F.coalesce("component", "id").alias("comp"), "prefix")
-    members = cut(_shared(placed.select("id", "comp", F.explode("prefix").alias("h"))).select("h", "id", "comp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("h", "id", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).join(reps.select("id", "n", "bits"), "id")
+    # second round: tiles of sets that share a first shingle and are not yet together
+    of = cut(of.join(known.withColumnRenamed("id", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("comp")))
+    shared = _shared(posts(docs, common_shingles(docs, id_col, text_col), id_col, text_col)).select("h", F.explode("ids").alias("id"))
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
+    placed = cut(shared.join(of, "id").withColumn("band", band).select("h", "id", "n", "comp", "band", F.explode(F.array("band", F.col("band") - 1)).alias("tile")))
+    tiles = placed.groupBy("h", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(F.col("band") == F.col("tile")).alias("lower"), F.count(F.lit(1)).alias("m"))
+    tiles = tiles.where((F.col("lo") != F.col("hi")) & F.col("lower")).select("h", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    members = placed.join(tiles, ["h", "tile"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("lower", F.col("band") == F.col("tile"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("h", "tile", "id", "n", "comp", "lower", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    members = members.join(filled.select(F.col("doc_id").alias("id"), "n", "bits"), ["id", "n"])
     more = cut(_verified(cut(_tile_pairs(members)), texts))
 
-    # links of both rounds, and each document through its class
-    joined = components(links.unionByName(more))
-    classes = classes.join(joined, "id", "left").select("fp1", "fp2", F.coalesce("component", "id").alias("component"))
+    # links of both rounds, and each document through its class; those of the second are between documents
+    own = of.select("id", "comp").distinct()
+    more = more.join(own.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(own.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    joined = components(links.unionByName(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    classes = classes.join(joined.withColumnRenamed("id", "class"), "class", "left").select("fp1", "fp2", F.coalesce("component", "class").alias("component"))
     out = all_.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a row without an id links with nothing, whatever it says
+    linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(linked, "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all its columns: that of the component's id, one row each."""
+    """One document of each component, with all its columns: that of the component's id.  Of rows that share that id the one of the smallest hash stays; rows without an id all stay."""
     gone = near_duplicates(docs, id_col, text_col).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("copy_")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["copy_"]), "left_anti")
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone["copy_"]), "left_anti")
+    # rows without an id are spread, those of one id follow its partition
+    one = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(*docs.columns))).orderBy(F.xxhash64(*docs.columns))
+    return left.withColumn("row_", F.row_number().over(one)).where((F.col("row_") == 1) | F.col(id_col).isNull()).drop("row_")
