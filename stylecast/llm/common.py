@@ -104,14 +104,15 @@ def steps(offsets: np.ndarray):
 
 
 def string_buffer(column) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of an Arrow string column without nulls, without a copy."""
+    """Bytes and offsets of an Arrow string or binary column, nulls as empty ones, without a copy."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = pc.fill_null(column, "")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+        column = pc.fill_null(column, b"" if binary else "")
+    if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
+        column = column.cast(pa.large_binary() if binary else pa.large_string())
     _, offs, data = column.buffers()
     offsets = np.frombuffer(offs, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets

@@ -14,7 +14,8 @@ sorted arrays.
 Large groups of near copies would pass in all pairs.  So a first round only ties each set
 to one pivot, the smallest id of one of its first shingles' groups, and links those that are
 similar; sets that already belong together aren't compared again, which loses no link
-between components.  A tile too large for one task is cut into blocks, and its pairs of
+between components; of two components that meet in tiles, the pair with the fewest
+differing bits is verified before the others.  A tile too large for one task is cut into blocks, and its pairs of
 blocks are tiles of their own.  Pairs are verified a pivot at a time; a pivot's text is sent
 once for each TOGETHER of its partners.
 
@@ -40,8 +41,10 @@ FIRST = 4
 COMMON, COMMON_SETS = 100_000, 32
 #: Sets of a tile that one task compares at once, and partners of a pivot that are verified together.
 BLOCK, TOGETHER = 1024, 64
-#: Growth of sizes from band to band: a little more than two linked sets can differ.
-BAND = 1.26
+#: Pairs of a tile whose signatures are compared in one numpy step.
+PAIRS_AT_ONCE = 1 << 18
+#: Growth of sizes from band to band: a little more than two linked sets can differ; and bands of a tile, besides the one above them.
+BAND, BANDS = 1.26, 4
 #: Hash places of wanted documents, a filter of fixed size: beyond it more texts are shuffled, once each at most.
 PLACES = 1 << 21
 
@@ -225,61 +228,77 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h").select("h", "ids").mapInArrow(run, rows.schema)
 
 
-def _passing(n: np.ndarray, comp: np.ndarray, bits: list[bytes], lower: np.ndarray, block: np.ndarray, cross: bool):
-    """Pairs of a tile whose sizes and signatures allow a link, the smaller set in the tile's lower band; yields arrays of (i, j)."""
-    order = np.argsort(n, kind="stable")
-    size = n[order]
-    words = np.array([len(bits[k]) // 8 for k in order])
-    stack = {w: np.frombuffer(b"".join(bits[k] for k, v in zip(order, words, strict=True) if v == w), np.uint64).reshape(-1, w) for w in np.unique(words)}
-    low = np.searchsorted(words, words, side="left")  # words grow with the size
-    for i in range(min(len(order) - 1, int(lower.sum()))):
-        j = np.arange(i + 1, np.searchsorted(size, size[i] * 100 // PER_CENT, side="right"))
-        if not len(j):
-            continue
-        j = j[(comp[order[j]] != comp[order[i]]) & ((block[order[j]] != block[order[i]]) if cross else True)]
-        mine = stack[words[i]][i - low[i]]
-        for w in np.unique(words[j]):
-            k = j[words[j] == w]
-            theirs = _fold(stack[w][k - low[k]], words[i])
-            differ = np.bitwise_count(theirs ^ mine).sum(1)
-            # |A - B| + |B - A| <= (100 - p) / (100 + p) * (|A| + |B|)
-            k = k[differ * (100 + PER_CENT) <= (size[k] + size[i]) * (100 - PER_CENT)]
-            if len(k):
-                yield np.full(len(k), order[i]), order[k]
+def _differing(bits: list[np.ndarray], words: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits that differ between the parity bitmaps of sets i and j, the larger folded to the size of the smaller."""
+    out = np.zeros(len(i), np.int64)
+    for w in np.unique(words[i]):
+        for v in np.unique(words[j[words[i] == w]]):
+            k = np.flatnonzero((words[i] == w) & (words[j] == v))
+            out[k] = np.bitwise_count(bits[w][place[i[k]]] ^ _fold(bits[v][place[j[k]]], w)).sum(1)
+    return out
+
+
+def _passing(tile: np.ndarray, n: np.ndarray, comp: np.ndarray, lower: np.ndarray, block: np.ndarray, cross: np.ndarray, signatures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, differing bits in thousandths of both sizes) whose sizes and signatures allow a link, of rows sorted by tile and size; the smaller set is in its tile's lower band."""
+    data, offsets = signatures
+    words = np.diff(offsets) // 8
+    place, bits = np.zeros(len(n), np.int64), {}
+    for w in np.unique(words):
+        k = np.flatnonzero(words == w)
+        place[k] = np.arange(len(k))
+        bits[w] = np.ascontiguousarray(data[(offsets[k][:, None] + np.arange(8 * w))]).view(np.uint64).reshape(len(k), w)
+    span = int(n.max()) * 2 + 1
+    ends = np.searchsorted(tile * span + n, tile * span + np.minimum(n * 100 // PER_CENT, span - 1), side="right")
+    partners = np.where(lower, ends - np.arange(len(n)) - 1, 0)
+    total, found, at = np.r_[0, np.cumsum(partners)], [], 0
+    while at < len(n):  # about PAIRS_AT_ONCE pairs at once
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_AT_ONCE, side="right")) - 1)
+        i = np.repeat(np.arange(at, to), partners[at:to])
+        j = i + 1 + np.arange(len(i)) - (total[i] - total[at])
+        k = (comp[i] != comp[j]) & (~cross[i] | (block[i] != block[j]))
+        i, j = i[k], j[k]
+        differ = _differing(bits, words, place, i, j)
+        # |A - B| + |B - A| <= (100 - p) / (100 + p) * (|A| + |B|)
+        k = differ * (100 + PER_CENT) <= (n[i] + n[j]) * (100 - PER_CENT)
+        found.append((i[k], j[k], differ[k] * 1000 // (n[i[k]] + n[j[k]])))
+        at = to
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _tile_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs of all tiles, the smaller set's document first; members: h, tile, bi, bj (blocks that meet), block, lower, id, n, comp, bits."""
+    """Candidate pairs of all tiles: a, b, differ (differing bits in thousandths of both sizes); members: h, tile, bi, bj (blocks that meet), block, lower, id, n, comp, bits."""
     kind = members.schema["id"].dataType.simpleString()
-    rows = members.repartition("h", "tile", "bi", "bj").sortWithinPartitions("h", "tile", "bi", "bj")
+    keys, names = ["h", "tile", "bi", "bj"], ["h", "tile", "bi", "bj", "id", "n", "comp", "lower", "block", "bits"]
 
-    def one(tile, cols):
+    def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        ids, n, comp, bits, lower, block = cols
-        found = list(_passing(np.asarray(n), np.asarray(comp), bits, np.asarray(lower), np.asarray(block), tile[2] != tile[3]))
-        if found:
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            every = pa.array(ids)
-            return pa.RecordBatch.from_arrays([every.take(pa.array(i)), every.take(pa.array(j))], names=["a", "b"])
-        return None
-
-    def run(batches):
-        key, held = None, None
+        def pairs(table):
+            if not table.num_rows:
+                return
+            col = {c: table.column(c).combine_chunks() for c in names}
+            h, t, bi, bj = (col[c].to_numpy() for c in keys)
+            fresh = np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]
+            comp = pc.rank(col["comp"], tiebreaker="dense").to_numpy().astype(np.int64)
+            i, j, differ = _passing(np.cumsum(fresh), col["n"].to_numpy(), comp, col["lower"].to_numpy(zero_copy_only=False), col["block"].to_numpy(), bi != bj, string_buffer(col["bits"]))
+            yield pa.RecordBatch.from_arrays([col["id"].take(pa.array(i)), col["id"].take(pa.array(j)), pa.array(differ)], names=["a", "b", "differ"])
+
+        held = None
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h", "tile", "bi", "bj", "id", "n", "comp", "bits", "lower", "block")]
-            for k in range(batch.num_rows):
-                tile = tuple(c[k] for c in cols[:4])
-                if tile != key:
-                    if key is not None and (out := one(key, held)) is not None:
-                        yield out
-                    key, held = tile, ([], [], [], [], [], [])
-                for x, c in zip(held, cols[4:], strict=True):
-                    x.append(c[k])
-        if key is not None and (out := one(key, held)) is not None:
-            yield out
+            table = pa.Table.from_batches([batch.select(names)])
+            table = table if held is None else pa.concat_tables([held, table])
+            if table.num_rows:  # the last tile may go on
+                last = [table.column(c)[-1].as_py() for c in keys]
+                same = np.logical_and.reduce([table.column(c).to_numpy() == x for c, x in zip(keys, last, strict=True)])
+                first = int(np.argmax(same))
+                yield from pairs(table.slice(0, first))
+                held = table.slice(first)
+        if held is not None:
+            yield from pairs(held)
 
-    return rows.select("h", "tile", "bi", "bj", "id", "n", "comp", "bits", "lower", "block").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    rows = members.repartition(*keys).sortWithinPartitions(*keys, "n").select(*names)
+    return rows.mapInArrow(run, f"a {kind}, b {kind}, differ long").groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -355,7 +374,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # first round: each class and the pivot it shares most first shingles with
     reps = of.where(F.col("id") == F.col("class")).select(F.col("id").alias("doc_id")).distinct()
     first = filled.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("firsts").alias("h"))
-    pivots = first.groupBy("h").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    pivots = cut(first.groupBy("h").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("h", "p"))
     stars = first.join(pivots, "h").where((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * PER_CENT))
     stars = stars.groupBy("id", F.col("p.id").alias("a")).agg(F.count(F.lit(1)).alias("votes")).groupBy("id").agg(F.min_by("a", F.struct(-F.col("votes"), "a")).alias("a"))
     links = cut(_verified(cut(stars.select("a", F.col("id").alias("b"))), texts)).unionByName(tied)
@@ -365,20 +384,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = cut(of.join(known.withColumnRenamed("id", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("comp")))
     shared = _shared(posts(docs, common_shingles(docs, id_col, text_col), id_col, text_col)).select("h", F.explode("ids").alias("id"))
     band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
-    placed = cut(shared.join(of, "id").withColumn("band", band).select("h", "id", "n", "comp", "band", F.explode(F.array("band", F.col("band") - 1)).alias("tile")))
-    tiles = placed.groupBy("h", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(F.col("band") == F.col("tile")).alias("lower"), F.count(F.lit(1)).alias("m"))
-    tiles = tiles.where((F.col("lo") != F.col("hi")) & F.col("lower")).select("h", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(tiles, ["h", "tile"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("lower", F.col("band") == F.col("tile"))
+    tile = F.floor(band / BANDS).cast("int")
+    # the lowest band of a tile is also the one above the tile before
+    where = F.when(F.pmod(band, F.lit(BANDS)) == 0, F.array(tile, tile - 1)).otherwise(F.array(tile))
+    placed = cut(shared.join(of, "id").select("h", "id", "n", "comp", tile.alias("own"), F.explode(where).alias("tile")))
+    lower = F.col("own") == F.col("tile")
+    tiles = placed.groupBy("h", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(lower).alias("lower"), F.count(F.lit(1)).alias("m"))
+    tiles = cut(tiles.where((F.col("lo") != F.col("hi")) & F.col("lower")).select("h", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    members = placed.join(tiles, ["h", "tile"]).select("h", "tile", "id", "n", "comp", lower.alias("lower"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("h", "tile", "id", "n", "comp", "lower", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    members = members.join(filled.select(F.col("doc_id").alias("id"), "n", "bits"), ["id", "n"])
-    more = cut(_verified(cut(_tile_pairs(members)), texts))
-
-    # links of both rounds, and each document through its class; those of the second are between documents
-    own = of.select("id", "comp").distinct()
-    more = more.join(own.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(own.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-    joined = components(links.unionByName(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-    classes = classes.join(joined.withColumnRenamed("id", "class"), "class", "left").select("fp1", "fp2", F.coalesce("component", "class").alias("component"))
+    members = members.join(filled.select(F.col("doc_id").alias("id"), "n", "bits").distinct(), ["id", "n"])
+    own = cut(of.select("id", "comp").distinct())
+    met = _tile_pairs(members).join(own.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(own.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    met = cut(met)
+
+    # of each two components the most promising pair, twice, then all pairs that are still apart
+    for last in (False, False, True):
+        tried = met.select("a", "b")
+        if not last:
+            tried = cut(met.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b"))
+        more = _verified(tried, texts).join(met, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        links = cut(links.unionByName(more))
+        known = components(links)
+        if not last:
+            for c in ("ca", "cb"):
+                met = met.join(known.select(F.col("id").alias(c), F.col("component").alias("now")), c, "left").withColumn(c, F.coalesce("now", c)).drop("now")
+            met = cut(met.where(F.col("ca") != F.col("cb")).join(tried, ["a", "b"], "left_anti"))
+
+    # each document through its class
+    classes = classes.join(known.withColumnRenamed("id", "class"), "class", "left").select("fp1", "fp2", F.coalesce("component", "class").alias("component"))
     out = all_.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left")
     # a row without an id links with nothing, whatever it says
     linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
