@@ -1,9 +1,12 @@
 """Token counts by rank-synchronous array merging.
 
-The pre-tokens of a batch are held as one ragged numpy array of symbol ids.  In each
-round every sequence applies its own lowest-rank pair, all sequences at once, until no
-sequence has a pair left; the surviving symbols are counted.  Only distinct pre-tokens
-are merged; counts are then looked up for each occurrence.
+The pre-tokens of a batch are held as one ragged numpy array of symbol ids, cut where no
+piece spans two characters.  In each round every sequence applies its own lowest-rank pair
+wherever it stands, all sequences at once, until no sequence has a pair left; the surviving
+symbols are counted.  Where a merge makes a pair of lower rank than its own, those to the
+right of it wait for the next round.  Only distinct pre-tokens are merged; counts are then
+looked up for each occurrence.  A stretch of more than LONG characters (no white space, no
+cut) would take as many rounds as it has ranks: its pairs are merged in order from a heap.
 
 The merges are those of a sentencepiece BPE model with an identity normaliser: pieces and
 their order are read from the model file, which also gives the byte fallback (a symbol
@@ -15,6 +18,7 @@ repeat in the result as they do in the input; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 200_000
+#: Symbols of a stretch that is merged in rounds at most.
+LONG = 256
 _NONE = np.iinfo(np.int32).max
 _PRE = re.compile("▁+[^▁]*|[^▁]+")
 
@@ -61,7 +67,9 @@ class PieceMerges:
         order = np.argsort(keys)
         self.keys, self.to, self.rank = (np.asarray(x)[order] for x in (keys, to, ranks))
         self.rank = self.rank.astype(np.int32)
-        #: A piece that takes part in a pair of lower rank than its own: it may only be merged one at a time.
+        #: Two characters side by side in some piece.
+        self.beside = np.unique([self._point(a) << 32 | self._point(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)])
+        #: A piece that takes part in a pair of lower rank than its own.
         own = np.full(1 << 21, -1, np.int64)
         for i in range(len(pieces)):
             own[i] = rank[i] if len(pieces[i][1]) > 1 else -1
@@ -71,6 +79,10 @@ class PieceMerges:
             early = (own[side] > self.rank) & (side < len(pieces))
             self.careful[side[early]] = True
         self.cost = {}
+        self._table: dict[int, tuple[int, int]] = {}
+
+    def _point(self, char: str) -> int:
+        return self.ids.get(char, self._symbol(char))
 
     def _symbol(self, char: str) -> int:
         """Ids of characters that are no pieces: above those of the pieces."""
@@ -91,8 +103,16 @@ class PieceMerges:
         distinct, inverse = np.unique(points, return_inverse=True)
         sym = np.array([self.ids.get(chr(c), len(self.ids) + c) for c in distinct], np.int64)[inverse]
         lens = np.fromiter(map(len, pre), np.int64, len(pre))
-        out = np.zeros(len(pre), np.int64)
-        seq = np.repeat(np.arange(len(pre)), lens)
+        of = np.repeat(np.arange(len(pre)), lens)
+        key = sym[:-1] << 32 | sym[1:]
+        spanned = self.beside[np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)] == key
+        starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | ~spanned])
+        owner, sizes = of[starts], np.diff(np.r_[starts, len(sym)])
+        out = np.zeros(len(starts), np.int64)
+        for k in np.flatnonzero(sizes > LONG):
+            out[k] = self._in_order(sym[starts[k] : starts[k] + sizes[k]].tolist())
+        seq, short = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= LONG, sizes)
+        sym, seq = sym[short], seq[short]
         ranks = np.full(len(sym), _NONE, np.int32)  # of the pair that starts here
         inside = np.flatnonzero(seq[1:] == seq[:-1])
         ranks[inside] = self._ranks(sym[inside], sym[inside + 1])
@@ -102,10 +122,7 @@ class PieceMerges:
             sizes = np.diff(np.r_[starts, len(sym)])
             if (done := low == _NONE).any():
                 over = np.repeat(done, sizes)
-                # a symbol that is no piece falls back to the bytes of its character
-                points = sym[over] - len(self.ids)
-                cost = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-                np.add.at(out, seq[over], cost)
+                np.add.at(out, seq[over], self._tokens(sym[over]))
                 keep = ~over
                 sym, seq, ranks = sym[keep], seq[keep], ranks[keep]
                 if not len(sym):
@@ -118,9 +135,18 @@ class PieceMerges:
             hit = hit[(hit - begin) % 2 == 0]
             merged = self._merged(sym[hit], sym[hit + 1])
             if (wary := self.careful[merged]).any():
-                first = np.r_[True, seq[hit[1:]] != seq[hit[:-1]]]
-                slow = np.isin(seq[hit], seq[hit][wary])  # only the leftmost of such a sequence
-                keep = first | ~slow
+                k = np.flatnonzero(wary)
+                own, r = hit[k], ranks[hit[k]]
+                # what stands on the left has been merged before, what stands on the right has not
+                left = np.where((k > 0) & (hit[k - 1] == own - 2), merged[k - 1], sym[own - 1])
+                loud = (own > 0) & (seq[own - 1] == seq[own]) & (self._ranks(left, merged[k]) < r)
+                right = np.minimum(own + 2, len(sym) - 1)
+                loud |= (own + 2 < len(sym)) & (seq[right] == seq[own]) & (self._ranks(merged[k], sym[right]) < r)
+                before = np.zeros(len(hit) + 1, np.int64)
+                before[k[loud] + 1] = 1
+                before = np.cumsum(before)
+                begun = np.maximum.accumulate(np.where(np.r_[True, seq[hit[1:]] != seq[hit[:-1]]], before[:-1], 0))
+                keep = before[:-1] == begun
                 hit, merged = hit[keep], merged[keep]
             sym[hit] = merged
             gone = np.zeros(len(sym), bool)
@@ -135,7 +161,37 @@ class PieceMerges:
             left = at[at > 0] - 1
             left = left[seq[left + 1] == seq[left]]
             ranks[left] = self._ranks(sym[left], sym[left + 1])
-        return out
+        return np.bincount(owner, out, len(pre)).astype(np.int64)
+
+    def _tokens(self, sym: np.ndarray) -> np.ndarray:
+        """Tokens of each symbol: one that is no piece falls back to the bytes of its character."""
+        points = sym - len(self.ids)
+        return 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+
+    def _in_order(self, sym: list[int]) -> int:
+        """Tokens of a long stretch: pairs by rank, then from the left, in n log n steps."""
+        if not self._table:
+            self._table = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.to.tolist(), strict=True), strict=True))
+        get, end = self._table.get, len(sym)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(m[0], i, m[1], k) for i in range(end - 1) if (m := get(k := sym[i] << 32 | sym[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, to, key = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= end or sym[i] << 32 | sym[j] != key:
+                continue
+            sym[i], sym[j] = to, -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if m := get(key := to << 32 | sym[k]):
+                    heapq.heappush(heap, (m[0], i, m[1], key))
+            h = before[i]
+            if h >= 0 and (m := get(key := sym[h] << 32 | to)):
+                heapq.heappush(heap, (m[0], h, m[1], key))
+        left = np.array(sym)
+        return int(self._tokens(left[left >= 0]).sum())
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""

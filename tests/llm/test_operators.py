@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -41,8 +42,17 @@ def test_token_counts(spark, odd):
     texts = mixed(1, ["a", "the ", "  ", "▁", "é", "日本", "😀", "<s>", "\n", "ing", "aaaa", "=====", "<0x0A>", "ll"], 400, 40)
     got = {r.doc_id: r for r in tokens.token_counts(frame(spark, texts), path).collect()}
     assert [got[k].n_tokens for k in range(len(texts))] == [len(lib.encode(t)) for t in texts]
+    model = tokens.merges(path)
+    rnd = random.Random(11)
+    letters = ["".join(rnd.choice(p) for _ in range(n)) for p in ("l", "le", "=-", "abcdefghijklmnopqrstuvwxyz", "日本語中文の", "0123456789abcdef", "an") for n in (7, 60, 250, 300, 3000)]
+    assert model.count(letters).tolist() == [len(lib.encode(t)) for t in letters]
+    for pool in ("l", "etaoinshrdlu"):
+        text = "".join(rnd.choice(pool) for _ in range(100_000))
+        start = time.time()
+        n = model.count([text])[0]
+        assert time.time() - start < 5 and n == len(lib.encode(text))
     rows = tokens.token_counts(odd, path, limit=5).collect()
-    assert len(rows) == len(ODD)
+    assert len(rows) == len(ODD) and tokens.token_counts(odd.limit(0), path).count() == 0
     assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in rows if r.doc_id in (1, 2)} == {(1, 0, 0), (2, 0, 0)}
     assert all(r.over_limit == (r.n_tokens > 5) for r in rows)
 
