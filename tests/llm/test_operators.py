@@ -329,3 +329,11 @@ def test_substring_dedup_on_odd_rows(spark, odd):
     words = " ".join(f"w{k}" for k in range(60))
     tied = spark.createDataFrame([(1, words), (1, words), (1, words + " x"), (2, "y " + words)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_words) for r in substrings.repeated_passages(tied).collect()) == [(1, 60), (2, 60)]
+
+
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "Yes.\n\t\nno word above", "a"), (2, "Yes.\nYex.\n\t\n", "b"), (2, "Yes.\nYex.\n\t\n", "b"), (None, "Yes.", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    got = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in lines.deduplicated(df).collect())
+    assert got == [(0, "Yes.", 1, 0), (1, "Yes.\n\t\nno word above", 3, 0), (2, "Yex.\n\t\n", 4, 1), (2, "Yex.\n\t\n", 4, 1)]
+    assert lines.deduplicated(df.limit(0)).count() == 0
