@@ -1,71 +1,90 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory (DataFrame functions only).
 
-The sections of a document that are scanned are its first lines (the header) and every
-line that speaks of licences or copyright.  Each section and each template is a sparse
-vector of its distinct words, weighted by inverse document frequency over all sections of
-the corpus; words that no template has weigh as if seen once.  A document's own licence is
-that of the best cosine over the threshold.  A document most of which is its licence acts
-as the licence file of its directory; documents without a licence of their own inherit
-from the nearest directory above them that has such a file.
-
-Directories are resolved once each, not once a document.  Defined cases: null or empty
-texts have no licence of their own and may inherit; a null path has no directory; ties go
-to the smaller name; equal rows give one result; an empty table gives an empty result.
+A document's sections are each of its lines, each block of lines between blank ones, its
+header (the first HEADER_LINES lines with a word together) and the whole text.  A section
+and a template are sparse vectors of their words' counts times the words' inverse document
+frequency over all texts of the corpus.  A document's own licence is that of the best
+cosine over the threshold.  A document of which that section is a good part acts as the
+licence file of its directory; documents without a licence of their own inherit from the
+nearest directory above them that has such a file.
+
+A section reaches the threshold only if it shares one of a template's anchors: its heaviest
+words, without which the rest is too light.  So only sections with an anchor are weighed;
+this drops none that would be found.  Directories are resolved once each, not once a document.
+
+Defined cases: null or empty texts have no licence of their own and may inherit; a null path
+has no directory; ties go to the smaller name, then to lines before blocks, header and whole
+text; equal rows give one result; other columns are ignored; an empty table gives an empty
+result; rows without an id have none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import cut
+from .licence_texts import TEMPLATES
 
-# Notices of common licences.
-TEMPLATES = (
-    ("Apache-2.0", "licensed under the apache license, version 2.0"),
-    ("BSD-3-Clause", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
-    ("CC-BY-NC-4.0", "licensed under cc by-nc 4.0"),
-    ("GPL-3.0", "this work is licensed under the gnu general public license, version 3"),
-    ("MIT", "released under the mit license"),
-    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license, v. 2.0"),
-)
-HEADER_LINES, THRESHOLD, FILE_SHARE = 3, 0.6, 0.3
-KEYWORDS = r"(?i)licen[sc]|copyright|spdx"
+HEADER_LINES, THRESHOLD, FILE_SHARE = 20, 0.6, 0.3
+#: Words of all templates together at most: they are broadcast.
+MOST_TEMPLATE_WORDS = 1_000_000
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+(?:[.-][a-z0-9]+)*)"), 1))
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _vector(words: Column) -> Column:
+    """Counts of an array's words: an array of (word, tf)."""
+    return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.size(F.filter(words, lambda x: x == w)).alias("tf")))
 
 
 def sections(docs: DataFrame, id_col: str, text_col: str, header_lines: int = HEADER_LINES) -> DataFrame:
-    """doc_id, section (line number), share of the text, words."""
-    lines = F.transform(F.split(F.col(text_col).cast("string"), "\n"), lambda x, k: F.struct(k.alias("section"), x.alias("line")))
-    picked = F.filter(lines, lambda x: (x["section"] < header_lines) | x["line"].rlike(KEYWORDS))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.length(text_col).alias("n"), F.inline(picked))
-    return rows.select("doc_id", "section", (F.length("line") / F.col("n")).alias("share"), _words(F.col("line")).alias("words"))
+    """doc_id, kind (0 line, 1 block of lines, 2 header, 3 whole text), k (its number), words, n_words (of the text)."""
+    text = F.col(text_col).cast("string")
+    rows = docs.where(text.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    numbered = lambda kind, parts: F.filter(F.transform(parts, lambda p, k: F.struct(F.lit(kind).alias("kind"), k.cast("int").alias("k"), _words(p).alias("words"))), lambda s: F.size(s["words"]) > 0)
+    rows = rows.withColumn("lines", numbered(0, F.split("text", "\n")))
+    blocks = numbered(1, F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda b: F.contains(b, F.lit("\n"))))
+    one = lambda kind, lines: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("k"), F.flatten(F.transform(lines, lambda s: s["words"])).alias("words")))
+    rows = rows.withColumn("n_words", F.aggregate("lines", F.lit(0), lambda n, s: n + F.size(s["words"]))).where("n_words > 0")
+    return rows.select("doc_id", "n_words", F.inline(F.concat("lines", blocks, one(2, F.slice("lines", 1, header_lines)), one(3, F.col("lines")))))
+
+
+def template_terms(templates: DataFrame, frequencies: DataFrame, total: int) -> DataFrame:
+    """One row for each word of each template: template (its number), licence, word, weight, norm, idf; frequencies: word, df."""
+    rows = templates.select("template", "licence", F.inline(_vector(_words(F.col("notice")))))
+    rows = rows.join(frequencies, "word", "left").withColumn("idf", F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
+    rows = rows.withColumn("weight", F.col("tf") * F.col("idf"))
+    return rows.withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("template"))))
 
 
 def own_licences(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document with a licence of its own: doc_id, licence, score, share (of the text)."""
-    terms = templates.select("licence", F.explode(_words(F.col("notice"))).alias("word"))
-    vocabulary = terms.groupBy("word").agg(F.collect_set("licence").alias("licences"))
-    names = [r[0] for r in templates.select("licence").distinct().orderBy("licence").collect()]  # the templates are a parameter
+    """One row for each document with a licence of its own: doc_id, licence, score, share (of the text's words)."""
+    n_words = templates.agg(F.sum(F.size(_words(F.col("notice"))))).first()[0] or 0
+    if n_words > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"templates of {n_words} words together; {MOST_TEMPLATE_WORDS} can be broadcast")
+    texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    frequencies = cut(texts.select(F.explode(F.array_distinct(_words(F.col(text_col).cast("string")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    total = texts.count()
+    numbered = templates.select(F.xxhash64("licence", "notice").alias("template"), "licence", "notice").distinct()
+    terms = cut(template_terms(numbered, frequencies, total))
+    # the heaviest words of each template, until what is left is under the threshold by itself
+    heaviest = Window.partitionBy("template").orderBy(F.desc("weight"), "word").rowsBetween(0, Window.unboundedFollowing)
+    anchors = terms.withColumn("left", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(heaviest))).where(F.col("left") >= F.col("norm") * threshold * 0.999999)
+    anchors = sorted({r[0] for r in anchors.select("word").collect()})  # words of the templates: bounded above
+
     found = sections(docs, id_col, text_col)
-    counts = found.select(F.explode("words").alias("word")).join(F.broadcast(vocabulary.select("word")), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    weights = cut(vocabulary.join(counts, "word", "left").crossJoin(total).select("word", "licences", F.pow(F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1, 2).alias("w2"), "total"))
-    unseen = F.pow(F.log((F.col("total") + 1) / 2) + 1, 2)
-    has = lambda name: F.array_contains("licences", name)
-    # as many rows as the templates have words: broadcast
-    norms = weights.agg(F.max("total").alias("total"), *(F.sum(F.when(has(n), F.col("w2"))).alias(f"norm{k}") for k, n in enumerate(names)))
-    tokens = found.select("doc_id", "section", "share", F.explode("words").alias("word")).join(F.broadcast(weights.drop("total")), "word", "left").crossJoin(F.broadcast(norms))
-    scored = tokens.groupBy("doc_id", "section", "share").agg(
-        F.sum(F.coalesce("w2", unseen)).alias("norm"), *(F.sum(F.when(has(n), F.col("w2"))).alias(f"dot{k}") for k, n in enumerate(names)), *(F.first(f"norm{k}").alias(f"norm{k}") for k in range(len(names)))
-    )
-    cosine = F.array(*(F.struct(F.round(F.col(f"dot{k}") / F.sqrt(F.col("norm") * F.col(f"norm{k}")), 6).alias("score"), F.lit(n).alias("licence")) for k, n in enumerate(names)))
-    best = scored.select("doc_id", "section", "share", F.inline(cosine)).where(F.col("score") >= threshold)
-    pick = F.min_by(F.struct("licence", "score", "share"), F.struct(-F.col("score"), F.col("licence"), F.col("section"), -F.col("share")))
-    return best.groupBy("doc_id").agg(pick.alias("x")).select("doc_id", "x.*")
+    if anchors:
+        found = found.where(F.arrays_overlap("words", F.array(*map(F.lit, anchors))))
+    found = cut(found.select("doc_id", "kind", "k", (F.size("words") / F.col("n_words")).alias("share"), F.inline(_vector(F.col("words")))).distinct())
+    weighed = cut(found.join(frequencies, "word").withColumn("idf", F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
+    norms = weighed.groupBy("doc_id", "kind", "k", "share").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("own_norm"))
+    dots = weighed.drop("idf").join(F.broadcast(terms.select("word", "template", "licence", "norm", (F.col("weight") * F.col("idf")).alias("heavy"))), "word")
+    dots = dots.groupBy("doc_id", "kind", "k", "share", "template", "licence", "norm").agg(F.sum(F.col("tf") * F.col("heavy")).alias("dot"))
+    scored = dots.join(norms, ["doc_id", "kind", "k", "share"]).withColumn("score", F.round(F.col("dot") / (F.col("own_norm") * F.col("norm")), 6)).where(F.col("score") >= threshold)
+    pick = F.min_by(F.struct("licence", "score", "share"), F.struct(-F.col("score"), F.col("licence"), F.col("kind"), F.col("k"), -F.col("share")))
+    return scored.groupBy("doc_id").agg(pick.alias("x")).select("doc_id", "x.*")
 
 
 def _ancestors(path: Column) -> Column:
@@ -94,29 +113,50 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return spark.createDataFrame(list(templates), "licence string, notice string")
 
 
+#: Lines of a page, and its host and directories.
+PAGE_TEXT, PAGE_PATH = "<[^>]*>", "^[a-z]+://([^?#]*)"
+
+
+def pages_with_paths(pages: DataFrame) -> DataFrame:
+    """page_id, text (tags are line breaks), path (host and path of the URL)."""
+    path = F.regexp_extract("url", PAGE_PATH, 1)
+    return pages.select("page_id", F.regexp_replace("html", PAGE_TEXT, "\n").alias("text"), F.when(path != "", path).alias("path"))
+
+
 def licence_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> str:
     rows = ", ".join(f"('{a}', '{b}')" for a, b in templates)
-    words = "list_distinct(regexp_extract_all(lower({}), '([a-z0-9]+(?:[.-][a-z0-9]+)*)', 1))"
+    words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
     return f"""
 WITH t(licence, notice) AS (VALUES {rows}),
-v AS (SELECT licence, unnest({words.format("notice")}) AS word FROM t),
-d AS (SELECT DISTINCT doc_id, text, source || '/' || lang AS dir FROM documents),
-l AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS section FROM d WHERE text IS NOT NULL),
-s AS (SELECT doc_id, section, length(line) / n AS share, {words.format("line")} AS words FROM l WHERE section < {HEADER_LINES} OR regexp_matches(line, 'licen[sc]|copyright|spdx', 'i')),
-w AS (SELECT doc_id, section, share, unnest(words) AS word FROM s),
-n AS (SELECT count(*) AS total FROM s),
-x AS (SELECT v.word, power(ln((any_value(n.total) + 1) / (count(w.word) + 1)) + 1, 2) AS w2 FROM (SELECT DISTINCT word FROM v) v LEFT JOIN w ON v.word = w.word CROSS JOIN n GROUP BY v.word),
-m AS (SELECT licence, sum(w2) AS norm FROM v JOIN x USING (word) GROUP BY licence),
-z AS (SELECT doc_id, section, share, sum(coalesce(w2, power(ln((n.total + 1) / 2) + 1, 2))) AS norm FROM w LEFT JOIN x USING (word) CROSS JOIN n GROUP BY ALL),
-dots AS (SELECT doc_id, section, licence, sum(w2) AS dot FROM w JOIN x USING (word) JOIN v USING (word) GROUP BY ALL),
-c AS (SELECT doc_id, section, share, licence, round(dot / sqrt(z.norm * m.norm), 6) AS score FROM dots JOIN z USING (doc_id, section) JOIN m USING (licence)),
-own AS (SELECT doc_id, licence, score, share FROM c WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence, section, share DESC) = 1),
-k AS (SELECT DISTINCT d.doc_id, dir, licence, score, share FROM d LEFT JOIN own USING (doc_id)),
-f AS (SELECT dir, licence AS file_licence FROM k WHERE share >= {FILE_SHARE} AND dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence) = 1),
-a AS (SELECT dir, unnest([dir, split_part(dir, '/', 1), '']) AS up, unnest([0, 1, 2]) AS depth FROM (SELECT DISTINCT dir FROM k WHERE dir IS NOT NULL)),
-near AS (SELECT a.dir, up, file_licence FROM a JOIN f ON a.up = f.dir QUALIFY row_number() OVER (PARTITION BY a.dir ORDER BY depth) = 1)
-SELECT doc_id, coalesce(licence, file_licence) AS licence, score,
+d AS (SELECT DISTINCT page_id, regexp_replace(html, '{PAGE_TEXT}', chr(10), 'g') AS text, nullif(regexp_extract(url, '{PAGE_PATH}', 1), '') AS path FROM pages),
+a AS (SELECT page_id, regexp_replace(html, '{PAGE_TEXT}', chr(10), 'g') AS text FROM pages WHERE html IS NOT NULL AND page_id IS NOT NULL),
+n AS (SELECT count(*) AS total FROM a),
+f AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({words.format("text")})) AS word FROM a) GROUP BY word),
+tw AS (SELECT licence, notice, word, count(*) AS tf FROM (SELECT licence, notice, unnest({words.format("notice")}) AS word FROM t) GROUP BY ALL),
+tx AS (SELECT licence, notice, tw.word, ln((n.total + 1) / (coalesce(df, 0) + 1)) + 1 AS idf, tf FROM tw LEFT JOIN f ON tw.word = f.word CROSS JOIN n),
+tn AS (SELECT licence, notice, sqrt(sum(power(tf * idf, 2))) AS norm FROM tx GROUP BY licence, notice),
+ls AS (SELECT page_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM d WHERE text IS NOT NULL),
+lw AS (SELECT page_id, k, {words.format("part")} AS words FROM ls WHERE regexp_matches(lower(part), '[a-z0-9]')),
+lk AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS place FROM lw),
+bs AS (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS k FROM (SELECT page_id, list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda b: contains(b, chr(10))) AS p FROM d WHERE text IS NOT NULL)),
+w AS (SELECT page_id, 0 AS kind, k, unnest(words) AS word FROM lw
+      UNION ALL SELECT page_id, 1, k, unnest({words.format("part")}) FROM bs
+      UNION ALL SELECT page_id, 2, 0, unnest(words) FROM lk WHERE place <= {HEADER_LINES}
+      UNION ALL SELECT page_id, 3, 0, unnest(words) FROM lw),
+c AS (SELECT page_id, kind, k, word, count(*) AS tf FROM w GROUP BY ALL),
+m AS (SELECT page_id, kind, k, sqrt(sum(power(tf * (ln((n.total + 1) / (df + 1)) + 1), 2))) AS own_norm, sum(tf) AS size FROM c JOIN f USING (word) CROSS JOIN n GROUP BY page_id, kind, k),
+dots AS (SELECT page_id, kind, k, licence, notice, sum(c.tf * tx.tf * idf * idf) AS dot FROM c JOIN tx USING (word) GROUP BY ALL),
+s AS (SELECT page_id, kind, k, licence, round(dot / (own_norm * norm), 6) AS score, size / (SELECT size FROM m y WHERE y.page_id = dots.page_id AND y.kind = 3) AS share
+      FROM dots JOIN m USING (page_id, kind, k) JOIN tn USING (licence, notice)),
+own AS (SELECT page_id, licence, score, share FROM s WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, licence, kind, k, share DESC) = 1),
+ps AS (SELECT DISTINCT page_id, CASE WHEN path IS NOT NULL THEN array_to_string(string_split(path, '/')[:-2], '/') END AS dir FROM d),
+kn AS (SELECT ps.page_id, dir, licence, score, share FROM ps LEFT JOIN own ON ps.page_id = own.page_id),
+fi AS (SELECT dir, licence AS file_licence FROM kn WHERE share >= {FILE_SHARE} AND dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence) = 1),
+ups AS (SELECT dir, unnest(range(len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM kn WHERE dir IS NOT NULL)),
+ab AS (SELECT dir, depth, array_to_string(string_split(dir, '/')[:len(string_split(dir, '/')) - depth], '/') AS up FROM ups),
+near AS (SELECT ab.dir, up, file_licence FROM ab JOIN fi ON ab.up = fi.dir QUALIFY row_number() OVER (PARTITION BY ab.dir ORDER BY depth) = 1)
+SELECT page_id, coalesce(licence, file_licence) AS licence, score,
        CASE WHEN licence IS NOT NULL THEN 'own' WHEN file_licence IS NOT NULL THEN 'inherited' END AS origin,
        CASE WHEN licence IS NULL THEN up END AS licence_dir
-FROM k LEFT JOIN near USING (dir)
+FROM kn LEFT JOIN near ON kn.dir = near.dir
 """

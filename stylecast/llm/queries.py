@@ -39,8 +39,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
-    return licences.scanned(docs, licences.template_table(spark))
+    pages = licences.pages_with_paths(table(spark, sf_dir, "pages"))
+    return licences.scanned(pages, licences.template_table(spark), id_col="page_id").withColumnRenamed("doc_id", "page_id")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -189,12 +190,41 @@ def test_chat(spark):
     assert chat.rendered(df.limit(0)).count() == 0
 
 
+def licences_of(texts, templates, threshold):
+    """Own licences by brute force: every section against every template."""
+    words = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    df = Counter(w for _, t in texts for w in set(words(t)))
+    idf = lambda w: math.log((len(texts) + 1) / (df[w] + 1)) + 1
+    vector = lambda ws: {w: n * idf(w) for w, n in Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = {}
+    for i, t in texts:
+        inked = [x for x in t.split("\n") if words(x)]
+        parts = [words(x) for x in (*inked, *(b for b in re.split(r"\n[ \t\r]*\n", t) if "\n" in b), " ".join(inked[:20]), t)]
+        for v in map(vector, parts):
+            for name, notice in templates:
+                n = vector(words(notice))
+                score = sum(x * n.get(w, 0) for w, x in v.items()) / (norm(v) * norm(n)) if v else 0
+                if score >= threshold:
+                    out[i] = min(out.get(i, (0, "")), (-round(score, 6), name))
+    return {i: (name, -score) for i, (score, name) in out.items()}
+
+
 def test_licences(spark, odd):
-    rows = [(1, "Released under the MIT License.", "a/b/LICENSE"), (2, "some text\nof prose", "a/b/c/x"), (3, "prose about nothing much at all", "z/x"), (4, "intro\n\n\n\nLicensed under the Apache License, Version 2.0.\n" + "more prose " * 40, "a/b/y"), (5, None, None)]
+    wrapped = "# Licensed under the\n# Apache License,\n# Version 2.0\n\ncode follows here\n" + "more prose " * 40
+    mit = next(n for k, n in licences.TEMPLATES if k == "MIT" and len(n) > 100)
+    rows = [(1, mit, "a/b/LICENSE"), (2, "some text\nof prose", "a/b/c/x"), (3, "prose about nothing much at all", "z/x"), (4, wrapped, "a/b/y"), (5, None, None), (6, "Copyright\n" + mit[: len(mit) * 3 // 4] + "\n" + "much prose in one place\n" * 60, "a/q/f")]
     df = spark.createDataFrame(rows, "doc_id long, text string, path string")
     got = {r.doc_id: (r.licence, r.origin, r.licence_dir) for r in licences.scanned(df, licences.template_table(spark)).collect()}
-    assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "a/b"), 3: (None, None, None), 4: ("Apache-2.0", "own", None), 5: (None, None, None)}
+    assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "a/b"), 3: (None, None, None), 4: ("Apache-2.0", "own", None), 5: (None, None, None), 6: ("MIT", "own", None)}
+    rnd = random.Random(12)
+    pool = [w for _, n in licences.TEMPLATES for w in n.split()][:400] + ["prose"] * 50
+    texts = [(k, "\n".join(rnd.choice([" ".join(rnd.choice(pool) for _ in range(rnd.randrange(8))), rnd.choice(licences.TEMPLATES)[1][: rnd.randrange(20, 120)], ""]) for _ in range(rnd.randrange(1, 9)))) for k in range(60)]
+    got = {r.doc_id: (r.licence, r.score) for r in licences.own_licences(frame(spark, [t for _, t in texts]), licences.template_table(spark)).collect()}
+    want = licences_of(texts, licences.TEMPLATES, licences.THRESHOLD)
+    assert got.keys() == want.keys() and all(abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
     assert licences.scanned(odd.selectExpr("*", "source AS path"), licences.template_table(spark)).count() == len(set(ODD))
+    assert licences.scanned(df.limit(0), licences.template_table(spark)).count() == 0
 
 
 @pytest.mark.parametrize("together", [32, 3])
