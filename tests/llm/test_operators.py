@@ -140,6 +140,50 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def overlaps_of(texts, items):
+    """Pairs of document and item with the words that agree, by brute force: every alignment of both."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    out = {}
+    for i, t in texts:
+        for j, u in items:
+            a, b, matched = split(t), split(u), 0
+            need = math.ceil(len(b) * 0.75) if len(b) < 10 else min(13, math.ceil(len(b) / 2))
+            for shift in range(-len(b) + 1, len(a)):
+                agreed = [k for k in range(len(b)) if 0 <= k + shift < len(a) and a[k + shift] == b[k]]
+                before = [4 * p - 3 * k for p, k in enumerate(agreed)]
+                stretches = []
+                for p, k in enumerate(agreed):
+                    if p and max(before[p:]) + 1 >= min(before[:p]):
+                        stretches[-1].append(k)
+                    else:
+                        stretches.append([k])
+                matched += sum(len(s) for s in stretches if len(s) >= min(8, need))
+            if b and min(matched, len(b)) >= need:
+                out[i, j] = min(matched, len(b))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_decontamination_by_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((3, 5, 8, 12, 20, 30, 40))]
+    texts = []
+    for k in range(40):
+        w = [word() for _ in range(rnd.randrange(20))]
+        for _ in range(2):
+            part = rnd.choice(items)[1].split()
+            a = rnd.randrange(len(part))
+            part = part[a : a + rnd.randrange(3, 40)] if rnd.random() < 0.5 else part
+            w += [word() if rnd.random() < 0.12 else x for x in part] + [word() for _ in range(rnd.randrange(12))]
+        texts.append((k, " ".join(w)))
+    docs = spark.createDataFrame([*texts, texts[0], (None, texts[0][1])], "doc_id long, text string")
+    bench = spark.createDataFrame([*items, items[0], (None, "x y z")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == overlaps_of(texts, items) and len(got) > 20
+
+
 def test_decontamination_tells_stretches_apart(spark):
     rnd = random.Random(15)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
