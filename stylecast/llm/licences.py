@@ -8,7 +8,7 @@ cosine over the threshold.  A document of which that section is a good part acts
 licence file of its directory; documents without a licence of their own inherit from the
 nearest directory above them that has such a file.
 
-A section reaches the threshold only if it shares one of a template's anchors: its heaviest
+A section reaches the threshold only if it shares one of a template's anchors: its rarest
 words, without which the rest is too light.  So only sections with an anchor are weighed;
 this drops none that would be found.  Directories are resolved once each, not once a document.
 
@@ -34,11 +34,6 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _vector(words: Column) -> Column:
-    """Counts of an array's words: an array of (word, tf)."""
-    return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.size(F.filter(words, lambda x: x == w)).alias("tf")))
-
-
 def sections(docs: DataFrame, id_col: str, text_col: str, header_lines: int = HEADER_LINES) -> DataFrame:
     """doc_id, kind (0 line, 1 block of lines, 2 header, 3 whole text), k (its number), words, n_words (of the text)."""
     text = F.col(text_col).cast("string")
@@ -53,7 +48,7 @@ def sections(docs: DataFrame, id_col: str, text_col: str, header_lines: int = HE
 
 def template_terms(templates: DataFrame, frequencies: DataFrame, total: int) -> DataFrame:
     """One row for each word of each template: template (its number), licence, word, weight, norm, idf; frequencies: word, df."""
-    rows = templates.select("template", "licence", F.inline(_vector(_words(F.col("notice")))))
+    rows = templates.select("template", "licence", F.explode(_words(F.col("notice"))).alias("word")).groupBy("template", "licence", "word").agg(F.count(F.lit(1)).alias("tf"))
     rows = rows.join(frequencies, "word", "left").withColumn("idf", F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
     rows = rows.withColumn("weight", F.col("tf") * F.col("idf"))
     return rows.withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("template"))))
@@ -69,15 +64,16 @@ def own_licences(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     total = texts.count()
     numbered = templates.select(F.xxhash64("licence", "notice").alias("template"), "licence", "notice").distinct()
     terms = cut(template_terms(numbered, frequencies, total))
-    # the heaviest words of each template, until what is left is under the threshold by itself
-    heaviest = Window.partitionBy("template").orderBy(F.desc("weight"), "word").rowsBetween(0, Window.unboundedFollowing)
-    anchors = terms.withColumn("left", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(heaviest))).where(F.col("left") >= F.col("norm") * threshold * 0.999999)
+    # the rarest words of each template, until what is left is under the threshold by itself
+    rarest = Window.partitionBy("template").orderBy(F.desc("idf"), "word").rowsBetween(0, Window.unboundedFollowing)
+    anchors = terms.withColumn("left", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rarest))).where(F.col("left") >= F.col("norm") * threshold * 0.999999)
     anchors = sorted({r[0] for r in anchors.select("word").collect()})  # words of the templates: bounded above
 
     found = sections(docs, id_col, text_col)
     if anchors:
         found = found.where(F.arrays_overlap("words", F.array(*map(F.lit, anchors))))
-    found = cut(found.select("doc_id", "kind", "k", (F.size("words") / F.col("n_words")).alias("share"), F.inline(_vector(F.col("words")))).distinct())
+    found = found.select("doc_id", "kind", "k", (F.size("words") / F.col("n_words")).alias("share"), "words").distinct().select("doc_id", "kind", "k", "share", F.explode("words").alias("word"))
+    found = cut(found.groupBy("doc_id", "kind", "k", "share", "word").agg(F.count(F.lit(1)).alias("tf")))
     weighed = cut(found.join(frequencies, "word").withColumn("idf", F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
     norms = weighed.groupBy("doc_id", "kind", "k", "share").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("own_norm"))
     dots = weighed.drop("idf").join(F.broadcast(terms.select("word", "template", "licence", "norm", (F.col("weight") * F.col("idf")).alias("heavy"))), "word")
