@@ -15,7 +15,9 @@ Large groups of near copies would pass in all pairs.  So a first round only ties
 to one pivot, the smallest id of one of its first shingles' groups, and links those that are
 similar; sets that already belong together aren't compared again, which loses no link
 between components; of two components that meet in tiles, the pair with the fewest
-differing bits is verified before the others.  A tile too large for one task is cut into blocks, and its pairs of
+differing bits is verified before the others, and a tile with many pairs gives each set's
+best one first and the others only when nothing more is tied together that way.  A tile too
+large for one task is cut into blocks, and its pairs of
 blocks are tiles of their own.  Pairs are verified a pivot at a time; a pivot's text is sent
 once for each TOGETHER of its partners.
 
@@ -43,6 +45,8 @@ COMMON, COMMON_SETS = 100_000, 32
 BLOCK, TOGETHER = 1024, 64
 #: Pairs of a tile whose signatures are compared in one numpy step.
 PAIRS_AT_ONCE = 1 << 18
+#: Pairs a set beyond which a tile's best ones come first.
+DENSE = 4
 #: Growth of sizes from band to band: a little more than two linked sets can differ; and bands of a tile, besides the one above them.
 BAND, BANDS = 1.26, 4
 #: Hash places of wanted documents, a filter of fixed size: beyond it more texts are shuffled, once each at most.
@@ -265,8 +269,12 @@ def _passing(tile: np.ndarray, n: np.ndarray, comp: np.ndarray, lower: np.ndarra
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def _tile_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs of all tiles: a, b, differ (differing bits in thousandths of both sizes); members: h, tile, bi, bj (blocks that meet), block, lower, id, n, comp, bits."""
+def _tile_pairs(members: DataFrame, every: bool) -> DataFrame:
+    """Candidate pairs of all tiles: a, b, differ (differing bits in thousandths of both sizes); members: h, tile, bi, bj (blocks that meet), block, lower, id, n, comp, bits.
+
+    Unless every pair is asked for, of a tile with more than DENSE pairs a set only the best of
+    each set are given, and a row that names the tile: h, tile.
+    """
     kind = members.schema["id"].dataType.simpleString()
     keys, names = ["h", "tile", "bi", "bj"], ["h", "tile", "bi", "bj", "id", "n", "comp", "lower", "block", "bits"]
 
@@ -281,8 +289,21 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
             h, t, bi, bj = (col[c].to_numpy() for c in keys)
             fresh = np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]
             comp = pc.rank(col["comp"], tiebreaker="dense").to_numpy().astype(np.int64)
-            i, j, differ = _passing(np.cumsum(fresh), col["n"].to_numpy(), comp, col["lower"].to_numpy(zero_copy_only=False), col["block"].to_numpy(), bi != bj, string_buffer(col["bits"]))
-            yield pa.RecordBatch.from_arrays([col["id"].take(pa.array(i)), col["id"].take(pa.array(j)), pa.array(differ)], names=["a", "b", "differ"])
+            number = np.cumsum(fresh)
+            i, j, differ = _passing(number, col["n"].to_numpy(), comp, col["lower"].to_numpy(zero_copy_only=False), col["block"].to_numpy(), bi != bj, string_buffer(col["bits"]))
+            dense = np.zeros(0, np.int64)
+            if not every and len(i):
+                sets, pairs_ = np.bincount(number), np.bincount(number[i], minlength=number[-1] + 1)
+                over = pairs_ > DENSE * sets
+                dense = np.flatnonzero(fresh & over[number])
+                # the best partner of each set of these, on either side
+                best = ~over[number[i]]
+                for x in (i, j):
+                    order = np.lexsort((differ, x))
+                    best[order[np.r_[True, x[order][1:] != x[order][:-1]]]] = True
+                i, j, differ = i[best], j[best], differ[best]
+            none = pa.nulls(len(dense), col["id"].type)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([col["id"].take(pa.array(i)), none]), pa.concat_arrays([col["id"].take(pa.array(j)), none]), pa.concat_arrays([pa.array(differ), pa.nulls(len(dense), pa.int64())]), pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(h[dense])]), pa.concat_arrays([pa.nulls(len(i), pa.int32()), pa.array(t[dense])])], names=["a", "b", "differ", "h", "tile"])
 
         held = None
         for batch in batches:
@@ -298,7 +319,7 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
             yield from pairs(held)
 
     rows = members.repartition(*keys).sortWithinPartitions(*keys, "n").select(*names)
-    return rows.mapInArrow(run, f"a {kind}, b {kind}, differ long").groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return rows.mapInArrow(run, f"a {kind}, b {kind}, differ long, h long, tile int").groupBy("a", "b", "h", "tile").agg(F.min("differ").alias("differ"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -360,6 +381,34 @@ def _similar(pivot: np.ndarray, keys: np.ndarray, bounds: np.ndarray) -> np.ndar
     return (n > 0) & (both * 100 >= (n + len(pivot) - both) * PER_CENT)
 
 
+def _now(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """rows with a column of components brought up to date."""
+    names = rows.columns
+    return rows.join(known.select(F.col("id").alias(column), F.col("component").alias("now_")), column, "left").withColumn(column, F.coalesce("now_", column)).select(names)
+
+
+def _linked(pairs: DataFrame, comps: DataFrame, links: DataFrame, known: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """known and links with those of candidate pairs (a, b, differ), and whether there are more of them now.
+
+    Of each two components the most promising pair, twice, then all pairs that are still apart.
+    """
+    met = pairs.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    met, some = cut(met), False
+    for last in (False, False, True):
+        if met.isEmpty():
+            break
+        tried = met.select("a", "b")
+        if not last:
+            tried = cut(met.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b"))
+        more = cut(_verified(tried, texts).join(met, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        if not more.isEmpty():
+            some, links = True, cut(links.unionByName(more))
+            known = components(links)
+        if not last:
+            met = cut(_now(_now(met, known, "ca"), known, "cb").where(F.col("ca") != F.col("cb")).join(tried, ["a", "b"], "left_anti"))
+    return known, links, some
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest id of those that links can reach)."""
     texts = _texts(docs, id_col, text_col)
@@ -389,28 +438,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where = F.when(F.pmod(band, F.lit(BANDS)) == 0, F.array(tile, tile - 1)).otherwise(F.array(tile))
     placed = cut(shared.join(of, "id").select("h", "id", "n", "comp", tile.alias("own"), F.explode(where).alias("tile")))
     lower = F.col("own") == F.col("tile")
-    tiles = placed.groupBy("h", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(lower).alias("lower"), F.count(F.lit(1)).alias("m"))
-    tiles = cut(tiles.where((F.col("lo") != F.col("hi")) & F.col("lower")).select("h", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    members = placed.join(tiles, ["h", "tile"]).select("h", "tile", "id", "n", "comp", lower.alias("lower"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("h", "tile", "id", "n", "comp", "lower", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    members = members.join(filled.select(F.col("doc_id").alias("id"), "n", "bits").distinct(), ["id", "n"])
-    own = cut(of.select("id", "comp").distinct())
-    met = _tile_pairs(members).join(own.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(own.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-    met = cut(met)
-
-    # of each two components the most promising pair, twice, then all pairs that are still apart
-    for last in (False, False, True):
-        tried = met.select("a", "b")
-        if not last:
-            tried = cut(met.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b"))
-        more = _verified(tried, texts).join(met, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        links = cut(links.unionByName(more))
-        known = components(links)
-        if not last:
-            for c in ("ca", "cb"):
-                met = met.join(known.select(F.col("id").alias(c), F.col("component").alias("now")), c, "left").withColumn(c, F.coalesce("now", c)).drop("now")
-            met = cut(met.where(F.col("ca") != F.col("cb")).join(tried, ["a", "b"], "left_anti"))
+    comps, every = cut(of.select("id", "comp").distinct()), False
+    while True:
+        tiles = placed.groupBy("h", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(lower).alias("lower"), F.count(F.lit(1)).alias("m"))
+        tiles = cut(tiles.where((F.col("lo") != F.col("hi")) & F.col("lower")).select("h", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+        members = placed.join(tiles, ["h", "tile"]).select("h", "tile", "id", "n", "comp", lower.alias("lower"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members = members.select("h", "tile", "id", "n", "comp", "lower", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+        members = members.join(filled.select(F.col("doc_id").alias("id"), "n", "bits").distinct(), ["id", "n"])
+        met = cut(_tile_pairs(members, every))
+        dense = cut(met.where(F.col("a").isNull()).select("h", "tile").distinct())
+        known, links, linked = _linked(met.where(F.col("a").isNotNull()).select("a", "b", "differ"), comps, links, known, texts)
+        if dense.isEmpty():
+            break
+        # tiles with more pairs than were given, with what is now known of their sets
+        every = not linked
+        comps = cut(_now(comps, known, "comp"))
+        placed = cut(_now(placed.join(dense, ["h", "tile"], "left_semi"), known, "comp"))
 
     # each document through its class
     classes = classes.join(known.withColumnRenamed("id", "class"), "class", "left").select("fp1", "fp2", F.coalesce("component", "class").alias("component"))

@@ -320,9 +320,10 @@ def components_of(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [4096, 5])
-def test_jaccard_join(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, dense", [(1024, 4), (5, 0)])
+def test_jaccard_join(spark, monkeypatch, block, dense):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     rnd = random.Random(7)
     base = [[rnd.choice("ab cd ef gh ij kl mn op qr st".split()) for _ in range(rnd.randrange(3, 60))] for _ in range(15)]
     texts = []
