@@ -38,6 +38,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a step of a loop: written and read again, as a checkpoint carries its plan's constraints along, which grow with every join."""
+    return written(df, "kept")
+
+
 def text_or_empty(col="text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

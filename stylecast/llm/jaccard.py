@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut, mix, span_hashes, steps, string_buffer, word_spans, written
+from .common import kept, mix, span_hashes, steps, string_buffer, word_spans, written
 from .components import components
 
 #: Words of a shingle, and the similarity of a link in per cent.
@@ -325,7 +325,7 @@ def _tile_pairs(members: DataFrame, every: bool) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of which a set is similar enough; a's text goes once to each TOGETHER of its partners, whose texts go once a pair."""
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    parted = cut(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / TOGETHER)).cast("int").alias("part")))
+    parted = kept(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / TOGETHER)).cast("int").alias("part")))
     routes = parted.select(F.col("b").alias("id"), "a", "part", F.lit(True).alias("partner")).unionByName(parted.select(F.col("a").alias("id"), "a", "part", F.lit(False).alias("partner")).distinct())
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
     places = routes.select(place("id").alias("place")).distinct()
@@ -393,19 +393,19 @@ def _linked(pairs: DataFrame, comps: DataFrame, links: DataFrame, known: DataFra
     Of each two components the most promising pair, twice, then all pairs that are still apart.
     """
     met = pairs.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-    met, some = cut(met), False
+    met, some = kept(met), False
     for last in (False, False, True):
         if met.isEmpty():
             break
         tried = met.select("a", "b")
         if not last:
-            tried = cut(met.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b"))
-        more = cut(_verified(tried, texts).join(met, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            tried = kept(met.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b"))
+        more = kept(_verified(tried, texts).join(met, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         if not more.isEmpty():
-            some, links = True, cut(links.unionByName(more))
+            some, links = True, kept(links.unionByName(more))
             known = components(links)
         if not last:
-            met = cut(_now(_now(met, known, "ca"), known, "cb").where(F.col("ca") != F.col("cb")).join(tried, ["a", "b"], "left_anti"))
+            met = kept(_now(_now(met, known, "ca"), known, "cb").where(F.col("ca") != F.col("cb")).join(tried, ["a", "b"], "left_anti"))
     return known, links, some
 
 
@@ -414,47 +414,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _texts(docs, id_col, text_col)
     all_ = written(sketches(docs, id_col, text_col), "sketches")
     filled = all_.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = cut(filled.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class")))
-    of = cut(filled.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select(F.col("doc_id").alias("id"), "n", "class").distinct())
+    classes = kept(filled.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class")))
+    of = kept(filled.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select(F.col("doc_id").alias("id"), "n", "class").distinct())
     # an id with several sets ties their classes together
     tied = of.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b"))
-    tied = cut(of.join(tied.select("id", "a"), "id").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct())
+    tied = kept(of.join(tied.select("id", "a"), "id").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct())
 
     # first round: each class and the pivot it shares most first shingles with
     reps = of.where(F.col("id") == F.col("class")).select(F.col("id").alias("doc_id")).distinct()
     first = filled.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("firsts").alias("h"))
-    pivots = cut(first.groupBy("h").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("h", "p"))
+    pivots = kept(first.groupBy("h").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("h", "p"))
     stars = first.join(pivots, "h").where((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * PER_CENT))
     stars = stars.groupBy("id", F.col("p.id").alias("a")).agg(F.count(F.lit(1)).alias("votes")).groupBy("id").agg(F.min_by("a", F.struct(-F.col("votes"), "a")).alias("a"))
-    links = cut(_verified(cut(stars.select("a", F.col("id").alias("b"))), texts)).unionByName(tied)
+    links = kept(_verified(kept(stars.select("a", F.col("id").alias("b"))), texts)).unionByName(tied)
     known = components(links)
 
     # second round: tiles of sets that share a first shingle and are not yet together
-    of = cut(of.join(known.withColumnRenamed("id", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("comp")))
+    of = kept(of.join(known.withColumnRenamed("id", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("comp")))
     shared = _shared(posts(docs, common_shingles(docs, id_col, text_col), id_col, text_col)).select("h", F.explode("ids").alias("id"))
     band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
     tile = F.floor(band / BANDS).cast("int")
     # the lowest band of a tile is also the one above the tile before
     where = F.when(F.pmod(band, F.lit(BANDS)) == 0, F.array(tile, tile - 1)).otherwise(F.array(tile))
-    placed = cut(shared.join(of, "id").select("h", "id", "n", "comp", tile.alias("own"), F.explode(where).alias("tile")))
+    placed = kept(shared.join(of, "id").select("h", "id", "n", "comp", tile.alias("own"), F.explode(where).alias("tile")))
     lower = F.col("own") == F.col("tile")
-    comps, every = cut(of.select("id", "comp").distinct()), False
+    comps, every = kept(of.select("id", "comp").distinct()), False
     while True:
         tiles = placed.groupBy("h", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(lower).alias("lower"), F.count(F.lit(1)).alias("m"))
-        tiles = cut(tiles.where((F.col("lo") != F.col("hi")) & F.col("lower")).select("h", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+        tiles = kept(tiles.where((F.col("lo") != F.col("hi")) & F.col("lower")).select("h", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
         members = placed.join(tiles, ["h", "tile"]).select("h", "tile", "id", "n", "comp", lower.alias("lower"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         members = members.select("h", "tile", "id", "n", "comp", "lower", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
         members = members.join(filled.select(F.col("doc_id").alias("id"), "n", "bits").distinct(), ["id", "n"])
-        met = cut(_tile_pairs(members, every))
-        dense = cut(met.where(F.col("a").isNull()).select("h", "tile").distinct())
+        met = kept(_tile_pairs(members, every))
+        dense = kept(met.where(F.col("a").isNull()).select("h", "tile").distinct())
         known, links, linked = _linked(met.where(F.col("a").isNotNull()).select("a", "b", "differ"), comps, links, known, texts)
         if dense.isEmpty():
             break
         # tiles with more pairs than were given, with what is now known of their sets
         every = not linked
-        comps = cut(_now(comps, known, "comp"))
-        placed = cut(_now(placed.join(dense, ["h", "tile"], "left_semi"), known, "comp"))
+        comps = kept(_now(comps, known, "comp"))
+        placed = kept(_now(placed.join(dense, ["h", "tile"], "left_semi"), known, "comp"))
 
     # each document through its class
     classes = classes.join(known.withColumnRenamed("id", "class"), "class", "left").select("fp1", "fp2", F.coalesce("component", "class").alias("component"))
