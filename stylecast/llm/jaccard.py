@@ -330,7 +330,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
     places = routes.select(place("id").alias("place")).distinct()
     near = texts.withColumn("place", place("doc_id")).join(F.broadcast(places), "place", "left_semi").select("doc_id", "text")
-    rows = near.join(routes, near["doc_id"] == routes["id"]).select("text", "a", "part", "partner", "id")
+    rows = near.join(routes.hint("merge"), near["doc_id"] == routes["id"]).select("text", "a", "part", "partner", "id")
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -422,13 +422,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # first round: each class and the pivot it shares most first shingles with
     reps = of.where(F.col("id") == F.col("class")).select(F.col("id").alias("doc_id")).distinct()
-    first = filled.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("firsts").alias("h"))
+    first = filled.join(reps.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("firsts").alias("h"))
     pivots = kept(first.groupBy("h").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("h", "p"))
     stars = first.join(pivots, "h").where((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * PER_CENT))
     stars = stars.groupBy("id", F.col("p.id").alias("a")).agg(F.count(F.lit(1)).alias("votes")).groupBy("id").agg(F.min_by("a", F.struct(-F.col("votes"), "a")).alias("a"))
     links = kept(_verified(kept(stars.select("a", F.col("id").alias("b"))), texts)).unionByName(tied)
     known = components(links)
 
+    # (what grows with the documents is never broadcast, so that the plan is the same at every size)
     # second round: tiles of sets that share a first shingle and are not yet together
     of = kept(of.join(known.withColumnRenamed("id", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("comp")))
     shared = _shared(posts(docs, common_shingles(docs, id_col, text_col), id_col, text_col)).select("h", F.explode("ids").alias("id"))
@@ -436,16 +437,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tile = F.floor(band / BANDS).cast("int")
     # the lowest band of a tile is also the one above the tile before
     where = F.when(F.pmod(band, F.lit(BANDS)) == 0, F.array(tile, tile - 1)).otherwise(F.array(tile))
-    placed = kept(shared.join(of, "id").select("h", "id", "n", "comp", tile.alias("own"), F.explode(where).alias("tile")))
+    placed = kept(shared.join(of.hint("merge"), "id").select("h", "id", "n", "comp", tile.alias("own"), F.explode(where).alias("tile")))
     lower = F.col("own") == F.col("tile")
     comps, every = kept(of.select("id", "comp").distinct()), False
     while True:
         tiles = placed.groupBy("h", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(lower).alias("lower"), F.count(F.lit(1)).alias("m"))
         tiles = kept(tiles.where((F.col("lo") != F.col("hi")) & F.col("lower")).select("h", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-        members = placed.join(tiles, ["h", "tile"]).select("h", "tile", "id", "n", "comp", lower.alias("lower"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+        members = placed.join(tiles.hint("merge"), ["h", "tile"]).select("h", "tile", "id", "n", "comp", lower.alias("lower"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         members = members.select("h", "tile", "id", "n", "comp", "lower", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-        members = members.join(filled.select(F.col("doc_id").alias("id"), "n", "bits").distinct(), ["id", "n"])
+        members = members.join(filled.select(F.col("doc_id").alias("id"), "n", "bits").distinct().hint("merge"), ["id", "n"])
         met = kept(_tile_pairs(members, every))
         dense = kept(met.where(F.col("a").isNull()).select("h", "tile").distinct())
         known, links, linked = _linked(met.where(F.col("a").isNotNull()).select("a", "b", "differ"), comps, links, known, texts)
