@@ -73,3 +73,49 @@ def wide(cells_: DataFrame, value: str, columns: list[str], key: str = "id") ->
     """One row an id, a column a period (given as dates in text), for export."""
     rows = cells_.withColumn("_p", F.date_format("chunk_start", "yyyy-MM-dd"))
     return rows.groupBy(key).pivot("_p", columns).agg(F.sum(value)).fillna(0)
+
+
+def _ahead(c, today):
+    """Report weeks from the running one."""
+    from ..functions.calendar import chunk_ord
+
+    return chunk_ord(c) - chunk_ord(F.lit(today))
+
+
+def expected_sale(cells_: DataFrame, today, weeks: int = 9, key: str = "id") -> DataFrame:
+    """Id, expected (the forecast of the running report week and those after it), sold_so_far (in the running week)."""
+    ahead = _ahead(F.col("chunk_start"), today)
+    rows = cells_.where(ahead.between(0, weeks - 1))
+    return rows.groupBy(key).agg(F.sum("forecast").alias("expected"), F.sum(F.when(ahead == 0, F.col("actual")).otherwise(0)).alias("sold_so_far"))
+
+
+def forecast_table(cells_: DataFrame, today, weeks: int = 13, past_weeks: int = 0, key: str = "id") -> DataFrame:
+    """Forecasts of the running and coming report weeks (and some past ones) by id and week, id and month, id, week, month, and in all.
+
+    TOTAL stands for all of a side; chunk_start is null on sums over weeks.  Frozen forecasts are given as the cells' forecast.
+    """
+    rows = cells_.where(_ahead(F.col("chunk_start"), today).between(-past_weeks, weeks - 1)).withColumn("month", F.date_format("chunk_start", "yyyy-MM"))
+    k, m, c = F.col(key), F.col("month"), F.col("chunk_start")
+    out = rows.groupingSets([[k, m, c], [k, m], [k], [m, c], [m], []], key, "month", "chunk_start").agg(F.sum("forecast").alias("forecast"))
+    return out.fillna("TOTAL", [key, "month"])
+
+
+def tier_forecast(cells_: DataFrame, actual: DataFrame, tiers: DataFrame, today, months: int = 3, weeks: int = 13, past_weeks: int = 4) -> DataFrame:
+    """Month, tier, styles, units, prev_units, prev_is_forecast, change_pct: the running month and those after it by current tier.
+
+    The first month is held against the actual units of the month before, later ones against the forecast before.
+    actual: style, month, qty.  tiers: style, tier.
+    """
+    first = F.trunc(F.lit(today), "month")
+    month = F.trunc("chunk_start", "month")
+    near = cells_.where(_ahead(F.col("chunk_start"), today).between(-past_weeks, weeks - 1) & (month >= first) & (month < F.add_months(first, months)))
+    by_style = near.groupBy(F.col("id").alias("style"), month.alias("m")).agg(F.sum("forecast").alias("units")).where("units > 0")
+    tier = F.coalesce("tier", F.lit("Unclassified"))
+    units = by_style.join(tiers, "style", "left").groupBy("m", tier.alias("tier")).agg(F.count(F.lit(1)).alias("styles"), F.sum("units").alias("units"))
+    sold = actual.where(F.col("month") == F.date_format(F.add_months(first, -1), "yyyy-MM")).groupBy("style").agg(F.sum("qty").alias("units"))
+    sold = sold.join(tiers, "style", "left").groupBy(tier.alias("tier")).agg(F.sum("units").alias("prev_units")).withColumn("m", first)
+    before = units.select("tier", F.col("units").alias("prev_units"), F.add_months("m", 1).alias("m")).unionByName(sold)
+    grid = units.select("tier").distinct().select("tier", F.explode(F.array(*(F.add_months(first, k) for k in range(months)))).alias("m"))
+    rows = grid.join(units, ["m", "tier"], "left").join(before, ["m", "tier"], "left").fillna(0, ["styles", "units", "prev_units"])
+    change = F.when(F.col("prev_units") > 0, F.bround((F.col("units") - F.col("prev_units")) / F.col("prev_units") * 100, 1))
+    return rows.select(F.date_format("m", "yyyy-MM").alias("month"), "tier", "styles", "units", "prev_units", (F.col("m") > first).alias("prev_is_forecast"), change.alias("change_pct"))
