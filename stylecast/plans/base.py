@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import GROSS_STATUSES, SIZE_TOKENS, SOLD_STATUSES
 from ..sources import orders
+from ..sources.shared import new_path
 from .fixtures import TODAY, VIEWS, view
 
 NOW = f"DATE '{TODAY.isoformat()}'"
 
 
+#: Folders of the written base frames by application, folder of the tables, and name.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A base frame that many steps start from: written once an application, then read; a folder that is gone is written anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key in _WRITTEN:
+        try:
+            return spark.read.parquet(_WRITTEN[key])
+        except AnalysisException:
+            pass
+    path = new_path(spark, what)
+    make().write.parquet(path)
+    _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders.clean(view(spark, sf_dir, "orders_v"), TODAY)
+    """The cleaned lines, sorted by date within a file, so that a range of dates reads few row groups."""
+    return once(spark, sf_dir, "cleaned", lambda: orders.clean(view(spark, sf_dir, "orders_v"), TODAY).sortWithinPartitions("order_date"))
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sales base with category and sub-category."""
-    styles = view(spark, sf_dir, "attributes_v").select("style", "category", "sub_category")
-    return orders.sales_base(cleaned(spark, sf_dir)).join(styles, "style", "left").fillna("Unclassified", ["category", "sub_category"])
+
+    def make() -> DataFrame:
+        styles = view(spark, sf_dir, "attributes_v").select("style", "category", "sub_category")
+        return orders.sales_base(cleaned(spark, sf_dir)).join(styles, "style", "left").fillna("Unclassified", ["category", "sub_category"])
+
+    return once(spark, sf_dir, "sales", make)
 
 
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
