@@ -89,18 +89,24 @@ def week_features(week: Column) -> list[Column]:
     ]
 
 
-def week_axis(spark: SparkSession, start: date, today: date, snap: date, weeks: int) -> DataFrame:
-    """week, kind: Mondays from start's to today's ('past'), and those of the forecast after them ('forecast')."""
-    one = spark.range(1)
+def week_axis(snap: DataFrame, start: date, today: date, weeks: int) -> DataFrame:
+    """week, kind: Mondays from start's to today's ('past'), and those of the forecast after them ('forecast').
+
+    snap: one row with the date snap, the latest order.
+    """
     last = monday(F.lit(today))
-    past = one.select(F.explode(F.sequence(monday(F.lit(start)), last, F.expr("interval 7 days"))).alias("week"), F.lit("past").alias("kind"))
-    ahead = spark.range(weeks).select(forecast_week_start(F.lit(snap), F.col("id").cast("int")).alias("week"), F.lit("forecast").alias("kind")).where(F.col("week") > last)
-    return past.unionByName(ahead)
+    past = snap.select(F.explode(F.sequence(monday(F.lit(start)), last, F.expr("interval 7 days"))).alias("week"), F.lit("past").alias("kind"))
+    return past.unionByName(forecast_weeks(snap, weeks).select("week", F.lit("forecast").alias("kind")).where(F.col("week") > last))
+
+
+def forecast_weeks(snap: DataFrame, weeks: int) -> DataFrame:
+    """week: the Mondays of a forecast that starts from the date snap of the one row."""
+    return snap.where(F.col("snap").isNotNull()).select("snap", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("k")).select(forecast_week_start(F.col("snap"), F.col("k")).alias("week"))
 
 
-def chunk_axis(spark: SparkSession, start: date, end: date) -> DataFrame:
-    """chunk_start, chunk_end of each report week from start's month to end's."""
-    months = spark.range(1).select(F.explode(F.sequence(F.trunc(F.lit(start), "month"), F.trunc(F.lit(end), "month"), F.expr("interval 1 month"))).alias("m"))
+def chunk_axis(span: DataFrame) -> DataFrame:
+    """chunk_start, chunk_end of each report week from lo's month to hi's; span: one row of the dates lo and hi."""
+    months = span.where(F.col("lo") <= F.col("hi")).select(F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month"))).alias("m"))
     starts = months.select(F.explode(F.array(*(F.date_add("m", k) for k in (0, 7, 15, 23)))).alias("chunk_start"))
     return starts.select("chunk_start", chunk_end(F.col("chunk_start")).alias("chunk_end"))
 

@@ -37,6 +37,13 @@ def dense_days(daily: DataFrame, drop_last: bool = False) -> DataFrame:
     return span.join(daily, "day", "left").fillna(0, ["units"])
 
 
+def with_units(rows: DataFrame, daily: DataFrame) -> DataFrame:
+    """Adds the units sold on the days of each row's start_date to end_date, 0 where nothing sold."""
+    keys = rows.columns
+    days = rows.withColumn("day", F.explode(F.sequence("start_date", "end_date"))).join(daily, "day", "left")
+    return days.groupBy(*keys).agg(F.coalesce(F.sum("units"), F.lit(0)).cast("long").alias("units"))
+
+
 def same_weekday_baseline(daily: DataFrame, windows_: DataFrame, least: int = 4, most: int = 6, weeks: int = 26) -> DataFrame:
     """day, units, baseline: the median of the nearest quiet days of the same weekday before; the newest day is left out."""
     days = dense_days(daily, drop_last=True)
@@ -48,25 +55,30 @@ def same_weekday_baseline(daily: DataFrame, windows_: DataFrame, least: int = 4,
     return out.where((F.col("n") >= least) & (F.col("baseline") > 0)).select("day", "units", "baseline")
 
 
+def normal_equations(daily: DataFrame, windows_: DataFrame) -> DataFrame:
+    """a, b, n, xy: days that two events share, and (where b is a) the sum of an event's log ratios; grouped joins over days."""
+    y = F.ln(F.least(F.lit(5.0), F.greatest(F.lit(0.2), F.col("units") / F.col("baseline"))))
+    x = window_days(windows_).join(same_weekday_baseline(daily, windows_).select("day", y.alias("y")), "day")
+    pairs = x.select("day", F.col("name").alias("a"), "y").join(x.select("day", F.col("name").alias("b")), "day")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("y"))).alias("xy"))
+
+
 def calibrated(daily: DataFrame, windows_: DataFrame, ridge: float = 5.0, least_days: int = 60) -> DataFrame:
     """name, multiplier: a joint log-linear ridge of daily ratios on the events' days.
 
-    The sums of products are grouped joins over days; only the square of the event names
-    comes to the driver, to be solved.
+    Only the square of the event names comes to the driver, to be solved.
     """
     spark = daily.sparkSession
-    y = F.ln(F.least(F.lit(5.0), F.greatest(F.lit(0.2), F.col("units") / F.col("baseline"))))
-    base = same_weekday_baseline(daily, windows_).select("day", y.alias("y"))
-    x = window_days(windows_).join(base, "day")
-    names = [r[0] for r in x.select("name").distinct().orderBy("name").collect()]
-    if base.count() < least_days or not names:
+    sums = normal_equations(daily, windows_).collect()
+    names = sorted({r["a"] for r in sums})
+    if not names or same_weekday_baseline(daily, windows_).count() < least_days:
         return spark.createDataFrame([], "name string, multiplier double")
     at = {n: k for k, n in enumerate(names)}
     xx, xy = np.zeros((len(names),) * 2), np.zeros(len(names))
-    for a, b, n in x.select("day", F.col("name").alias("a")).join(x.select("day", F.col("name").alias("b")), "day").groupBy("a", "b").count().collect():
-        xx[at[a], at[b]] = n
-    for a, s in x.groupBy("name").agg(F.sum("y")).collect():
-        xy[at[a]] = s
+    for r in sums:
+        xx[at[r["a"]], at[r["b"]]] = r["n"]
+        if r["a"] == r["b"]:
+            xy[at[r["a"]]] = r["xy"]
     beta = np.linalg.solve(xx + ridge * np.eye(len(names)), xy)
     return spark.createDataFrame([(n, round(float(np.exp(b)), 3)) for n, b in zip(names, beta, strict=True)], "name string, multiplier double")
 

@@ -18,6 +18,10 @@ _ORD = "((year(d) * 12 + month(d) - 1) * 4 + CASE WHEN day(d) <= 7 THEN 0 WHEN d
 _SEASON = "CASE WHEN month(d) IN (11, 12, 1) THEN 'S1' WHEN month(d) IN (2, 3, 4) THEN 'S2' WHEN month(d) IN (5, 6, 7) THEN 'S3' ELSE 'S4' END"
 
 
+def _snap(spark, sf):
+    return view(spark, sf, "orders_v").agg(F.max("order_date").alias("snap"))
+
+
 def _days(spark, sf):
     return view(spark, sf, "orders_v").select(F.col("order_date").alias("d")).distinct()
 
@@ -50,13 +54,12 @@ def t4(spark, sf):
 UNION ALL SELECT CAST(date_trunc('week', d) AS DATE) + 7 * (w + 1) AS week, 'forecast' AS kind FROM (SELECT max(order_date) AS d FROM orders_v), (SELECT CAST(unnest(range(13)) AS INT) AS w) WHERE CAST(date_trunc('week', d) AS DATE) + 7 * (w + 1) > date_trunc('week', {NOW})""",
 )
 def t5(spark, sf):
-    snap = view(spark, sf, "orders_v").agg(F.max("order_date")).first()[0]
-    return cal.week_axis(spark, DEFAULT.axis_start, TODAY, snap, 13)
+    return cal.week_axis(_snap(spark, sf), DEFAULT.axis_start, TODAY, 13)
 
 
-@query("t6_report_week_axis", f"SELECT DISTINCT {chunk_sql('d')} AS chunk_start, {_END} AS chunk_end FROM (SELECT CAST(unnest(generate_series(DATE '1995-04-01', DATE '2001-11-30', INTERVAL 1 DAY)) AS DATE) AS d)")
+@query("t6_report_week_axis", f"SELECT DISTINCT {chunk_sql('d')} AS chunk_start, {_END} AS chunk_end FROM (SELECT CAST(unnest(generate_series(date_trunc('month', lo), last_day(hi), INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT min(order_date) AS lo, CAST(max(order_date) + INTERVAL 40 WEEK AS DATE) AS hi FROM orders_v))")
 def t6(spark, sf):
-    return cal.chunk_axis(spark, date(1995, 4, 1), date(2001, 11, 4))
+    return cal.chunk_axis(view(spark, sf, "orders_v").agg(F.min("order_date").alias("lo"), F.date_add(F.max("order_date"), 280).alias("hi")))
 
 
 @query(
@@ -85,11 +88,11 @@ def t8(spark, sf):
 
 @query(
     "t9_week_status",
-    f"""WITH w AS (SELECT CAST(unnest(generate_series(DATE '2001-06-04', DATE '2001-09-24', INTERVAL 7 DAY)) AS DATE) AS week), e AS (SELECT week, coalesce(lead(week) OVER (ORDER BY week), week + 7) - 1 AS week_end FROM w)
+    f"""WITH w AS (SELECT CAST(unnest(generate_series(DATE '2001-06-04', date_trunc('week', greatest(max(order_date) + 56, {NOW})), INTERVAL 7 DAY)) AS DATE) AS week FROM orders_v), e AS (SELECT week, coalesce(lead(week) OVER (ORDER BY week), week + 7) - 1 AS week_end FROM w)
 SELECT week, CAST(week_end AS DATE) AS week_end, CASE WHEN week_end < {NOW} THEN 'completed' WHEN week <= {NOW} THEN 'running' ELSE 'upcoming' END AS status FROM e""",
 )
 def t9(spark, sf):
-    return cal.week_status(cal.week_axis(spark, date(2001, 6, 4), date(2001, 9, 24), TODAY, 0).select("week"), TODAY)
+    return cal.week_status(cal.week_axis(_snap(spark, sf), date(2001, 6, 4), TODAY, 8).select("week"), TODAY)
 
 
 @query("t10_snapshot_date", f"SELECT max(order_date) AS snap, strftime(max(order_date) - INTERVAL 1 MONTH, '%Y-%m') AS last_month FROM orders_v WHERE order_date <= {NOW} AND product_sku_code IS NOT NULL")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import festival
 from ..registry import query
-from .base import sales
+from .base import once, sales
 from .fixtures import VIEWS, view
 
 # Effects by event, as a calibration may have left them.
@@ -23,6 +23,9 @@ VIEWS["wdays_v"] = "SELECT DISTINCT name, CAST(unnest(generate_series(start_date
 VIEWS["factors_v"] = f"""SELECT day, round_even(greatest({festival.LOWEST}, least({festival.HIGHEST}, exp(sum(ln(multiplier))))), 9) AS factor, first(name ORDER BY abs(ln(multiplier)) DESC, name) AS event FROM wdays_v JOIN effects_v USING (name) WHERE abs(multiplier - 1) > {festival.NOISE} GROUP BY day"""
 
 
+_UNITS = "name, start_date, end_date, CAST(coalesce(sum(units), 0) AS BIGINT) AS units"
+
+
 def _events(spark, sf):
     return view(spark, sf, "events_calendar_v")
 
@@ -32,12 +35,17 @@ def _effects(spark):
 
 
 def daily(spark, sf):
-    return sales(spark, sf).groupBy("day").agg(F.sum("qty").alias("units")).cache()  # a row a day, read several times
+    """A row a day, written once as steps read it several times."""
+    return once(spark, sf, "daily", lambda: _daily(spark, sf))
+
 
+def _daily(spark, sf):
+    return sales(spark, sf).groupBy("day").agg(F.sum("qty").alias("units"))
 
-@query("f1_windows", "SELECT * FROM windows_v")
+
+@query("f1_windows", f"SELECT {_UNITS} FROM windows_v LEFT JOIN daily_v ON day BETWEEN start_date AND end_date GROUP BY ALL")
 def f1(spark, sf):
-    return festival.windows(_events(spark, sf))
+    return festival.with_units(festival.windows(_events(spark, sf)), daily(spark, sf))
 
 
 VIEWS["baseline_v"] = """SELECT day, units, median(qu) AS baseline FROM (SELECT d.day, d.units, q.units AS qu, row_number() OVER (PARTITION BY d.day ORDER BY q.day DESC) AS r FROM dense_v d JOIN dense_v q ON dayofweek(d.day) = dayofweek(q.day) AND q.day < d.day AND d.day - q.day <= 182
@@ -51,6 +59,15 @@ def f2(spark, sf):
     return festival.same_weekday_baseline(daily(spark, sf), festival.windows(_events(spark, sf)))
 
 
+_EQUATIONS = """x AS (SELECT name, day, ln(least(5.0, greatest(0.2, units / baseline))) AS y FROM wdays_v JOIN baseline_v USING (day))
+SELECT p.name AS a, q.name AS b, count(*) AS n, round_even(sum(CASE WHEN p.name = q.name THEN p.y END), 6) AS xy FROM x p JOIN x q USING (day) GROUP BY ALL"""
+
+
+@query("f3_normal_equations", f"WITH {_EQUATIONS}")
+def f3_equations(spark, sf):
+    return festival.normal_equations(daily(spark, sf), festival.windows(_events(spark, sf))).withColumn("xy", F.bround("xy", 6))
+
+
 @query("f3_calibration")
 def f3(spark, sf):
     return festival.calibrated(daily(spark, sf), festival.windows(_events(spark, sf)))
@@ -73,20 +90,21 @@ def f5(spark, sf):
     return festival.week_signals(weeks, festival.windows(_events(spark, sf)), _effects(spark))
 
 
-@query("f6_uplift_windows", "SELECT name, start_date, end_date, multiplier FROM windows_v JOIN effects_v USING (name) WHERE multiplier > 1.07 AND start_date <= DATE '2001-12-31' AND end_date >= DATE '2001-06-01'")
+@query("f6_uplift_windows", f"SELECT {_UNITS}, multiplier FROM windows_v JOIN effects_v USING (name) LEFT JOIN daily_v ON day BETWEEN start_date AND end_date WHERE multiplier > 1.07 AND start_date <= DATE '2001-12-31' AND end_date >= DATE '2000-06-01' GROUP BY ALL")
 def f6(spark, sf):
-    return festival.uplift_windows(festival.windows(_events(spark, sf)), _effects(spark), date(2001, 6, 1), date(2001, 12, 31))
+    return festival.with_units(festival.uplift_windows(festival.windows(_events(spark, sf)), _effects(spark), date(2000, 6, 1), date(2001, 12, 31)), daily(spark, sf))
 
 
 @query(
     "f7_next_and_past_event",
-    """(SELECT 'next' AS part, name, start_date, end_date FROM events_calendar_v WHERE category = 'sale' AND end_date >= DATE '2001-08-01' ORDER BY start_date, name LIMIT 1)
-UNION ALL (SELECT 'past', name, start_date, end_date FROM events_calendar_v WHERE name = 'Navratri (Festival)' AND end_date < DATE '2001-08-01' ORDER BY start_date DESC LIMIT 1)""",
+    f"""SELECT part, {_UNITS} FROM ((SELECT 'next' AS part, name, start_date, end_date FROM events_calendar_v WHERE category = 'sale' AND end_date >= DATE '2001-08-01' ORDER BY start_date, name LIMIT 1)
+UNION ALL (SELECT 'past', name, start_date, end_date FROM events_calendar_v WHERE name = 'Navratri (Festival)' AND end_date < DATE '2001-08-01' ORDER BY start_date DESC LIMIT 1)) LEFT JOIN daily_v ON day BETWEEN start_date AND end_date GROUP BY ALL""",
 )
 def f7(spark, sf):
     e, cols = _events(spark, sf), ("name", "start_date", "end_date")
     a = festival.next_event(e, "sale", date(2001, 8, 1)).select(F.lit("next").alias("part"), *cols)
-    return a.unionByName(festival.past_occurrence(e, "Navratri (Festival)", date(2001, 8, 1)).select(F.lit("past").alias("part"), *cols))
+    both = a.unionByName(festival.past_occurrence(e, "Navratri (Festival)", date(2001, 8, 1)).select(F.lit("past").alias("part"), *cols))
+    return festival.with_units(both, daily(spark, sf))
 
 
 _LATE = "(SELECT style AS id, CAST(date_trunc('week', day) AS DATE) AS week, CAST(sum(qty) AS BIGINT) AS qty FROM sales_v WHERE day >= DATE '2000-07-03' AND day < DATE '2001-07-02' GROUP BY ALL)"
@@ -145,7 +163,10 @@ def f11(spark, sf):
     return festival.boosted(forecast, actual, parts).select("id", "week", "naive", "qty")
 
 
-@query("f12_horizon_factors", f"WITH {_SIGNAL.replace('SELECT DISTINCT CAST(date_trunc(' + chr(39) + 'week' + chr(39) + ', day) AS DATE) AS week FROM daily_v', 'SELECT CAST(DATE ' + chr(39) + '2001-08-06' + chr(39) + ' + 7 * k AS DATE) AS week FROM (SELECT CAST(unnest(range(40)) AS INT) AS k)')} SELECT week, factor, event FROM m LEFT JOIN e USING (week)")
+_AHEAD = "SELECT CAST(CAST(date_trunc('week', d) AS DATE) + 7 * (k + 1) AS DATE) AS week FROM (SELECT max(day) AS d FROM daily_v), (SELECT CAST(unnest(range(40)) AS INT) AS k)"
+
+
+@query("f12_horizon_factors", f"""WITH {_SIGNAL.replace("SELECT DISTINCT CAST(date_trunc('week', day) AS DATE) AS week FROM daily_v", _AHEAD)} SELECT week, factor, event FROM m LEFT JOIN e USING (week)""")
 def f12(spark, sf):
-    weeks = spark.range(40).select(cal.forecast_week_start(F.lit(date(2001, 8, 1)), F.col("id").cast("int")).alias("week"))
+    weeks = cal.forecast_weeks(daily(spark, sf).agg(F.max("day").alias("snap")), 40)
     return festival.week_signals(weeks, festival.windows(_events(spark, sf)), _effects(spark)).drop("days_to_peak")

@@ -9,6 +9,7 @@ from stylecast.functions import calendar as cal
 from stylecast.functions import keys
 from stylecast.operators import analysis, evaluation, festival, joins, panel, planning, state
 from stylecast.sources import orders, snapshots
+from stylecast.streaming import orders as orders_stream
 
 
 def one(spark, column):
@@ -144,3 +145,20 @@ def test_health_orders_errors_first(spark):  # [E7]
     rows = evaluation.health(spark, {"loaded_share": 0.9, "days_old": 5, "accuracy": 20, "spike_ratio": 3}).collect()
     assert [r.severity for r in rows] == ["error", "warning", "warning", "info"]
     assert evaluation.health(spark, {}).count() == 0
+
+
+def test_running_week_holds_over_several_micro_batches(spark, tmp_path):
+    source = str(tmp_path / "lines")
+    for i, rows in enumerate([[(1, "2024-01-18 09:00:00", 2), (1, "2024-01-22 10:00:00", 3)], [(1, "2024-01-22 12:00:00", 4), (2, "2024-01-23 10:00:00", 5)], [(1, "2024-01-24 08:00:00", 1)]]):
+        spark.createDataFrame(rows, "id long, t string, qty long").select("id", F.col("t").cast("timestamp").alias("ts"), "qty").coalesce(1).write.mode("append").parquet(f"{source}/part={i}")
+    lines = spark.readStream.schema("id long, ts timestamp, qty long, part int").option("maxFilesPerTrigger", 1).parquet(source)
+    seen = []
+
+    def sink(week, batch_id):
+        seen.append({r["id"]: (r["so_far"], round(r["pace"] * 7)) for r in week.collect()})
+
+    run = orders_stream.each_batch(spark.createDataFrame([(1, 7)], "id long, qty long"), date(2024, 1, 24), str(tmp_path / "days"), sink)
+    q = orders_stream.units_by_day(lines).writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) >= 3
+    assert seen[-1] == {1: (8, 10), 2: (5, 5)}
