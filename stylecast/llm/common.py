@@ -79,11 +79,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes; ends: where each text of the step ends."""
-    ink = ~_WHITE[data]
+    return ink_spans(~_WHITE[data], ends)
+
+
+def ink_spans(ink: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes that are ink; a run ends where its text ends."""
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
-    inner = ends[(ends > 0) & (ends < len(data))]  # a text that ends in a word ends the word
+    inner = ends[(ends > 0) & (ends < len(ink))]  # a text that ends in a word ends the word
     first[inner] |= ink[inner]
     last[inner - 1] |= ink[inner - 1]
     return np.flatnonzero(first), np.flatnonzero(last) + 1
@@ -97,11 +101,35 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold_ca
     return mix((run[stops] - run[starts]) * down[starts] ^ (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def steps(offsets: np.ndarray):
-    """(first, last) text of each step: consecutive texts of STEP_BYTES together, one text at least."""
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The place of every byte of the spans, one after the other; no span is empty."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    out = np.ones(int(lengths.sum()), np.int64)
+    out[0] = starts[0]
+    out[np.cumsum(lengths)[:-1]] = starts[1:] - (starts[:-1] + lengths[:-1]) + 1
+    return np.cumsum(out, out=out)
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each distinct content, and the number of each span's content among them.
+
+    Spans of one hash are compared byte by byte; should two contents share a hash, contents are told apart themselves.
+    """
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths = stops - starts
+    if np.array_equal(lengths, lengths[first][of]) and np.array_equal(data[spread(starts, lengths)], data[spread(starts[first][of], lengths)]):
+        return first, of
+    seen: dict[bytes, int] = {}
+    of = np.fromiter((seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), np.int64, len(starts))
+    return np.unique(of, return_index=True)[1], of
+
+
+def steps(offsets: np.ndarray, most: int = STEP_BYTES):
+    """(first, last) text of each step: consecutive texts of so many bytes together, one text at least."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, jaccard, licences, lines, pii, quality, substrings, tokens
+from . import bpe, chat, decontaminate, divergence, jaccard, licences, lines, pii, quality, substrings, tokens
 from .common import table
 
 
@@ -60,8 +60,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_substring_dedup, op3_decontamination, op4_bpe_round_trip, op5_chat_format, op6_licence_scan, op7_jaccard_join, op8_quality_rules, op9_pii, op10_line_dedup)
+    for f in (op1_token_counts, op2_substring_dedup, op3_decontamination, op4_bpe_round_trip, op5_chat_format, op6_licence_scan, op7_jaccard_join, op8_quality_rules, op9_pii, op10_line_dedup, op13_source_divergence)
 }
-ORACLES: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op6_licence_scan": licences.licence_sql(), "op10_line_dedup": lines.LINES_SQL}
+ORACLES: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op6_licence_scan": licences.licence_sql(), "op10_line_dedup": lines.LINES_SQL, "op13_source_divergence": divergence.DIVERGENCE_SQL}
