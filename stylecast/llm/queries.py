@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, collocations, decontaminate, divergence, jaccard, licences, lines, pii, quality, substrings, tokens
+from . import bpe, chat, collocations, decontaminate, divergence, jaccard, licences, lines, pii, quality, substrings, tokens, tree_weighting
 from .common import table
 
 
@@ -64,12 +64,16 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_weighting.scored(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_substring_dedup, op3_decontamination, op4_bpe_round_trip, op5_chat_format, op6_licence_scan, op7_jaccard_join, op8_quality_rules, op9_pii, op10_line_dedup, op11_phrase_collocations, op13_source_divergence)
+    for f in (op1_token_counts, op2_substring_dedup, op3_decontamination, op4_bpe_round_trip, op5_chat_format, op6_licence_scan, op7_jaccard_join, op8_quality_rules, op9_pii, op10_line_dedup, op11_phrase_collocations, op12_tree_weighting, op13_source_divergence)
 }
 ORACLES: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op6_licence_scan": licences.licence_sql(), "op10_line_dedup": lines.LINES_SQL, "op11_phrase_collocations": collocations.COLLOCATIONS_SQL, "op13_source_divergence": divergence.DIVERGENCE_SQL}
