@@ -32,6 +32,7 @@ DEPTH, SPLIT = 5, 3
 FOLDS, FOLD = 5, 1
 #: Sequences, and words, whose values are broadcast: 16 bytes each.
 COMMON = {0: 1 << 20, 1: 1 << 18}
+#: Bytes of text in a step that counts, if it is more than one text.
 STEP = 1 << 23
 GRAM, WORD = 0, 1
 #: The key of the token that ends each text.
@@ -43,21 +44,21 @@ _FOLD[ord("A") : ord("Z") + 1] += 32
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sequence at each byte and end of each text, c1 c2 .. x with the latest context byte first, and where each text's begin."""
-    n, texts = len(data), len(offsets) - 1
-    lengths = np.diff(offsets)
-    at = np.arange(n) + np.repeat(np.arange(texts) * (DEPTH + 1) + DEPTH, lengths)
-    line = np.zeros(n + texts * (DEPTH + 1), np.uint64)
-    line[at] = data
-    ends = offsets[1:] + np.arange(1, texts + 1) * (DEPTH + 1) - 1
+    texts = len(offsets) - 1
+    begin = offsets[:-1] + np.arange(texts) * (DEPTH + 1)  # each text stands between its zeros and its end
+    inside = np.ones(len(data) + texts * (DEPTH + 1), bool)
+    for k in range(DEPTH):
+        inside[begin + k] = False
+    ends = begin + DEPTH + np.diff(offsets)
+    line = np.zeros(len(inside), np.uint8)
+    inside[ends] = False
+    line[inside] = data
+    inside[ends] = True
     line[ends] = 0xFF  # no UTF-8 text has this byte
-    out = line.copy()
+    out = line.astype(np.uint64)
     for k in range(1, DEPTH + 1):
-        out[k:] |= line[:-k] << np.uint64(8 * (DEPTH + 1 - k))
-    first = offsets[:-1] + np.arange(texts)
-    keep = np.empty(n + texts, np.int64)
-    keep[np.arange(n) + np.repeat(np.arange(texts), lengths)] = at
-    keep[first + lengths] = ends
-    return out[keep], first
+        out[k:] |= line[:-k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
+    return out[inside], offsets[:-1] + np.arange(texts)
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +87,11 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                 part, train = _FOLD[data[offsets[i] : offsets[j]]], ~held[i:j]
                 g, first = grams(part, own)
                 known = np.repeat(train, np.diff(np.r_[first, len(g)]))
+                seen = np.unique(g[~known])
                 key, n = np.unique(g[known], return_counts=True)
+                del g, known
                 yield rows(GRAM, key, n)
-                new = np.setdiff1d(g[~known], key)
+                new = np.setdiff1d(seen, key, assume_unique=True)
                 yield rows(GRAM, new, np.zeros(len(new)))
                 words, of = _words(part, own)
                 key, n = np.unique(words[train[of]], return_counts=True)
@@ -255,7 +258,7 @@ def _parts(texts: DataFrame, common) -> DataFrame:
 
         for batch in batches:
             data, offsets = string_buffer(batch.column(2))
-            for i, j in steps(offsets, STEP):
+            for i, j in steps(offsets):
                 own, m = offsets[i : j + 1] - offsets[i], j - i
                 part = _FOLD[data[offsets[i] : offsets[j]]]
                 g, first = grams(part, own)
