@@ -35,7 +35,7 @@ from .keyset import found, key_filter
 PASSES = (((1,), 0), ((2,), 1), ((3,), 2), ((4, 5), 3))
 LEAST, TOP = 100, 2000
 #: Bytes of text in a step of more than one text; pointers' texts that are broadcast (their hashes), others are joined by shuffling.
-STEP, BROADCAST_TEXTS = 1 << 23, 1 << 20
+STEP, BROADCAST_TEXTS = 1 << 22, 1 << 20
 #: What ends a piece, and what stands between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
