@@ -5,7 +5,7 @@ frame: style, offset (report weeks before now, 0 or less), channel, qty, adj.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,21 +13,77 @@ from ..functions import calendar as cal
 
 # Report weeks of a year, of momentum, of a trend; blocks of a trend's history; least units; strong change in per cent.
 YEAR, MOMENTUM, TREND, BLOCKS, LEAST_UNITS, STRONG, ON_SALE, NEW_DAYS = 48, 8, 4, 6, 30, 30, 20, 56
+# First days of report weeks; days that hold a pace back; how far it goes at most.
+WEEK_STARTS, PACE_PRIOR_DAYS, PACE_LIMITS = (1, 8, 16, 24), 3.0, (0.5, 2.0)
 
 
 def chunk_frame(sales: DataFrame, snap: date) -> DataFrame:
     """Units by style, report week and channel, and adj: each channel at its usual weight within a week; sales: style, day, channel, qty."""
     now = cal.chunk_ord(F.lit(snap))
     rows = sales.where(F.col("day") <= F.lit(snap)).withColumn("offset", (cal.chunk_ord(F.col("day")) - now).cast("int")).where(F.col("offset") > -(YEAR + MOMENTUM))
-    f = rows.groupBy("style", "offset", "channel").agg(F.sum("qty").alias("qty"))
+    return weighted(rows.groupBy("style", "offset", "channel").agg(F.sum("qty").alias("qty")))
+
+
+def running_projection(sales: DataFrame, stored: DataFrame, rates: DataFrame, factors: DataFrame, styles: DataFrame, snap: date) -> DataFrame:
+    """Style, channel, units: what the running report week is still expected to sell.
+
+    sales: style, day, channel, qty.  stored: style, forecast of the whole week as it was saved.
+    rates: style, weekly units, for styles without one.  factors: day, factor of events; 1 where
+    none is given.  styles: style, sub_category.  The forecast of the days to come is corrected by
+    how each sub-category does against the forecast of the days so far, held back while these are few.
+    """
+    first = snap.replace(day=max(d for d in WEEK_STARTS if d <= snap.day))
+    later = [d for d in WEEK_STARTS if d > first.day]
+    end = first.replace(day=later[0]) - timedelta(days=1) if later else (first.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)
+    done, rest, week = (snap - first).days + 1, (end - snap).days, (end - first).days + 1
+    extra = lambda a, b: F.coalesce(F.sum(F.when(F.col("day").between(F.lit(a), F.lit(b)), F.col("factor") - 1)), F.lit(0.0))
+    seasonal = factors.agg((extra(first, snap) + done).alias("f_done"), (extra(snap + timedelta(days=1), end) + rest).alias("f_rest"))  # one row
+    expected = rates.select("style", "weekly").join(stored.select("style", "forecast"), "style", "full").crossJoin(F.broadcast(seasonal))
+    part = lambda days, f: F.coalesce(F.col("forecast") * days / week, F.col("weekly") / 7 * F.col(f), F.lit(0.0))
+    so_far = sales.where(F.col("day").between(F.lit(first), F.lit(snap))).groupBy("style").agg(F.sum("qty").alias("so_far"))
+    group = F.when(F.coalesce("sub_category", F.lit("")) == "", "_").otherwise(F.col("sub_category"))
+    rows = expected.select("style", part(done, "f_done").alias("done"), part(rest, "f_rest").alias("rest")).join(so_far, "style", "left").join(styles.select("style", "sub_category"), "style", "left").withColumn("group", group)
+
+    paces = rows.groupBy("group").agg(F.sum(F.coalesce("so_far", F.lit(0))).alias("real"), F.sum("done").alias("planned"))
+    raw = F.when(F.col("planned") > 0, F.col("real") / F.col("planned")).otherwise(1.0)
+    low, high = PACE_LIMITS
+    paces = paces.select("group", F.least(F.lit(high), F.greatest(F.lit(low), 1 + (raw - 1) * (done / (done + PACE_PRIOR_DAYS)))).alias("pace"))
+
+    now = cal.chunk_ord(F.lit(snap))
+    o = cal.chunk_ord(F.col("day"))
+    mix = sales.where((o >= now - TREND) & (o < now)).groupBy("style", "channel").agg(F.sum("qty").alias("qty"))
+    own = mix.groupBy("style").agg(F.sum("qty").alias("all")).where("all > 0")
+    shares = mix.join(own, "style").select("style", "channel", (F.col("qty") / F.col("all")).alias("share"))
+    by_channel = mix.groupBy("channel").agg(F.sum("qty").alias("qty"))  # a row a channel, few
+    total = by_channel.agg(F.sum("qty").alias("n"))
+    usual = by_channel.crossJoin(F.broadcast(total)).where("n > 0").agg(F.collect_list(F.struct("channel", (F.col("qty") / F.col("n")).alias("share"))).alias("u"))
+    usual = usual.select(F.when(F.size("u") > 0, F.col("u")).otherwise(F.array(F.struct(F.lit("All").alias("channel"), F.lit(1.0).alias("share")))).alias("u"))
+    units = rows.join(F.broadcast(paces), "group").select("style", (F.col("rest") * F.col("pace")).alias("units")).where("units > 0")
+    known = units.join(shares, "style").select("style", "channel", (F.col("units") * F.col("share")).alias("units"))
+    other = units.join(own, "style", "left_anti").crossJoin(F.broadcast(usual)).select("style", "units", F.explode("u").alias("x")).select("style", F.col("x.channel").alias("channel"), (F.col("units") * F.col("x.share")).alias("units"))
+    return known.unionByName(other).where("units > 0")
+
+
+def with_projection(frame: DataFrame, projection: DataFrame) -> DataFrame:
+    """The frame with the running week completed; real: the units without what is projected."""
+    rows = frame.select("style", "offset", "channel", F.col("qty").cast("double").alias("qty"), F.col("qty").cast("double").alias("real"))
+    extra = projection.select("style", F.lit(0).alias("offset"), "channel", F.col("units").alias("qty"), F.lit(0.0).alias("real"))
+    sums = rows.unionByName(extra).groupBy("style", "offset", "channel").agg(F.sum("qty").alias("qty"), F.sum("real").alias("real"))
+    return weighted(sums.drop("real")).join(sums.select("style", "offset", "channel", "real"), ["style", "offset", "channel"])
+
+
+def weighted(f: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds adj to units by style, report week and channel; keys: columns of frames that don't mix, seasons say."""
     recent = f.where(F.col("offset") > -BLOCKS * TREND)
-    total = recent.agg(F.sum("qty").alias("all"))
-    usual = recent.groupBy("channel").agg(F.sum("qty").alias("u")).crossJoin(F.broadcast(total)).select("channel", (F.col("u") / F.col("all")).alias("w"))
-    week, mine = F.sum("qty").over(Window.partitionBy("offset")), F.sum("qty").over(Window.partitionBy("offset", "channel"))
+    total = recent.groupBy(*keys).agg(F.sum("qty").alias("all"))
+    usual = recent.groupBy(*keys, "channel").agg(F.sum("qty").alias("u"))
+    usual = usual.join(F.broadcast(total), list(keys)) if keys else usual.crossJoin(F.broadcast(total))
+    usual = usual.select(*keys, "channel", (F.col("u") / F.col("all")).alias("w"))
+    week, mine = F.sum("qty").over(Window.partitionBy(*keys, "offset")), F.sum("qty").over(Window.partitionBy(*keys, "offset", "channel"))
     # totals by week and channel come from a table of weeks, not from a window over all styles
-    weeks = f.groupBy("offset", "channel").agg(F.sum("qty").alias("qty")).select("offset", "channel", week.alias("tot"), mine.alias("tot_c"))
-    out = f.join(weeks, ["offset", "channel"]).join(usual, "channel", "left").fillna(0.0, ["w"])
-    return out.select("style", "offset", "channel", "qty", F.when(F.col("tot_c") > 0, F.col("qty") * F.col("w") * F.col("tot") / F.col("tot_c")).otherwise(0.0).alias("adj"))
+    weeks = f.groupBy(*keys, "offset", "channel").agg(F.sum("qty").alias("qty")).select(*keys, "offset", "channel", week.alias("tot"), mine.alias("tot_c"))
+    out = f.join(weeks, [*keys, "offset", "channel"]).join(usual, [*keys, "channel"], "left").fillna(0.0, ["w"])
+    return out.select(*keys, "style", "offset", "channel", "qty", F.when(F.col("tot_c") > 0, F.col("qty") * F.col("w") * F.col("tot") / F.col("tot_c")).otherwise(0.0).alias("adj"))
 
 
 def momentum(frame: DataFrame) -> DataFrame:

@@ -44,20 +44,22 @@ def suggestable(stage: Column) -> Column:
     return stage.isNull() | stage.isin("trending", "steady")
 
 
-def trend_status(frame: DataFrame, values: DataFrame) -> DataFrame:
+def trend_status(frame: DataFrame, values: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row a value that ever sold the least units in a block: its share in each of the last blocks and its stage.
 
     attribute, value, stage, share_1 to share_6 (per cent, oldest first), change (per cent, null
-    under the least units), from_peak_pct, peak_block, now_units, active_styles, on_sale, gain.
+    under the least units), from_peak_pct, peak_block, now_units, active_styles, on_sale, gain;
+    and keys, columns of the frame that hold frames apart.
     """
     span, last = BLOCKS * TREND, BLOCKS - 1
     recent = frame.where(F.col("offset") > -span).withColumn("block", F.floor((F.col("offset") + span - 1) / TREND).cast("int"))
-    by_style = recent.groupBy("style", "block").agg(F.sum("qty").alias("qty"), F.sum("adj").alias("adj"))
-    totals = by_style.groupBy("block").agg(F.sum("adj").alias("total"))  # a row a block
-    cells = by_style.join(values, "style").groupBy("attribute", "value", "block").agg(F.sum("qty").alias("units"), F.sum("adj").alias("adj"), F.count_if(F.col("qty") > 0).alias("active"))
-    cells = cells.join(F.broadcast(totals), "block").withColumn("share", F.when(F.col("total") > 0, F.col("adj") / F.col("total") * 100).otherwise(0.0))
+    real = "real" if "real" in frame.columns else "qty"  # what is projected for the running week isn't selling
+    by_style = recent.groupBy(*keys, "style", "block").agg(F.sum("qty").alias("qty"), F.sum("adj").alias("adj"), F.sum(real).alias("real"))
+    totals = by_style.groupBy(*keys, "block").agg(F.sum("adj").alias("total"))  # a row a block
+    cells = by_style.join(values, "style").groupBy(*keys, "attribute", "value", "block").agg(F.sum("qty").alias("units"), F.sum("adj").alias("adj"), F.count_if(F.col("real") > 0).alias("active"))
+    cells = cells.join(F.broadcast(totals), [*keys, "block"]).withColumn("share", F.when(F.col("total") > 0, F.col("adj") / F.col("total") * 100).otherwise(0.0))
     at = [F.col("block") == k for k in range(BLOCKS)]
-    rows = cells.groupBy("attribute", "value").agg(
+    rows = cells.groupBy(*keys, "attribute", "value").agg(
         F.array(*(F.bround(_if(a, F.col("share")), 9) for a in at)).alias("s"), F.max("units").alias("most"), _if(at[last - 1], F.col("units")).alias("units_before"),
         _if(at[last], F.col("units")).alias("now_units"), _if(at[last], F.col("active")).alias("active_styles"),
     )
@@ -68,7 +70,7 @@ def trend_status(frame: DataFrame, values: DataFrame) -> DataFrame:
     m = move(F.col("change"))
     stage = F.when(~F.col("on_sale"), "out").when(m > 0, "trending").when(far_below, "out").when(m < 0, "fading").otherwise("steady")
     return rows.select(
-        "attribute", "value", stage.alias("stage"), *(F.bround(F.element_at("s", k + 1), 6).alias(f"share_{k + 1}") for k in range(BLOCKS)), F.bround("change", 6).alias("change"),
+        *keys, "attribute", "value", stage.alias("stage"), *(F.bround(F.element_at("s", k + 1), 6).alias(f"share_{k + 1}") for k in range(BLOCKS)), F.bround("change", 6).alias("change"),
         F.when(F.col("peak") > 0, F.bround((F.col("now") / F.col("peak") - 1) * 100, 6)).alias("from_peak_pct"), (F.array_position("s", F.col("peak")) - 1).cast("int").alias("peak_block"),
         "now_units", "active_styles", "on_sale", F.bround(F.col("now") - F.col("before"), 6).alias("gain"),
     )
@@ -84,10 +86,11 @@ def spikes(frame: DataFrame, values: DataFrame, snap: date) -> DataFrame:
     k = 0 if snap.day - first + 1 >= SPIKE_DAYS else -1
     o = F.col("offset")
     now, base = o == k, (o < k) & (o >= k - SPIKE_WEEKS)
-    by_style = frame.where(now | base).groupBy("style").agg(*(_if(w, F.col(c)).alias(f"{c}_{n}") for n, w in (("now", now), ("base", base)) for c in ("qty", "adj")))
+    real = F.col("real" if "real" in frame.columns else "qty")
+    by_style = frame.where(now | base).groupBy("style").agg(*(_if(w, F.col(c)).alias(f"{c}_{n}") for n, w in (("now", now), ("base", base)) for c in ("qty", "adj")), _if(now, real).alias("real_now"))
     totals = by_style.agg(F.sum("adj_now").alias("t_now"), F.sum("adj_base").alias("t_base"))  # one row
     sums = [F.sum(c).alias(c) for c in ("qty_now", "adj_now", "qty_base", "adj_base")]
-    rows = by_style.join(values, "style").groupBy("attribute", "value").agg(*sums, F.count_if(F.col("qty_now") > 0).alias("active_styles"))
+    rows = by_style.join(values, "style").groupBy("attribute", "value").agg(*sums, F.count_if(F.col("real_now") > 0).alias("active_styles"))
     rows = rows.crossJoin(F.broadcast(totals)).where((F.col("t_now") > 0) & (F.col("t_base") > 0) & (F.col("qty_now") >= ON_SALE) & (F.col("active_styles") >= LEAST_STYLES))
     rows = rows.withColumns({"share": F.bround(F.col("adj_now") / F.col("t_now") * 100, 9), "usual_share": F.bround(F.col("adj_base") / F.col("t_base") * 100, 9), "new": F.col("qty_base") < ON_SALE})
     ratio = F.when(F.col("usual_share") > 0, F.col("share") / F.col("usual_share"))
