@@ -117,9 +117,23 @@ def weekly_of(frame: DataFrame, key: str, day: str = "day", qty: str = "qty") ->
     return frame.groupBy(F.col(key).alias("id"), cal.monday(F.col(day)).alias("week")).agg(F.sum(qty).alias("y"))
 
 
-def percentile_rank(c: str, over: list[Column] | None = None) -> Column:
-    """Rank in per cent of the count, ties averaged; null stays null."""
-    part = [F.col(c).isNull(), *(over or [])]
-    by = Window.partitionBy(*part)
-    mean_rank = F.rank().over(by.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*part, F.col(c))) - 1) / 2
-    return F.when(F.col(c).isNotNull(), mean_rank / F.count(F.lit(1)).over(by))
+#: Ranges that the distinct values of a percentile rank are dealt to.
+RANGES = 64
+
+
+def percentile_rank(rows: DataFrame, **of: str) -> DataFrame:
+    """Adds for each name=column the rank in per cent of the count, ties averaged; null stays null.
+
+    Counted by value: the rows of a value are one row, ranges of values are summed up by
+    themselves, and what lies below a range comes from one row with the sums of all ranges.
+    """
+    for out, c in of.items():
+        values = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n_"))
+        edges = values.agg(F.percentile_approx(c, [k / RANGES for k in range(1, RANGES)], 10_000).alias("edges_"))
+        values = values.crossJoin(F.broadcast(edges)).withColumn("range_", F.size(F.filter("edges_", lambda e: e < F.col(c)))).drop("edges_")
+        sums = values.groupBy("range_").agg(F.sum("n_").alias("n")).agg(F.collect_list(F.struct("range_", "n")).alias("sums_"), F.sum("n").alias("all_"))  # RANGES at most
+        below = F.aggregate(F.filter("sums_", lambda x: x["range_"] < F.col("range_")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        upto = F.sum("n_").over(Window.partitionBy("range_").orderBy(c))
+        ranks = values.crossJoin(F.broadcast(sums)).select(c, ((below + upto - (F.col("n_") - 1) / 2) / F.col("all_")).alias(out))
+        rows = rows.join(ranks, c, "left")
+    return rows

@@ -143,7 +143,7 @@ def with_scores(staged: DataFrame) -> DataFrame:
     spark = staged.sparkSession
     parts = spark.createDataFrame([(k, *v) for k, v in STAGES.items()], "stage string, factor double, h double, r double, p double")
     rows = staged.join(F.broadcast(parts), "stage").withColumn("_g", F.greatest(F.lit(-1.0), F.least(F.lit(5.0), F.col("growth"))))
-    rows = rows.withColumn("vel", percentile_rank("current")).withColumn("grow", percentile_rank("_g"))
+    rows = percentile_rank(rows, vel="current", grow="_g")
     whole = lambda c: F.bround(F.bround(100 * c, 6), 0).cast("int")
     health = 0.35 * F.col("vel") + 0.20 * F.col("grow") + 0.15 * F.col("turnover") + 0.10 * (1 - F.col("return_rate")) + 0.20 * F.col("h")
     risk = 0.45 * F.col("r") + 0.30 * F.col("overstock") + 0.25 * F.col("return_rate")

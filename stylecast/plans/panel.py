@@ -103,7 +103,7 @@ def w1_w6(spark, sf):
 @query("w8_percentile_rank", "WITH s AS (SELECT id, sum(y) % 50 AS v FROM weekly_v GROUP BY id) SELECT id, (rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2) / count(*) OVER () AS pct FROM s")
 def w8(spark, sf):
     rows = weekly(spark, sf).groupBy("id").agg((F.sum("y") % 50).alias("v"))
-    return rows.select("id", panel.percentile_rank("v").alias("pct"))
+    return panel.percentile_rank(rows, pct="v").select("id", "pct")
 
 
 @query("w13_recency_weight", "SELECT week, count(*) AS n_rows, power(0.5, (DATE '2001-07-30' - week) / 7 / 26) AS weight FROM panel_v GROUP BY week")

@@ -12,7 +12,7 @@ from ..functions import keys
 from ..operators import analysis, joins, panel, planning
 from ..registry import query
 from ..sources import orders
-from .base import cleaned, net, sales
+from .base import cleaned, net, once, sales
 from .fixtures import TODAY, VIEWS, view
 from .panel import launches, weekly
 
@@ -127,6 +127,11 @@ VIEWS["stage_v"] = """SELECT *, CASE WHEN age <= 20 THEN 'Emerging' WHEN t60 <=
 
 
 def figures(spark, sf):
+    """Lifecycle figures of each SKU, written once as tiers, stages and scores start from them."""
+    return once(spark, sf, "figures", lambda: _figures(spark, sf))
+
+
+def _figures(spark, sf):
     rows = cleaned(spark, sf)
     as_id = lambda df: df.select(F.col("product_sku_code").alias("id"), F.col("order_date").alias("day"), "qty")
     sku_launch = sales(spark, sf).select(F.col("sku"), F.col("style").alias("id")).distinct().join(launches(spark, sf), "id").select(F.col("sku").alias("id"), "launch")

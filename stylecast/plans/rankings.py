@@ -106,13 +106,13 @@ def d11(spark, sf):
     return _ranked(spark, sf, "sub_category")[0].drop("avg_now", "avg_last").withColumnRenamed("scope", "sub_category")
 
 
-@query(
-    "d12_opportunities",
-    """WITH p AS (SELECT * FROM ranked_sub_v WHERE attribute IN ('colour', 'fabric')), c AS (SELECT scope, attribute, list_sort(list(active_styles))[CAST(floor(count(*) / 2) + 1 AS INT)] AS med FROM p GROUP BY ALL HAVING count(*) >= 3),
+VIEWS["opp_v"] = """WITH p AS (SELECT * FROM ranked_sub_v WHERE attribute IN ('colour', 'fabric')), c AS (SELECT scope, attribute, list_sort(list(active_styles))[CAST(floor(count(*) / 2) + 1 AS INT)] AS med FROM p GROUP BY ALL HAVING count(*) >= 3),
 m AS (SELECT p.*, med, CASE WHEN (p.stage IS NULL OR p.stage IN ('trending', 'steady')) AND coalesce(st.stage, 'none') IN ('trending', 'steady') THEN d ELSE least(d, -1) END AS move FROM (SELECT *, CASE WHEN coalesce(trend, momentum) >= 30 THEN 1 WHEN coalesce(trend, momentum) <= -30 THEN -1 ELSE 0 END AS d FROM p) p JOIN c USING (scope, attribute) LEFT JOIN (SELECT value, stage FROM status_v WHERE attribute = 'sub_category') st ON p.scope = st.value WHERE avg_now > 0),
 k AS (SELECT *, CASE WHEN now_per_style >= 1.3 * avg_now AND active_styles <= greatest(2, med) AND move >= 0 THEN 'gap' WHEN move < 0 AND last_season AND per_style >= avg_last THEN 'declining' WHEN now_per_style <= 0.7 * avg_now AND active_styles >= greatest(4, 1.5 * med) AND move <= 0 THEN 'saturated' WHEN move > 0 THEN 'rising' END AS kind FROM m)
-SELECT kind, scope AS sub_category, attribute, value, active_styles AS styles, units, now_per_style AS per_style, round_even(round_even(avg_now, 8), 1) AS average, momentum, trend, score FROM k WHERE kind IS NOT NULL""",
-)
+SELECT kind, scope AS sub_category, attribute, value, active_styles AS styles, units, now_per_style AS per_style, round_even(round_even(avg_now, 8), 1) AS average, momentum, trend, score FROM k WHERE kind IS NOT NULL"""
+
+
+@query("d12_opportunities", "SELECT * FROM opp_v")
 def d12(spark, sf):
     scored, stages = _ranked(spark, sf, "sub_category")
     return rankings.opportunities(scored.where("attribute IN ('colour', 'fabric')"), stages)
