@@ -89,6 +89,8 @@ class _Step:
         if not all(np.array_equal(self.word[at + k], self.word[rep + k][of]) for k in range(n)):
             _, first, count = np.unique(np.stack([self.word[at + k] for k in range(n)], 1), axis=0, return_index=True, return_counts=True)
             rep = at[first]
+        order = np.argsort(rep)  # in the order of the texts, so that pointers to one text stand together, which makes the shuffle smaller
+        rep, count = rep[order], count[order]
         return self.prints(n, 0, rep), self.prints(n, 1, rep).astype(np.uint32), count, rep
 
 
