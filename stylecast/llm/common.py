@@ -117,8 +117,11 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hash
     Spans of one hash are compared byte by byte; should two contents share a hash, contents are told apart themselves.
     """
     _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-    lengths = stops - starts
-    if np.array_equal(lengths, lengths[first][of]) and np.array_equal(data[spread(starts, lengths)], data[spread(starts[first][of], lengths)]):
+    lengths, same = stops - starts, True
+    for i in range(0, len(starts), 1 << 16):  # in parts, as each byte has a place of eight
+        at, n, rep = starts[i : i + (1 << 16)], lengths[i : i + (1 << 16)], first[of[i : i + (1 << 16)]]
+        same = same and np.array_equal(n, lengths[rep]) and np.array_equal(data[spread(at, n)], data[spread(starts[rep], n)])
+    if same:
         return first, of
     seen: dict[bytes, int] = {}
     of = np.fromiter((seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), np.int64, len(starts))

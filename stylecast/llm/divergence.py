@@ -44,7 +44,8 @@ _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 
-POSTINGS = "lang string, terms binary, ends binary, pair_term binary, pair_doc binary, pair_n binary, doc_source binary, sources array<string>"
+#: terms stand one after the other, in order; term_docs: in how many documents each is; pair_doc, pair_n: document and occurrences of each term's documents.
+POSTINGS = "lang string, terms binary, ends binary, term_docs binary, pair_doc binary, pair_n binary, doc_source binary, sources array<string>"
 
 
 def _lang_key(lang: str) -> np.uint64:
@@ -52,7 +53,7 @@ def _lang_key(lang: str) -> np.uint64:
 
 
 def _step(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """Distinct terms of a step in byte order (bytes, ends), and its (term, document, occurrences) in that order."""
+    """Distinct terms of a step in byte order (bytes, ends), the documents of each, and (document, occurrences) term by term."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -68,7 +69,7 @@ def _step(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | Non
     doc = np.searchsorted(offsets, starts, side="right") - 1
     pairs, n = np.unique(rank[of] << 32 | doc, return_counts=True)
     lengths = lengths[order]
-    return blob[spread((ends - (stops - starts)[first])[order], lengths)], np.cumsum(lengths), pairs >> 32, pairs & 0xFFFFFFFF, n
+    return blob[spread((ends - (stops - starts)[first])[order], lengths)], np.cumsum(lengths), np.bincount(pairs >> 32, minlength=len(first)), pairs & 0xFFFFFFFF, n
 
 
 def postings(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -84,7 +85,7 @@ def postings(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
                 own = offsets[i : j + 1]
                 out = _step(data[own[0] : own[-1]], own - own[0])
                 names = pc.dictionary_encode(part.column(1)[i:j])
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (out[0], *(x.astype(np.int32) for x in (*out[1:], names.indices.to_numpy())))]
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (out[0], *(x.astype(np.int32) for x in out[1:3]), *map(_narrow, out[3:]), names.indices.to_numpy().astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), *blobs, pa.array([names.dictionary.to_pylist()], pa.list_(pa.string()))], names=[c.split()[0] for c in POSTINGS.split(", ")])
 
         for batch in batches:
@@ -97,10 +98,22 @@ def postings(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
     return rows.mapInArrow(gather, POSTINGS)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """As 16 bits where the numbers are that small."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.int32)
+
+
 def _ints(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.int32)
 
 
+def _pairs(batch, i: int, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The term of each (term, document) of a row, and the column of these pairs, whose width its length tells."""
+    docs, value = _ints(batch.column("term_docs")[i]), batch.column(column)[i].as_buffer()
+    term = np.repeat(np.arange(len(docs)), docs)
+    return term, np.frombuffer(value, np.uint16 if value.size == 2 * len(term) else np.int32)
+
+
 def _alive(batch, i: int, before: int, parents, length: int | None):
     """Of a row: terms whose prefix of ``before`` bytes was kept, the hash of their prefix of ``length`` bytes (None: whole), and the key of the language."""
     blob, ends = np.frombuffer(batch.column("terms")[i].as_buffer(), np.uint8), _ints(batch.column("ends")[i]).astype(np.int64)
@@ -130,7 +143,7 @@ def _counted(rows: DataFrame, length: int, before: int, parents) -> DataFrame:
                 new = np.r_[True, (h[1:] != h[:-1]) | complete[1:] | complete[:-1]]  # terms are in order, so a prefix's stand together
                 run = np.full(int(alive[-1]) + 1, -1)
                 run[alive] = np.cumsum(new) - 1
-                term, doc = _ints(batch.column("pair_term")[i]), _ints(batch.column("pair_doc")[i])
+                term, doc = _pairs(batch, i, "pair_doc")
                 inside = term <= alive[-1]
                 of, doc = run[term[inside]], doc[inside].astype(np.int64)
                 once = np.unique((of << 32 | doc)[of >= 0])
@@ -141,7 +154,7 @@ def _counted(rows: DataFrame, length: int, before: int, parents) -> DataFrame:
                 lang = pa.array([batch.column("lang")[i].as_py()]).take(pa.array(np.zeros(len(at), np.int32)))
                 yield pa.RecordBatch.from_arrays([lang, keys, pa.array(complete[at]), pa.array(h[at].view(np.int64)), pa.array(docs.astype(np.int64))], names=["lang", "key", "complete", "h", "docs"])
 
-    columns = ("lang", "terms", "ends", "pair_term", "pair_doc")
+    columns = ("lang", "terms", "ends", "term_docs", "pair_doc")
     return rows.select(*columns).mapInArrow(count, "lang string, key binary, complete boolean, h long, docs long")
 
 
@@ -171,7 +184,7 @@ def _occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 blob, alive, starts, stops, _, h = _alive(batch, i, 0, None, None)
                 keep = found(wanted.value, h)
-                term, doc, n = (_ints(batch.column(c)[i]) for c in ("pair_term", "pair_doc", "pair_n"))
+                (term, doc), (_, n) = _pairs(batch, i, "pair_doc"), _pairs(batch, i, "pair_n")
                 names = batch.column("sources")[i].as_py()
                 source = _ints(batch.column("doc_source")[i])[doc]
                 inside = keep[term]
