@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .planning import blended
 
@@ -37,13 +38,10 @@ def accuracy_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.greatest(F.lit(0.0), 100 - wape(F.col("y"), F.col("qty"))).alias("accuracy"), F.sum("y").alias("units"), F.count(F.lit(1)).alias("n"))
 
 
-def cutoffs(first: date, last: date, step: int = 28, warm_up: int = 120, mature: int = 14) -> list[date]:
-    """E5: cut-off days: every step days after a warm-up, while the week after has matured."""
-    out, d = [], first + timedelta(days=warm_up)
-    while d + timedelta(days=mature) <= last:
-        out.append(d)
-        d += timedelta(days=step)
-    return out
+def cutoffs(weekly: DataFrame, step: int = 28, warm_up: int = 120, mature: int = 14) -> DataFrame:
+    """E5: cutoff days: every step days after a warm-up, while the week after has matured; weekly: week.  None of a history too short."""
+    span = weekly.agg(F.date_add(F.min("week"), warm_up).alias("a"), F.date_sub(F.max("week"), mature).alias("b"))  # one row
+    return span.where("a <= b").select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {step} DAYS"))).alias("cutoff"))
 
 
 def sweep(rows: DataFrame, alphas: list[float]) -> DataFrame:
@@ -54,18 +52,51 @@ def sweep(rows: DataFrame, alphas: list[float]) -> DataFrame:
     return rows.crossJoin(F.broadcast(grid)).groupBy("alpha", "festival").agg(wape(F.col("y"), q).alias("wape"))
 
 
-def health(spark: SparkSession, facts: dict[str, float | int | bool | None]) -> DataFrame:
-    """Severity, rule, value of the rules that fire, errors first.  facts: figures the caller has measured."""
-    rules = [
-        (1, "error", "incomplete_load", abs(facts.get("loaded_share", 1.0) - 1) > 0.005, facts.get("loaded_share", 1.0)),
-        (1, "error", "no_master", not facts.get("has_master", True), 0.0),
-        (2, "warning", "stale_data", (facts.get("days_old") or 0) > 2, facts.get("days_old") or 0),
-        (2, "warning", "run_rate_spike", (facts.get("rate_change") or 1) > 1.5, facts.get("rate_change") or 1),
-        (2, "warning", "low_accuracy", (facts.get("accuracy") if facts.get("accuracy") is not None else 100) < 40, facts.get("accuracy") if facts.get("accuracy") is not None else 100),
-        (3, "info", "unlisted_spike", (facts.get("spike_ratio") or 1) > 1.8, facts.get("spike_ratio") or 1),
+# Rows that a load may lack; days after which data is old; what a day is above a normal one, in the run-rate and without an event;
+# days of the run-rate, that unlisted spikes are looked for in, of a normal day; a calendar's factor that should show; least accuracy; days a style counts as selling.
+LEAST_LOADED, STALE_DAYS, SPIKE, UNLISTED, RATE_DAYS, RECENT_DAYS, NORMAL_DAYS, EXPECTED, LEAST_ACCURACY, SELLING_DAYS = 0.995, 2, 2.0, 1.8, 60, 21, 91, 1.25, 70.0, 55
+
+
+def health(daily: DataFrame, event_days: DataFrame, factors: DataFrame, log: DataFrame, sold: DataFrame, loads: DataFrame, today: date) -> DataFrame:
+    """Severity, rule, n, value of the rules that fire, each measured on its own table, errors first (rank).
+
+    daily: day, units.  event_days: day.  factors: day, factor.  log: week_start, status, forecast,
+    actual.  sold: day, style, sub_category, qty.  loads: part, expected, got (rows); without a row no part is missing.
+    """
+    last = daily.agg(F.max("day").alias("snap"))  # one row, as are all measures
+    days = last.select("snap", F.explode(F.sequence(F.date_sub("snap", NORMAL_DAYS - 1), "snap")).alias("day"))
+    days = days.join(daily, "day", "left").join(event_days.select("day", F.lit(True).alias("listed")).distinct(), "day", "left").join(factors.select("day", "factor"), "day", "left")
+    days = days.select("snap", "day", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("factor", F.lit(1.0)).alias("factor"))
+    normal = days.agg(F.get(F.sort_array(F.collect_list("units")), F.lit(NORMAL_DAYS // 2)).alias("normal"))  # of 91 days
+    days = days.crossJoin(F.broadcast(normal)).withColumn("ago", F.datediff("snap", "day"))
+    above = lambda times, within: (F.col("ago") < within) & (F.col("units") > times * F.col("normal"))
+    week = F.col("ago") < 7
+    found = days.agg(
+        F.max("normal").alias("normal"), F.datediff(F.lit(today), F.max("snap")).alias("old"), F.count_if(above(SPIKE, RATE_DAYS)).alias("spikes"), F.count_if(above(UNLISTED, RECENT_DAYS) & ~F.col("listed")).alias("unlisted"),
+        F.avg(F.when(week, F.col("factor"))).alias("calendar"), F.avg(F.when(week, F.col("units"))).alias("real"),
+    )
+    rule = lambda df, severity, name, fires, n, value: df.where(fires).select(F.lit(severity).alias("severity"), F.lit(name).alias("rule"), n.cast("long").alias("n"), F.bround(value.cast("double"), 6).alias("value"))
+    c, some = F.col, F.col("normal") > 0
+    lacking = (c("got") < LEAST_LOADED * c("expected")) | (c("got") == 0)
+    missing = loads.where(lacking).withColumn("rule_", F.when(c("part") == "sales", "sales_incomplete").when(c("part") == "master", "erp_master_missing").otherwise("erp_stock_missing"))
+    missing = missing.groupBy("rule_").agg(F.count(F.lit(1)).alias("n"), (F.sum("got") / F.greatest(F.lit(1), F.sum("expected"))).alias("value"))
+    missing = missing.select(F.when(c("rule_") == "erp_master_missing", "warning").otherwise("error").alias("severity"), c("rule_").alias("rule"), "n", F.bround("value", 6).alias("value"))
+    done = log.where("status = 'completed' AND actual IS NOT NULL").groupBy("week_start").agg(F.sum(F.coalesce("forecast", F.lit(0))).alias("forecast"), F.sum("actual").alias("actual"))
+    done = done.agg(F.max_by(F.struct("forecast", "actual"), "week_start").alias("x")).select("x.*")
+    accuracy = F.greatest(F.lit(0.0), (1 - F.abs(c("forecast") - c("actual")) / c("actual")) * 100)
+    nameless = sold.crossJoin(F.broadcast(last)).where((F.datediff("snap", "day") <= SELLING_DAYS) & F.coalesce("sub_category", F.lit("")).isin("", "Unclassified"))
+    nameless = nameless.groupBy("style").agg(F.sum("qty").alias("qty")).where("qty <> 0").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
+    parts = [
+        missing,
+        rule(found, "warning", "data_stale", c("old") > STALE_DAYS, c("old"), c("old")),
+        rule(found, "warning", "runrate_spike", some & (c("spikes") > 0), c("spikes"), c("normal")),
+        rule(found, "warning", "calendar_missing_event", some & (c("unlisted") > 0), c("unlisted"), c("normal")),
+        rule(found, "warning", "calendar_event_not_seen", some & (c("calendar") >= EXPECTED) & (c("real") < EXPECTED * c("normal")), F.lit(7), c("calendar")),
+        rule(done.where("actual > 0"), "warning", "accuracy_low", accuracy < LEAST_ACCURACY, c("actual"), accuracy),
+        rule(nameless, "info", "master_missing", c("n") > 0, c("n"), c("qty")),
     ]
-    rows = [(o, s, r, float(v)) for o, s, r, hit, v in rules if hit]
-    return spark.createDataFrame(rows, "rank int, severity string, rule string, value double").orderBy("rank", "rule").drop("rank")
+    out = reduce(DataFrame.unionByName, parts)
+    return out.withColumn("rank", F.when(c("severity") == "error", 0).when(c("severity") == "warning", 1).otherwise(2)).orderBy("rank", "rule")
 
 
 __all__ = ["accuracy_by", "blended", "cutoffs", "health", "latest_predictions", "metrics", "scored", "sweep", "wape"]

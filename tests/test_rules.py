@@ -1,6 +1,6 @@
 """Column functions and operators on small frames (row ids in brackets)."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,10 +141,27 @@ def test_snapshots_replace_their_day(spark, tmp_path):  # [S10, S13]
     assert snapshots.load_forecast(spark, str(tmp_path / "fc"), "style", 3, date(2025, 1, 1)).count() == 1
 
 
-def test_health_orders_errors_first(spark):  # [E7]
-    rows = evaluation.health(spark, {"loaded_share": 0.9, "days_old": 5, "accuracy": 20, "spike_ratio": 3}).collect()
-    assert [r.severity for r in rows] == ["error", "warning", "warning", "info"]
-    assert evaluation.health(spark, {}).count() == 0
+def test_health_rules(spark):  # [E7]
+    today = date(2025, 3, 1)
+    quiet = [(today - timedelta(days=k), 100) for k in range(1, 92)]
+    tables = {
+        "daily": (quiet, "day date, units long"), "event_days": ([], "day date"), "factors": ([], "day date, factor double"), "log": ([], "week_start date, status string, forecast long, actual long"),
+        "sold": ([(today, "a", "Kurta", 5)], "day date, style string, sub_category string, qty long"), "loads": ([("sales", 1000, 996), ("stock", 5, 5)], "part string, expected long, got long"),
+    }
+
+    def fired(day=today, **changed):
+        frames = {k: spark.createDataFrame(changed.get(k, rows), schema) for k, (rows, schema) in tables.items()}
+        return [(r.severity, r.rule, r.n) for r in evaluation.health(**frames, today=day).collect()]
+
+    assert fired() == []
+    loud = [(d, 100 if k != 3 else 500) for k, (d, _) in enumerate(quiet)]
+    assert fired(daily=loud) == [("warning", "calendar_missing_event", 1), ("warning", "runrate_spike", 1)]
+    assert fired(daily=loud, event_days=[(loud[3][0],)]) == [("warning", "runrate_spike", 1)]
+    assert fired(today + timedelta(days=4)) == [("warning", "data_stale", 5)]
+    assert fired(factors=[(d, 1.5) for d, _ in quiet[:7]]) == [("warning", "calendar_event_not_seen", 7)]
+    assert fired(log=[(date(2025, 2, 3), "completed", 10, 100), (date(2025, 2, 10), "completed", 95, 100)]) == []
+    assert fired(log=[(date(2025, 2, 10), "completed", 10, 100), (date(2025, 2, 17), "open", 10, 100)]) == [("warning", "accuracy_low", 100)]
+    assert fired(sold=[(today, "a", "", 5), (today - timedelta(days=80), "b", None, 9)], loads=[("sales", 1000, 900), ("wip", 5, 0), ("master", 7, 0)]) == [("error", "erp_stock_missing", 1), ("error", "sales_incomplete", 1), ("warning", "erp_master_missing", 1), ("info", "master_missing", 1)]
 
 
 def test_running_week_holds_over_several_micro_batches(spark, tmp_path):
