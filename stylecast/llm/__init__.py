@@ -1,5 +1,5 @@
 """Operations of a large training-data pipeline, as Spark jobs.
 
-Ten operators, one module each; ``queries.py`` holds the thin queries over the
+Thirteen operators, one module each; ``queries.py`` holds the thin queries over the
 shared tables.  Nothing else in the library imports this subpackage.
 """

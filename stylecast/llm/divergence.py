@@ -36,7 +36,7 @@ from .keyset import found, key_filter
 LEVELS = (2, 4, 8, 16)
 LEAST_DOCS, SCALE, TOP_TERMS = 10, 1_000_000_000, 10
 #: Bytes of text that a step holds, if it is more than one text; and sources on a side of a tile.
-STEP, TILE = 1 << 22, 256
+STEP, TILE = 3 << 20, 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
