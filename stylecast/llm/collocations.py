@@ -35,7 +35,7 @@ from .keyset import found, key_filter
 PASSES = (((1,), 0), ((2,), 1), ((3,), 2), ((4, 5), 3))
 LEAST, TOP = 100, 2000
 #: Bytes of text in a step of more than one text; pointers' texts that are broadcast (their hashes), others are joined by shuffling.
-STEP, BROADCAST_TEXTS = 1 << 22, 1 << 20
+STEP, BROADCAST_TEXTS = 1 << 21, 1 << 20
 #: What ends a piece, and what stands between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -94,7 +94,8 @@ class _Step:
         return self.prints(n, 0, rep), self.prints(n, 1, rep).astype(np.uint32), count, rep
 
 
-ROWS = "lang string, n int, h long, h2 int, f long, text_key long, place long"
+#: The fingerprints hold the language, which the text of the pointer has itself.
+ROWS = "n int, h long, h2 int, f long, text_key long, place long"
 
 
 def _counted(texts: DataFrame, lengths: tuple[int, ...], within: int, parents) -> DataFrame:
@@ -104,9 +105,8 @@ def _counted(texts: DataFrame, lengths: tuple[int, ...], within: int, parents) -
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        def rows(lang, n, h, h2, f, key, place):
-            langs = pa.array([lang]).take(pa.array(np.zeros(len(h), np.int32)))
-            return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(f.astype(np.int64)), pa.array(key), pa.array(place)], names=[c.split()[0] for c in ROWS.split(", ")])
+        def rows(n, h, h2, f, key, place):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(f.astype(np.int64)), pa.array(key), pa.array(place)], names=[c.split()[0] for c in ROWS.split(", ")])
 
         def of_lang(lang, part):
             keys = part.column(1).to_numpy()
@@ -119,7 +119,7 @@ def _counted(texts: DataFrame, lengths: tuple[int, ...], within: int, parents) -
                 if not len(step.word):
                     continue
                 if 1 in lengths:
-                    yield rows(lang, 0, *(np.zeros(1, t) for t in (np.uint64, np.uint32)), np.array([len(step.word)]), keys[i : i + 1], np.zeros(1, np.int64))
+                    yield rows(0, np.array([step.key]), np.zeros(1, np.uint32), np.array([len(step.word)]), keys[i : i + 1], np.zeros(1, np.int64))
                 if within:
                     parent = found(parents.value, step.prints(within))
                 for n in lengths:
@@ -130,7 +130,7 @@ def _counted(texts: DataFrame, lengths: tuple[int, ...], within: int, parents) -
                         h, h2, f, rep = step.counted(n, at)
                         begin = step.offsets[step.text[rep]]
                         place = (step.starts[rep] - begin) << 31 | step.stops[rep + n - 1] - step.starts[rep]
-                        yield rows(lang, n, h, h2, f, keys[i + step.text[rep]], place)
+                        yield rows(n, h, h2, f, keys[i + step.text[rep]], place)
 
         for batch in batches:
             langs = pc.dictionary_encode(batch.column(0))
@@ -147,6 +147,8 @@ def _agrees(rows: DataFrame) -> DataFrame:
     def verify(batches):
         for batch in batches:
             for lang, phrase, n, h, h2 in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase", "n", "h", "h2")), strict=True):
+                if not n:
+                    continue
                 data = np.frombuffer(phrase.encode(), np.uint8)
                 step = _Step(data, np.array([0, len(data)]), lang)
                 if len(step.word) != n or step.prints(n).view(np.int64)[0] != h or step.prints(n, 1).astype(np.uint32).view(np.int32)[0] != h2:
@@ -162,20 +164,18 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     texts = texts.select("lang", F.xxhash64("lang", "text").alias("text_key"), "text")
     levels, parents = [], None
     for lengths, within in PASSES:
-        sums = _counted(texts, lengths, within, parents).groupBy("lang", "n", "h", "h2").agg(F.sum("f").alias("f"), F.min("text_key").alias("text_key"), F.min_by("place", "text_key").alias("place"))
+        sums = _counted(texts, lengths, within, parents).groupBy("n", "h", "h2").agg(F.sum("f").alias("f"), F.min("text_key").alias("text_key"), F.min_by("place", "text_key").alias("place"))
         levels.append(written(sums.where((F.col("f") >= least) | (F.col("n") == 0)), "phrases"))
         parents = key_filter(levels[-1].where(F.col("n") == max(lengths)))
     all_ = reduce(DataFrame.unionByName, levels)
-    phrases = all_.where(F.col("n") > 0)
-    pointed = phrases.groupBy("text_key").agg(F.collect_list(F.struct("lang", "n", "h", "h2", "f", "place")).alias("places"))  # of one text
+    pointed = all_.groupBy("text_key").agg(F.collect_list(F.struct("n", "h", "h2", "f", "place")).alias("places"))  # of one text
     pointed = written(pointed, "pointers")
     keys = pointed.select("text_key")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
-    sources = texts.join(keys, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", F.col("text").cast("binary").alias("bytes"))
+    sources = texts.join(keys, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", "lang", F.col("text").cast("binary").alias("bytes"))
     fold = "translate(decode(substring(bytes, cast(shiftright(p.place, 31) + 1 AS int), cast(p.place & 2147483647 AS int)), 'UTF-8'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    made = sources.join(pointed, "text_key").select(F.explode(F.expr(f"transform(places, p -> struct(p.lang, p.n, p.h, p.h2, p.f, regexp_replace({fold}, '[ \\\\t]+', ' ') AS phrase))")).alias("p")).select("p.*")
-    made = _agrees(made).select("lang", "n", "phrase", "f")
-    return made.unionByName(all_.where(F.col("n") == 0).select("lang", "n", F.lit(None).cast("string").alias("phrase"), "f"))
+    made = sources.join(pointed, "text_key").select("lang", F.explode(F.expr(f"transform(places, p -> struct(p.n, p.h, p.h2, p.f, regexp_replace({fold}, '[ \\\\t]+', ' ') AS phrase))")).alias("p")).select("lang", "p.*")
+    return _agrees(made).select("lang", "n", F.when(F.col("n") > 0, F.col("phrase")).alias("phrase"), "f")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
