@@ -10,7 +10,8 @@ Special strings (added tokens) are never cut.  Decoding concatenates the bytes o
 tokens, as a byte-level decoder does.
 
 Defined cases: a null text counts as an empty one; an empty text has no tokens; rows
-repeat in the result as they do in the input; other columns are ignored.
+repeat in the result as they do in the input; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import hashlib
 import json
 import os
 import re
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 PART_CHARS = 4096
 #: Characters of a text from which its parts are spread over tasks, and of such a part.
 SPREAD_CHARS = 1 << 15
-#: Units of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Bytes of units and their ids that a worker remembers before it starts anew, their place in the dictionary included,
+#: and characters of a unit at most: longer ones (parts without single blanks) hardly recur.
+HELD_BYTES, HELD_CHARS, ENTRY_BYTES = 80 << 20, 64, 100
 #: Tokens that must agree at each end of a window.
 AGREE = 2
 _BLANK_PAIR = re.compile(r"\s ")
@@ -52,6 +55,7 @@ class TreeCoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.splits = not any(" " in t for t in self.special) and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
         self.known: dict[str, bytes] = {}
+        self.held = 0
         size = self.lib.get_vocab_size()
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         other = [b for b in range(256) if b not in set(plain)]
@@ -78,16 +82,24 @@ class TreeCoder:
         """Token ids of each part, from those of its units.
 
         A byte-level pre-token never runs from a non-blank into a blank, so that a part may be
-        split before each single blank; the units' ids are remembered, as most of them recur.
+        split before each single blank; short units' ids are remembered, as most of them recur.
         """
         split = [self._units(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > HELD_BYTES:
             self.known.clear()
+            self.held = 0
         new = list(set().union(*split).difference(self.known))
+        once = {}  # units of these parts only
         if new:
-            found = self.lib.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((u, np.asarray(e.ids, "<u4").tobytes()) for u, e in zip(new, found, strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, u)), "<u4").astype(np.int64) for u in split]
+            for u, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, "<u4").tobytes()
+                if len(u) > HELD_CHARS:
+                    once[u] = ids
+                else:
+                    self.known[u] = ids
+                    self.held += sys.getsizeof(u) + sys.getsizeof(ids) + ENTRY_BYTES
+        of = (lambda u: once[u] if u in once else self.known[u]) if once else self.known.__getitem__
+        return [np.frombuffer(b"".join(map(of, u)), "<u4").astype(np.int64) for u in split]
 
     def _units(self, text: str) -> list[str]:
         if not self.splits or _BLANK_PAIR.search(text):

@@ -5,7 +5,7 @@ piece spans two characters.  In each round every sequence applies its own lowest
 wherever it stands, all sequences at once, until no sequence has a pair left; the surviving
 symbols are counted.  Where a merge makes a pair of lower rank than its own, those to the
 right of it wait for the next round.  Only distinct pre-tokens are merged; counts are then
-looked up for each occurrence.  A stretch of more than LONG characters (no white space, no
+looked up for each occurrence, and short ones are remembered within a bound of bytes.  A stretch of more than LONG characters (no white space, no
 cut) would take as many rounds as it has ranks: its pairs are merged in order from a heap.
 
 The merges are those of a sentencepiece BPE model with an identity normaliser: pieces and
@@ -13,21 +13,24 @@ their order are read from the model file, which also gives the byte fallback (a
 that is no piece counts as its UTF-8 bytes).
 
 Defined cases: a null text counts as an empty one; an empty text has 0 tokens; rows
-repeat in the result as they do in the input; other columns are ignored.
+repeat in the result as they do in the input; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-#: Distinct pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Bytes of pre-tokens that a worker remembers before it starts anew, their place in the dictionary included,
+#: and characters of one at most: longer ones (text without blanks) hardly recur.
+HELD_BYTES, HELD_CHARS, ENTRY_BYTES = 32 << 20, 64, 100
 #: Symbols of a stretch that is merged in rounds at most.
 LONG = 256
 _NONE = np.iinfo(np.int32).max
@@ -78,7 +81,8 @@ class PieceMerges:
         for side in (a, b):
             early = (own[side] > self.rank) & (side < len(pieces))
             self.careful[side[early]] = True
-        self.cost = {}
+        self.cost: dict[str, int] = {}
+        self.held = 0
         self._table: dict[int, tuple[int, int]] = {}
 
     def _point(self, char: str) -> int:
@@ -197,13 +201,21 @@ class PieceMerges:
         """Tokens of each text."""
         out = np.zeros(len(texts), np.int64)
         pre = [_PRE.findall(self.prefix + t.replace(" ", "▁")) if t else [] for t in texts]
-        if len(self.cost) > REMEMBERED:
+        if self.held > HELD_BYTES:
             self.cost.clear()
+            self.held = 0
         new = list(set().union(*pre).difference(self.cost))
+        once = {}  # pre-tokens of these texts only
         if new:
-            self.cost.update(zip(new, self.counts(new).tolist(), strict=True))
+            for p, n in zip(new, self.counts(new).tolist(), strict=True):
+                if len(p) > HELD_CHARS:
+                    once[p] = n
+                else:
+                    self.cost[p] = n
+                    self.held += sys.getsizeof(p) + ENTRY_BYTES
+        of = (lambda p: once[p] if p in once else self.cost[p]) if once else self.cost.__getitem__
         for i, p in enumerate(pre):
-            out[i] = sum(map(self.cost.__getitem__, p))
+            out[i] = sum(map(of, p))
         return out
 
 

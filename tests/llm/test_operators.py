@@ -58,6 +58,31 @@ def test_token_counts(spark, odd):
     assert all(r.over_limit == (r.n_tokens > 5) for r in rows)
 
 
+def test_what_workers_remember_is_bounded_in_bytes(monkeypatch):
+    """Text without blanks, indented text and many different words: results stay right, what is held stays small."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "HELD_BYTES", 1 << 18)
+    monkeypatch.setattr(bpe, "HELD_BYTES", 1 << 18)
+    rnd = random.Random(31)
+    unspaced = ["".join(rnd.choice("日本語中文字漢書") for _ in range(2000)) for _ in range(150)]
+    indented = ["\n".join("    " * rnd.randrange(1, 5) + f"x{rnd.randrange(10**6)} = {rnd.randrange(10**6)}" for _ in range(150)) for _ in range(60)]
+    words = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(300)) for _ in range(60)]
+    piece, byte = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+    model, coder = tokens.PieceMerges(piece), bpe.TreeCoder(byte)
+    pieces, lib = sentencepiece.SentencePieceProcessor(model_file=piece), Tokenizer.from_file(byte)
+    for texts in (unspaced, indented, words):
+        for i in range(0, len(texts), 10):
+            part = texts[i : i + 10]
+            assert model.count(part).tolist() == [len(pieces.encode(t)) for t in part]
+            assert [x.tolist() for x in coder.encode(part)] == [lib.encode(t, add_special_tokens=False).ids for t in part]
+            # the bound, and what ten texts may add before it is looked at again
+            assert model.held < (1 << 18) + (1 << 20) and coder.held < (1 << 18) + (1 << 20)
+            assert sum(map(len, model.cost)) * 4 < model.held + 1 and sum(map(len, coder.known)) < coder.held + 1
+    assert all(len(p) <= tokens.HELD_CHARS for p in model.cost) and all(len(u) <= bpe.HELD_CHARS for u in coder.known)
+
+
 def test_bpe_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
@@ -74,6 +99,7 @@ def test_bpe_round_trip(spark, odd):
         assert r.n_tokens == len(e.ids)
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in e.ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.round_trip(odd.limit(0), path).count() == 0
     ids = bpe.encoded(odd, path, spread_chars=1000)
     assert {(r.text or "") == r.decoded for r in bpe.decoded(ids, path).collect()} == {True}
 
