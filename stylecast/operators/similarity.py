@@ -35,6 +35,43 @@ def pairs(tokens: DataFrame) -> DataFrame:
     return half.unionByName(half.select(F.col("other").alias("design"), F.col("design").alias("other"), "sim"))
 
 
+def profiles(tokens: DataFrame) -> DataFrame:
+    """One row a design and group: design, grp, terms (idf and token of each, the heaviest first), total (of all idf)."""
+    w = tokens.join(token_weights(tokens).select("token", "idf"), "token")
+    terms = F.sort_array(F.collect_set(F.struct("idf", "token")), asc=False)
+    return w.groupBy("design", "grp").agg(terms.alias("terms")).withColumn("total", F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["idf"]))
+
+
+def pairs_over(of: DataFrame, least: float) -> DataFrame:
+    """J9, J10, K2 under a threshold: grp, design < other, sim >= least (over 0), without listing all pairs of a common token.
+
+    of: as ``profiles`` gives it.  Two designs that are so similar share one of the tokens that come first,
+    in the one order of all (heaviest, that is rarest, first), down to where the rest of a design
+    weighs under ``least`` of its total.  So only these are joined, within a group: a token that
+    most designs have comes last and is joined by those only that have hardly another.  Candidates
+    are weighed by all tokens.  grp is null in pairs of which a group is unknown.
+    """
+    near = 1e-9  # sums in different orders differ by less
+    rest = lambda i: F.aggregate(F.slice("terms", i + 1, F.size("terms")), F.lit(0.0), lambda acc, t: acc + t["idf"])
+    first = F.filter("terms", lambda t, i: rest(i) >= F.col("total") * least - near)
+    listed = of.select("design", "grp", "total", F.explode(F.transform(first, lambda t: t["token"])).alias("token"))
+    a, b = listed.alias("a"), listed.alias("b")
+    alike = (F.least("a.total", "b.total") >= F.greatest("a.total", "b.total") * least - near) & (F.col("a.token") == F.col("b.token"))
+    known = a.join(b, alike & (F.col("a.grp") == F.col("b.grp")) & (F.col("a.design") < F.col("b.design"))).select(F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb"), F.col("a.design").alias("design"), F.col("b.design").alias("other"))
+    # an unknown group agrees with all; of two unknown ones the smaller design stands first
+    loose = a.where("grp IS NULL").join(b, alike & (F.col("a.design") != F.col("b.design")) & (F.col("b.grp").isNotNull() | (F.col("a.design") < F.col("b.design"))))
+    swap = F.col("a.design") > F.col("b.design")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    loose = loose.select(pick("a.grp", "b.grp").alias("ga"), pick("b.grp", "a.grp").alias("gb"), pick("a.design", "b.design").alias("design"), pick("b.design", "a.design").alias("other"))
+    candidates = known.unionByName(loose).distinct()
+    left = of.select(F.col("design").alias("d1"), F.col("grp").alias("ga_"), F.col("terms").alias("x"), F.col("total").alias("tx"))
+    right = of.select(F.col("design").alias("d2"), F.col("grp").alias("gb_"), F.col("terms").alias("y"), F.col("total").alias("ty"))
+    rows = candidates.join(left, (F.col("design") == F.col("d1")) & F.col("ga").eqNullSafe(F.col("ga_"))).join(right, (F.col("other") == F.col("d2")) & F.col("gb").eqNullSafe(F.col("gb_")))
+    shared = F.aggregate(F.array_intersect("x", "y"), F.lit(0.0), lambda acc, t: acc + t["idf"])
+    rows = rows.withColumn("shared", shared).withColumn("sim", F.bround(F.col("shared") / (F.col("tx") + F.col("ty") - F.col("shared")), 9))
+    return rows.where(F.col("sim") >= least).select(F.when(F.col("ga") == F.col("gb"), F.col("ga")).alias("grp"), "design", "other", "sim")
+
+
 def neighbours(edges: DataFrame, k: int = 6) -> DataFrame:
     """The k most similar others of each design, with rank."""
     return edges.withColumn("rank", F.row_number().over(Window.partitionBy("design").orderBy(F.desc("sim"), "other"))).where(F.col("rank") <= k)

@@ -6,13 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import design, joins, rankings, report, similarity
+from ..operators import design, joins, rankings, report
 from ..registry import query
 from .base import sales
 from .design import frame
 from .fixtures import TODAY, VIEWS, view
 from .report import report_cells
-from .similarity import tokens
 
 ATTRIBUTES = ("category", "sub_category", "colour", "fabric", "neck")
 # The season that is compared with: S2 of 2000.
@@ -147,8 +146,3 @@ FROM g LEFT JOIN u ON g.m = u.m AND g.tier = u.tier LEFT JOIN p ON p.m = g.m - I
 def a20(spark, sf):
     actual = sales(spark, sf).select("style", "month", "qty")
     return report.tier_forecast(report_cells(spark, sf), actual, joins.current_tier(view(spark, sf, "tier_history_v")), TODAY)
-
-
-@query("j10_category_pairs", "SELECT design, other, sim FROM edge_v WHERE design < other")
-def j10(spark, sf):
-    return similarity.pairs(tokens(spark, sf)).where("design < other")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import joins, panel, similarity
 from ..registry import query
 from ..sources import orders
+from .base import once
 from .fixtures import VIEWS, view
 from .panel import LAST, launches, weekly
 
@@ -52,6 +53,32 @@ def k2(spark, sf):
     return similarity.pairs(tokens(spark, sf))
 
 
+def profiled(spark, sf):
+    """The designs' tokens with weights, written once: both sides of the join and the weighing start from them."""
+    return once(spark, sf, "profiles", lambda: similarity.profiles(tokens(spark, sf)))
+
+
+@query("k2_similar_over_half", "SELECT design, other, sim FROM edge_v WHERE design < other AND sim >= 0.5")
+def k2_over(spark, sf):
+    return similarity.pairs_over(profiled(spark, sf), 0.5).drop("grp")
+
+
+@query("j10_category_pairs", "SELECT category, design, other, sim FROM edge_v JOIN (SELECT style, category FROM attributes_v) a ON a.style = design WHERE design < other AND sim >= 0.3")
+def j10(spark, sf):
+    return similarity.pairs_over(profiled(spark, sf), 0.3).withColumnRenamed("grp", "category")
+
+
+@query(
+    "j9_alike_materials",
+    """WITH i AS (SELECT token, ln((SELECT count(DISTINCT design) FROM bom_v) / count(DISTINCT design)) + 1 AS idf FROM bom_v GROUP BY token), w AS (SELECT design, sum(idf) AS total FROM bom_v JOIN i USING (token) GROUP BY design),
+s AS (SELECT a.design, b.design AS other, sum(idf) AS shared FROM bom_v a JOIN bom_v b ON a.token = b.token AND a.design < b.design JOIN i ON i.token = a.token GROUP BY ALL)
+SELECT s.design, s.other, round_even(shared / (x.total + y.total - shared), 9) AS sim FROM s JOIN w x ON x.design = s.design JOIN w y ON y.design = s.other WHERE round_even(shared / (x.total + y.total - shared), 9) >= 0.1""",
+)
+def j9_over(spark, sf):
+    rows = view(spark, sf, "bom_v").withColumn("grp", F.lit(None).cast("string"))
+    return similarity.pairs_over(once(spark, sf, "materials", lambda: similarity.profiles(rows)), 0.1).drop("grp")
+
+
 @query("k3_attribute_tokens", "SELECT * FROM token_v")
 def k3(spark, sf):
     return tokens(spark, sf)

@@ -26,5 +26,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _module in ("keys", "dates", "joins", "analysis", "festival", "panel", "model", "planning", "similarity", "report", "evaluation", "design", "rankings", "seasons", "products", "lots", "streams"):
+for _module in ("keys", "saved", "dates", "joins", "analysis", "festival", "panel", "model", "planning", "similarity", "report", "evaluation", "design", "rankings", "seasons", "products", "lots", "streams"):
     importlib.import_module(f".plans.{_module}", __package__)

@@ -1,4 +1,4 @@
-"""Saved tables: forecast snapshots and daily stock, partitioned, replaced by partition."""
+"""Saved tables: offline CSV snapshots, forecast snapshots and daily stock, partitioned, replaced by partition."""
 
 from __future__ import annotations
 
@@ -11,6 +11,11 @@ def _write(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def csv_snapshot(spark: SparkSession, path: str, schema: str, columns: tuple[str, ...]) -> DataFrame:
+    """An offline snapshot in CSV with a header; only the columns named are parsed, dates as ISO."""
+    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=False, mode="FAILFAST", enforceSchema=False).select(*columns)
+
+
 def save_forecast(forecast: DataFrame, path: str, level: str, version: int, snapshot: date) -> None:
     """Saves id, step, qty of one level, version and day; the same again replaces it."""
     _write(forecast.select("id", "step", "qty", F.lit(level).alias("level"), F.lit(version).alias("version"), F.lit(snapshot).alias("snapshot")), path, "level", "version", "snapshot")

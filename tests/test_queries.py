@@ -13,7 +13,7 @@ from stylecast import registry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = [
     "min_month_category", "p9_sku_key", "p16_unify_case", "p21_sales_base", "t4_report_week_ordinal", "t9_week_status", "j3_primary_sku", "j5_tier_at_sale", "j7_week_events", "a6_trailing_windows",
-    "a15_tier_at_sale_months", "f4_day_factors", "f5_week_signals", "m7_rolling_folds", "w1_w6_lag_features", "w11_split_by_share", "q1_run_rate", "k2_weighted_jaccard", "n1_reconciliation", "g16_settled_log", "e2_accuracy_by_step", "x2_weekly_units",
+    "a15_tier_at_sale_months", "f4_day_factors", "f5_week_signals", "m7_rolling_folds", "w1_w6_lag_features", "w11_split_by_share", "q1_run_rate", "k2_weighted_jaccard", "n1_reconciliation", "g16_settled_log", "s7_calendar_csv", "s9_csv_snapshot", "s10_forecast_snapshot", "s13_daily_stock", "k2_similar_over_half", "j10_category_pairs", "j9_alike_materials", "e2_accuracy_by_step", "x2_weekly_units",
 ]
 
 
