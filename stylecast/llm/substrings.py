@@ -1,12 +1,13 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the UTF-8 bytes of each text; where its upper bits vanish, a chunk
-ends.  As only the last bytes decide, an insertion moves no cut but those next to it, and
-a passage that stands twice falls into the same chunks both times but for its two ends.
+A gear hash rolls over the hashes of each text's words; where it is low, a chunk ends, and
+so it does after MOST_WORDS words without such a cut.  As only the last words decide, an
+insertion moves no cut but those next to it, and a passage that stands twice falls into the
+same chunks both times but for its two ends, however short its words are.
 
 Chunks are deduplicated by digest: each is told whether it stands anywhere else, in its
 own text or in another.  Repeated chunks in a row make a region.  A repeated passage can't
-reach past the chunks next to a region, which bounds its words from above; regions that
+reach past the gear's cuts next to a region, which bounds its words from above; regions that
 can't hold ``min_words`` go.  In the others every window of ``min_words`` words is hashed
 (96 bits), and a window that has an earlier occurrence (by document id, then place) is
 repeated, whichever document has it and whatever stands around it there.  Windows that
@@ -16,12 +17,14 @@ Both shuffles carry what a step of the scan has seen first only: its further occ
 are known to be repeats without being sent, so a passage that a third of all rows share
 is sent once a step.
 
-Defined cases: a null text counts as an empty one; texts without a cut are one chunk, cut
-every MOST_BYTES bytes; equal rows count once; rows that share an id but differ in text
-are told apart by place (those of the smaller text hash first); rows without an id are left
-out; other columns are ignored by ``repeated_passages`` and kept by ``deduplicated``; an
-empty table gives an empty result.  A passage is found if it holds one whole chunk, of 32
-bytes on average: of passages of 300 bytes about one in a thousand has none.
+Defined cases: a null text counts as an empty one; texts without a word have no chunk; equal
+rows count once; rows that share an id but differ in text are told apart by place (those of
+the smaller text hash first); rows without an id are left out; other columns are ignored by
+``repeated_passages`` and kept by ``deduplicated``; an empty table gives an empty result.  A
+passage is found if the gear cuts it twice (a cut stands after one word in CHUNK_WORDS): of
+passages of 50 different words two in ten thousand have fewer cuts, whatever their length in
+bytes.  Where words repeat so that no cut is found, the fixed cuts give equal chunks; an end of
+such a passage may then lack a word or so.
 """
 
 from __future__ import annotations
@@ -31,48 +34,54 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mix, span_hashes, steps, string_buffer, word_spans, written
 
-#: Bytes that decide on a cut; bits that must vanish (chunks of 2**CUT_BITS bytes on average); most bytes of a chunk.
-REACH, CUT_BITS, MOST_BYTES = 16, 5, 1024
+#: Words that decide on a cut; words of a chunk on average; most words of a chunk (a prime, so that fixed cuts in periodic text fall on all places of the period).
+REACH, CHUNK_WORDS, MOST_WORDS = 2, 5, 17
 #: Words of a repeated passage at least.
 MIN_WORDS = 50
-_GEAR = np.random.default_rng(77).integers(0, 2**32, 256, np.uint64).astype(np.uint32)
-_MASK = np.uint32(((1 << CUT_BITS) - 1) << (REACH - CUT_BITS))
-#: Words of a chunk, and of those beside it, as they are packed beside its number.
+#: Bits of the words of a chunk, and of those beside it, as they are packed beside its number.
 _WORDS = 12
 
 
-def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each chunk of the texts of a step."""
-    h = np.zeros(len(data), np.uint32)
-    g = _GEAR[data]
-    for k in range(min(REACH, len(g))):
-        h[k:] += g[: len(g) - k] << np.uint32(k)
-    ends = np.flatnonzero((h & _MASK) == 0) + 1
-    of = np.searchsorted(offsets, ends, side="left") - 1
-    ends = ends[ends - offsets[of] >= REACH]  # what stands before a text decides nothing
-    ends = np.union1d(ends, offsets[1:])
-    starts = np.union1d(ends, offsets[:-1])
-    starts = starts[starts < offsets[-1]]
-    ends = ends[ends > 0]
-    if len(starts) and (ends - starts).max() > MOST_BYTES:  # cuts at fixed distances where none is found
-        n = -(-(ends - starts) // MOST_BYTES)
-        k = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-        starts = np.repeat(starts, n) + k * MOST_BYTES
-        ends = np.r_[starts[1:], ends[-1:]]
-    return starts, ends
+def chunk_bounds(data: np.ndarray, begins: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First word, end (word), words to the gear's cut before and to the one after, and text of each chunk.
+
+    a, b: where the words of a step start and stop; begins: the first word of each text, and the number of words.
+    """
+    text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    g = (span_hashes(data, a, b, fold_case=False) >> np.uint64(32)).astype(np.uint32)
+    h = g.copy()
+    for k in range(1, min(REACH, len(g))):
+        h[k:] += g[:-k] << np.uint32(k)
+    ends = (h < (1 << 32) // CHUNK_WORDS) & (np.arange(len(a)) - begins[text] >= REACH - 1)  # what stands before a text decides nothing
+    ends[begins[1:][np.diff(begins) > 0] - 1] = True
+    stop = np.flatnonzero(ends) + 1  # of what lies between the gear's cuts
+    start = np.r_[0, stop[:-1]]
+    size, owner = stop - start, text[start]
+    same = np.r_[False, owner[1:] == owner[:-1], False]
+    before, after = np.where(same[:-1], np.r_[0, size[:-1]], 0), np.where(same[1:], np.r_[size[1:], 0], 0)
+    n = -(-size // MOST_WORDS)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = np.repeat(start, n) + k * MOST_WORDS
+    end = np.r_[first[1:], len(a)]
+    left = np.where(k > 0, k * MOST_WORDS, np.repeat(before, n))
+    right = np.where(end < np.repeat(stop, n), np.repeat(stop, n) - end, np.repeat(after, n))
+    return first, end, left, right, np.repeat(owner, n)
 
 
 def _cut_up(texts):
-    """(first, last text, bytes, offsets, chunk starts, chunk ends, text of each chunk, first chunk of each text) of each step."""
+    """(first, last text, bytes, offsets, where words start and stop, first word of each text, chunks (as above), first chunk of each text) of each step with a word."""
     data, offsets = string_buffer(texts)
     for i, j in steps(offsets):
         part = offsets[i : j + 1]
         if part[0] == part[-1]:
             continue
         step, place = data[part[0] : part[-1]], part - part[0]
-        starts, ends = chunk_bounds(step, place)
-        of = np.searchsorted(place, starts, side="right") - 1
-        yield i, j, step, place, starts, ends, of, np.searchsorted(starts, place[:-1], side="left")
+        a, b = word_spans(step, place[1:])
+        if not len(a):
+            continue
+        begins = np.searchsorted(a, place, side="left")
+        cut = chunk_bounds(step, begins, a, b)
+        yield i, j, step, place, a, b, begins, cut, np.searchsorted(cut[4], np.arange(j - i), side="left")
 
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,16 +116,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         import pyarrow as pa
 
         for batch in batches:
-            for i, j, step, place, starts, ends, of, first in _cut_up(batch.column(1)):
-                begun = np.zeros(len(step) + 1, np.int64)
-                begun[word_spans(step, place[1:])[0] + 1] = 1
-                begun = np.cumsum(begun)
-                words = begun[ends] - begun[starts]
-                padded = np.r_[0, words, 0]
-                same = np.r_[False, of[1:] == of[:-1], False]
-                beside = np.minimum(np.maximum(np.where(same[:-1], padded[:-2], 0), np.where(same[1:], padded[2:], 0)), (1 << _WORDS) - 1)
-                chunk = ((np.arange(len(of)) - first[of]) << (2 * _WORDS)) | (np.minimum(words, (1 << _WORDS) - 1) << _WORDS) | beside
-                digest = span_hashes(step, starts, ends, fold_case=False).view(np.int64)
+            for i, j, step, _, a, b, _, (w0, w1, left, right, of), first in _cut_up(batch.column(1)):
+                beside = np.minimum(np.maximum(left, right), (1 << _WORDS) - 1)
+                chunk = ((np.arange(len(of)) - first[of]) << (2 * _WORDS)) | ((w1 - w0) << _WORDS) | beside
+                digest = span_hashes(step, a[w0], b[w1 - 1], fold_case=False).view(np.int64)
                 order, fresh, n = _grouped(digest)
                 key, known = digest[order], n > 1
                 key[~fresh] = batch.column(2).to_numpy()[i:j][of[order][~fresh]]  # any will do: they go with their text
@@ -170,9 +173,9 @@ def regions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                 continue
             fresh = np.r_[True, (k[1:] > k[:-1] + 1) | (of[1:] != of[:-1])]
             at = np.flatnonzero(fresh)
-            # those that begin in the region and beside it, and before by what decides on a cut
-            total = np.add.reduceat(words, at) + 2 * np.maximum.reduceat(beside, at) + REACH // 2 + 1
-            full = (np.maximum.reduceat(words, at) == most) | (np.maximum.reduceat(beside, at) == most)
+            # those in the region and beside it, and before by what decides on a cut
+            total = np.add.reduceat(words, at) + 2 * np.maximum.reduceat(beside, at) + REACH
+            full = np.maximum.reduceat(beside, at) == most
             good = np.flatnonzero((total >= min_words) | full)
             lo, hi, doc = k[at[good]], k[np.r_[at[1:], len(k)][good] - 1], of[at[good]]
             spans = np.stack([lo, hi], 1).reshape(-1).astype(np.int32)
@@ -200,19 +203,14 @@ def windows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
             bounds, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
             rank = pc.rank(batch.column(0), tiebreaker="dense").to_numpy().astype(np.int64)
             uid = batch.column(3).to_numpy()
-            for i, j, step, place, starts, ends, of, first in _cut_up(batch.column(1)):
+            for i, j, step, place, a, b, begins, (c0, c1, left, right, _), first in _cut_up(batch.column(1)):
                 mine = flat[bounds[i] : bounds[j]].reshape(-1, 2).astype(np.int64)
                 doc = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]) // 2)
-                last = np.r_[first[1:], len(starts)] - 1
-                # a chunk more on each side, and what may decide on the first cut
-                lo = np.maximum(starts[np.minimum(np.maximum(first[doc] + mine[:, 0] - 1, first[doc]), last[doc])] - REACH, place[doc])
-                hi = ends[np.minimum(first[doc] + mine[:, 1] + 1, last[doc])]
-                a, b = word_spans(step, place[1:])
-                if len(a) < min_words:
-                    continue
                 inside = np.zeros(len(a) + 1, np.int64)  # windows that lie in a region
-                w0 = np.searchsorted(a, lo, side="left")
-                w1 = np.searchsorted(b, hi, side="right") - min_words + 1
+                # up to the gear's cuts on each side, and what may decide on the first one
+                lo, hi = first[doc] + mine[:, 0], first[doc] + mine[:, 1]
+                w0 = np.maximum(c0[lo] - left[lo] - REACH, begins[doc])
+                w1 = c1[hi] + right[hi] - min_words + 1
                 fits = w1 > w0
                 np.add.at(inside, w0[fits], 1)
                 np.add.at(inside, w1[fits], -1)
@@ -224,7 +222,6 @@ def windows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
                 key = span_hashes(step, start, end, fold_case=False).view(np.int64)
                 each = np.r_[np.uint64(0), np.cumsum(mix(span_hashes(step, a, b, fold_case=False)))]
                 tail = ((each[w + min_words] - each[w]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                begins = np.searchsorted(a, place[:-1], side="left")
                 at = w - begins[text]
                 start, end = start - place[text], end - place[text]
                 order = np.lexsort((at, uid[i:j][text], rank[i:j][text], tail, key))

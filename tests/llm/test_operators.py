@@ -423,6 +423,30 @@ def test_substring_dedup(spark):
         assert cut[i] == data.decode()
 
 
+@pytest.mark.parametrize("kind", ["one letter", "one to three letters", "one character", "periods"])
+def test_substring_dedup_of_short_words_and_periods(spark, kind):
+    """Passages of 50 words and little more, of few bytes, and passages that repeat within themselves."""
+    rnd = random.Random(9)
+    letters = "日本語中文字漢書東西南北" if kind == "one character" else "abcdefghijklmnopqrstuvwxyz"
+    most = 3 if kind == "one to three letters" else 1
+    prose = lambda n: ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, most))) for _ in range(n)]
+    passages = [prose(rnd.randint(50, 55)) for _ in range(100)]
+    if kind == "periods":
+        passages = [(prose(rnd.randint(1, 3)) * 90)[:90] for _ in range(100)]
+    texts = [(k, " ".join(prose(rnd.randrange(5, 60)) + passages[k % 100] + prose(rnd.randrange(5, 60)))) for k in range(300)]
+    got = {}
+    for r in substrings.repeated_passages(frame(spark, [t for _, t in texts])).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.n_words))
+    want = repeats_of(texts, 50)
+    assert len(want) >= 200 and len(got) >= 0.99 * len(want)
+    exact = [k for k, v in got.items() if sorted(v) == want[k]]
+    if kind == "periods":  # where nothing but periods is cut, an end may lack a word that stands there by chance
+        assert len(exact) >= 0.99 * len(got)
+        assert all(any(s <= start and end <= e and words >= 0.95 * n for s, e, n in want[k]) for k, v in got.items() for start, end, words in v)
+    else:
+        assert len(exact) == len(got)
+
+
 def test_substring_dedup_on_odd_rows(spark, odd):
     assert substrings.repeated_passages(odd).count() == 0
     assert sorted(map(str, substrings.deduplicated(odd).collect())) == sorted(map(str, odd.collect()))
