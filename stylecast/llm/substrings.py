@@ -40,6 +40,7 @@ REACH, CHUNK_WORDS, MOST_WORDS = 2, 5, 17
 MIN_WORDS = 50
 #: Bits of the words of a chunk, and of those beside it, as they are packed beside its number.
 _WORDS = 12
+_LOW = (1 << 32) - 1
 
 
 def chunk_bounds(data: np.ndarray, begins: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -190,9 +191,10 @@ def regions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 def windows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each window of min_words words in the regions that its step has first, and for each row of windows that it knows to be repeats.
 
-    key, tail (hash), doc_id, uid (of the text), at (first word), n (repeated windows from there on; 0 if the step has it first), start, end (bytes).
+    key, tail (hash), doc_id, uid (of the text), place (first word, and in the lower 32 bits the repeated windows from there on; 0 if the
+    step has it first), span (start, and in the lower 32 bits end, in bytes): packed, as these rows are most of what is shuffled.
     """
-    names = ["key", "tail", "doc_id", "uid", "at", "n", "start", "end"]
+    names = ["key", "tail", "doc_id", "uid", "place", "span"]
 
     def split(batches):
         import pyarrow as pa
@@ -238,20 +240,19 @@ def windows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(
                     [
                         put(key[new], mix((uid[i:j][text[head]] + at[head]).view(np.uint64)).view(np.int64)), put(tail[new], np.zeros(len(head), np.int32)), batch.column(0)[i:j].take(pa.array(pick)), pa.array(uid[i:j][pick]),
-                        put(at[new].astype(np.int32), at[head].astype(np.int32)), put(np.zeros(len(new), np.int32), (w[tailend] - w[head] + 1).astype(np.int32)),
-                        put(start[new].astype(np.int32), start[head].astype(np.int32)), put(end[new].astype(np.int32), end[tailend].astype(np.int32)),
+                        put(at[new] << 32, at[head] << 32 | (w[tailend] - w[head] + 1)), put(start[new] << 32 | end[new], start[head] << 32 | end[tailend]),
                     ],
                     names=names,
                 )
 
     rows = _rows(docs, id_col, text_col).withColumn("uid", F.xxhash64("doc_id", "text"))
     rows = rows.join(found.withColumnRenamed("doc_id", "found_id"), F.col("doc_id") == F.col("found_id")).select("doc_id", "text", "spans", "uid")
-    return rows.mapInArrow(split, f"key long, tail int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, at int, n int, start int, end int")
+    return rows.mapInArrow(split, f"key long, tail int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, place long, span long")
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
-    """The windows that have an earlier occurrence: doc_id, uid, at, n, start, end.  One shuffle by hash."""
-    kept = ["doc_id", "uid", "at", "n", "start", "end"]
+    """The windows that have an earlier occurrence: doc_id, uid, place, span.  One shuffle by hash."""
+    kept = ["doc_id", "uid", "place", "span"]
 
     def run(batches):
         import pyarrow as pa
@@ -261,16 +262,17 @@ def _repeats(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("key", "tail", *kept)}
-            key, tail, n, uid, at = (col[c].to_numpy() for c in ("key", "tail", "n", "uid", "at"))
-            take = n > 0
+            key, tail, uid, place = (col[c].to_numpy() for c in ("key", "tail", "uid", "place"))
+            at, take = place >> 32, (place & _LOW) > 0
+            known = take.copy()
             unknown = np.flatnonzero(~take)
             if len(unknown):
                 take[unknown], before = _not_first(*(x[unknown] for x in (key, tail, uid, at)), before)
-            out = pa.RecordBatch.from_arrays([pa.array(np.maximum(n, 1)) if c == "n" else col[c] for c in kept], names=kept)
+            out = pa.RecordBatch.from_arrays([pa.array(place + ~known) if c == "place" else col[c] for c in kept], names=kept)
             yield out.filter(pa.array(take))
 
-    sorted_ = rows.repartition("key").sortWithinPartitions("key", "tail", "doc_id", "uid", "at")
-    return sorted_.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, at int, n int, start int, end int")
+    sorted_ = rows.repartition("key").sortWithinPartitions("key", "tail", "doc_id", "uid", "place")
+    return sorted_.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, place long, span long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -278,7 +280,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = written(regions(docs, min_words=min_words), "regions")
     again = _repeats(windows(docs, found, min_words=min_words))
-    by_text = again.groupBy("doc_id", "uid").agg(F.sort_array(F.collect_set(F.struct("at", "n", "start", "end"))).alias("w"))
+    by_text = again.groupBy("doc_id", "uid").agg(F.sort_array(F.collect_set(F.struct("place", "span"))).alias("w"))
     kind = by_text.schema["doc_id"].dataType.simpleString()
 
     def put_together(batches):
@@ -287,7 +289,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             lists = batch.column(2)
             bounds = lists.offsets.to_numpy().astype(np.int64)
-            at, n, start, end = (lists.values.field(k).to_numpy()[bounds[0] : bounds[-1]].astype(np.int64) for k in range(4))
+            place, span = (lists.values.field(k).to_numpy()[bounds[0] : bounds[-1]] for k in range(2))
+            at, n, start, end = place >> 32, place & _LOW, span >> 32, span & _LOW
             if not len(at):
                 continue
             of = np.repeat(np.arange(len(lists)), np.diff(bounds))
