@@ -1,4 +1,8 @@
-"""Texts and notices of common licences, in lower case without quotation marks."""
+"""Texts and notices of common licences, in lower case without quotation marks, and full texts as they are published."""
+
+from __future__ import annotations
+
+from pathlib import Path
 
 # The wording of the licences themselves, without copyright lines.
 _MIT = (
@@ -59,9 +63,11 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "licensed under cc by-nc 4.0"),
     ("CC-BY-SA-4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"),
     ("CC-BY-SA-4.0", "licensed under cc by-sa 4.0"),
+    ("GPL-2.0", _GPL.format("").replace("version 3", "version 2")),
     ("GPL-3.0", _GPL.format("")),
     ("GPL-3.0", "this work is licensed under the gnu general public license, version 3"),
     ("ISC", _ISC),
+    ("LGPL-2.1", _GPL.format("lesser ").replace("version 3", "version 2.1")),
     ("LGPL-3.0", _GPL.format("lesser ")),
     ("MIT", _MIT),
     ("MIT", "released under the mit license"),
@@ -69,3 +75,6 @@ TEMPLATES = (
     ("MPL-2.0", _MPL),
     ("Unlicense", _UNLICENSE),
 )
+
+#: Licence, and its full text: a file of the licence itself is told by these.
+FULL_TEXTS = tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_files").glob("*.txt")))

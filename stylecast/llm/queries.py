@@ -39,8 +39,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = licences.pages_with_paths(table(spark, sf_dir, "pages"))
-    return licences.scanned(pages, licences.template_table(spark), id_col="page_id").withColumnRenamed("doc_id", "page_id")
+    texts = licences.pages_and_documents(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    found = licences.scanned(texts, licences.template_table(spark), id_col="item")
+    return found.select("doc_id.*", "licence", "score", "origin", "licence_dir")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from stylecast.llm import bpe, chat, components, decontaminate, jaccard, licences, lines, pii, quality, substrings, tokens  # noqa: E402
+from stylecast.llm import bpe, chat, components, decontaminate, jaccard, licences, lines, pii, quality, queries, substrings, tokens  # noqa: E402
 
 ODD = [(1, None, "en", None, 0), (2, "", "en", "s", 0), (3, " \n\t ", None, "s", 3), (4, "one", "en", "s", 3), (4, "one", "en", "s", 3), (None, "two words", "en", "s", 9), (5, "日本 😀 <|endoftext|> é\x1c", "ja", "t", 9), (6, "x" * 70_000, "en", "t", 70_000)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, hash string, n string, id string, place string"
@@ -297,6 +297,42 @@ def test_licences(spark, odd):
     assert licences.scanned(df.limit(0), licences.template_table(spark)).count() == 0
 
 
+def test_licence_files(spark):
+    """Full texts of licences make their directories inherit, also where they are wrapped anew or quote other licences' notices."""
+    rows, prose = [], "the rest of this work is prose about the sea and the ships that may go to it under any wind\n"
+    for k, (name, text) in enumerate(licences.FULL_TEXTS):
+        anew = re.sub(r"\n(?!\n)", " ", text) if k % 2 else "Copyright 2020 by the authors\n\n" + text
+        rows += [(10 * k, anew, f"{name}/COPYING"), (10 * k + 1, prose * (k + 1), f"{name}/src/deep/code"), (10 * k + 2, prose, f"{name}x/code")]
+    rows.append((1000, prose * 2000, "z/long"))
+    v2 = next(n for k, n in licences.TEMPLATES if k == "GPL-2.0")
+    rows.append((1001, "ships\n\n" + v2.replace(". ", ".\n") + "\n\n" + prose * 50, "z/header"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.doc_id: (r.licence, r.origin, r.licence_dir) for r in licences.scanned(df, licences.template_table(spark)).collect()}
+    for k, (name, _) in enumerate(licences.FULL_TEXTS):
+        assert got[10 * k] == (name, "own", None)
+        assert got[10 * k + 1] == (name, "inherited", name)
+        assert got[10 * k + 2] == (None, None, None)
+    assert got[1000] == (None, None, None) and got[1001] == ("GPL-2.0", "own", None)
+
+
+def test_licence_sql(spark, tmp_path):
+    """The query and its SQL on pages that hold full licence texts, and on documents."""
+    apache, gpl = (dict(licences.FULL_TEXTS)[k] for k in ("Apache-2.0", "GPL-2.0"))
+    pages = [(1, "https://a.org/x/LICENSE", f"<pre>{apache}</pre>"), (2, "https://a.org/x/y/z.html", "<p>prose of ships</p>"), (3, "https://b.org/COPYING", gpl), (4, "https://b.org/q/r", "<b>more prose</b>"), (5, None, None), (6, "https://c.org/", "<p>licensed under the mit license</p>")]
+    docs = [(1, "licensed under cc by 4.0\n" + "prose " * 50), (2, gpl), (3, None), (4, "ships")]
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame(pages, "page_id long, url string, html string").toPandas().to_parquet(tmp_path / "t/pages.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").toPandas().to_parquet(tmp_path / "t/documents.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/t/{name}.parquet'")
+    key = lambda r: tuple(map(str, r))
+    want = con.execute(f"SELECT table_name, id, licence, score, origin, licence_dir FROM ({licences.licence_sql()})").fetchall()
+    got = [tuple(r) for r in queries.op6_licence_scan(spark, str(tmp_path / "t")).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {(r[1], r[2]) for r in got if r[4] == "inherited"} == {(2, "Apache-2.0"), (4, "GPL-2.0")}
+
+
 @pytest.mark.parametrize("together", [32, 3])
 def test_line_dedup(spark, monkeypatch, together):
     monkeypatch.setattr(lines, "MOST_TOGETHER", together)
