@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import cut
+from .common import cut, written
 from .licence_texts import FULL_TEXTS, TEMPLATES
 
 HEADER_LINES, THRESHOLD, FILE_SHARE = 20, 0.6, 0.3
@@ -39,15 +39,15 @@ def _words(text: Column) -> Column:
 
 
 def sections(docs: DataFrame, id_col: str, text_col: str, header_lines: int = HEADER_LINES) -> DataFrame:
-    """doc_id, kind (0 line, 1 block of lines, 2 header, 3 whole text), k (its number), words, n_words (of the text)."""
+    """row (numbers the texts), doc_id, kind (0 line, 1 block of lines, 2 header, 3 whole text), k (its number), words, n_words (of the text)."""
     text = F.col(text_col).cast("string")
-    rows = docs.where(text.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    rows = docs.where(text.isNotNull() & F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
     numbered = lambda kind, parts: F.filter(F.transform(parts, lambda p, k: F.struct(F.lit(kind).alias("kind"), k.cast("int").alias("k"), _words(p).alias("words"))), lambda s: F.size(s["words"]) > 0)
     rows = rows.withColumn("lines", numbered(0, F.split("text", "\n")))
     blocks = numbered(1, F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda b: F.contains(b, F.lit("\n"))))
     one = lambda kind, lines: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("k"), F.flatten(F.transform(lines, lambda s: s["words"])).alias("words")))
     rows = rows.withColumn("n_words", F.aggregate("lines", F.lit(0), lambda n, s: n + F.size(s["words"]))).where("n_words > 0")
-    return rows.select("doc_id", "n_words", F.inline(F.concat("lines", blocks, one(2, F.slice("lines", 1, header_lines)), one(3, F.col("lines")))))
+    return rows.select("row", "doc_id", "n_words", F.inline(F.concat("lines", blocks, one(2, F.slice("lines", 1, header_lines)), one(3, F.col("lines")))))
 
 
 def template_terms(templates: DataFrame, frequencies: DataFrame, total: int) -> DataFrame:
@@ -80,13 +80,24 @@ def own_licences(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     has = lambda whole: F.arrays_overlap("words", F.array(*(F.lit(r["word"]) for r in sorted(anchors) if r["whole"] == whole)).cast("array<string>"))
 
     found = sections(docs, id_col, text_col).where(has(False) | ((F.col("kind") == 3) & has(True)))
-    found = found.select("doc_id", "kind", "k", (F.size("words") / F.col("n_words")).alias("share"), "words").distinct().select("doc_id", "kind", "k", "share", F.explode("words").alias("word"))
-    found = cut(found.groupBy("doc_id", "kind", "k", "share", "word").agg(F.count(F.lit(1)).alias("tf")))
-    weighed = cut(found.join(frequencies, "word").withColumn("idf", F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1))
-    norms = weighed.groupBy("doc_id", "kind", "k", "share").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("own_norm"))
-    dots = weighed.drop("idf").join(F.broadcast(terms.select("word", "template", "licence", "whole", "norm", (F.col("weight") * F.col("idf")).alias("heavy"))), "word").where(~F.col("whole") | (F.col("kind") == 3))
-    dots = dots.groupBy("doc_id", "kind", "k", "share", "template", "licence", "whole", "norm").agg(F.sum(F.col("tf") * F.col("heavy")).alias("dot"))
-    scored = dots.join(norms, ["doc_id", "kind", "k", "share"]).withColumn("score", F.round(F.col("dot") / (F.col("own_norm") * F.col("norm")), 6)).where(F.col("score") >= bound)
+    found = written(found.select("row", "doc_id", "kind", "k", (F.size("words") / F.col("n_words")).alias("share"), F.size(F.array_distinct("words")).alias("distinct"), "words"), "licence_sections")
+    heavy = F.broadcast(terms.select("word", "template", "licence", "whole", "norm", "idf", (F.col("weight") * F.col("idf")).alias("heavy")))  # words of the templates
+    meets = ~F.col("whole") | (F.col("kind") == 3)
+    section = ["row", "kind", "k"]
+
+    # what the words outside a template weigh at least, as no idf is under 1, bounds its cosine before frequencies are joined
+    spoken = found.select(*section, "distinct", F.size("words").alias("n"), F.explode("words").alias("word")).join(heavy, "word").where(meets)
+    spoken = spoken.groupBy(*section, "distinct", "n", "template", "whole", "norm").agg(F.sum("heavy").alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("inside"), F.count(F.lit(1)).alias("n_inside"))
+    outside = F.col("n") - F.col("n_inside")
+    least = F.sqrt(F.col("inside") + outside * outside / F.col("distinct"))
+    likely = spoken.where(F.col("dot") >= F.col("norm") * least * bound * 0.999999).select(*section).distinct()
+
+    found = found.join(likely, section, "left_semi").select(*section, "doc_id", "share", F.explode("words").alias("word"))
+    found = found.groupBy(*section, "doc_id", "share", "word").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = cut(found.join(frequencies, "word").withColumn("own", F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1)))
+    norms = weighed.groupBy(*section, "doc_id", "share").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("own_norm"))
+    dots = weighed.join(heavy, "word").where(meets).groupBy(*section, "template", "licence", "whole", "norm").agg(F.sum(F.col("tf") * F.col("heavy")).alias("dot"))
+    scored = dots.join(norms, section).withColumn("score", F.round(F.col("dot") / (F.col("own_norm") * F.col("norm")), 6)).where(F.col("score") >= bound)
     pick = F.min_by(F.struct("licence", "score", "share"), F.struct(~F.col("whole"), -F.col("score"), F.col("licence"), F.col("kind"), F.col("k"), -F.col("share")))
     return scored.groupBy("doc_id").agg(pick.alias("x")).select("doc_id", "x.*")
 
