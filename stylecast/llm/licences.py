@@ -116,7 +116,8 @@ def scanned(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_
     files = known.where((F.col("share") >= file_share) & F.col("dir").isNotNull()).groupBy("dir").agg(F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("file_licence"))
     above = known.select("dir").where(F.col("dir").isNotNull()).distinct().select("dir", F.posexplode(_ancestors(F.concat("dir", F.lit("/")))).alias("depth", "up"))
     nearest = above.join(files.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.min_by(F.struct("up", "file_licence"), "depth").alias("near"))
-    rows = known.join(nearest, "dir", "left")
+    # texts without a directory would all meet in one task
+    rows = known.where(F.col("dir").isNotNull()).join(nearest, "dir", "left").unionByName(known.where(F.col("dir").isNull()), allowMissingColumns=True)
     mine, near = F.col("licence").isNotNull(), F.col("near").isNotNull()
     return rows.select(
         "doc_id", F.coalesce("licence", "near.file_licence").alias("licence"), F.when(mine, F.col("score")).alias("score"),
