@@ -51,6 +51,15 @@ def horizons(forecast: DataFrame) -> DataFrame:
     return forecast.groupBy("id").agg(F.bround(at(0), 0).cast("long").alias("forecast7"), F.bround(at(0) + at(1) * 3 / 7, 0).cast("long").alias("forecast10"), five.cast("long").alias("forecast35"))
 
 
+def by_design(parts: DataFrame) -> DataFrame:
+    """Q5: id, step, qty: the sum of each design's SKUs.  parts: id, step, qty.
+
+    Sums are freed of the last digits, which depend on the order of the summands: a sum of
+    exactly a half is then rounded as one, in whatever order it came about.
+    """
+    return parts.groupBy("id", "step").agg(F.bround(F.sum("qty"), 6).alias("qty"))
+
+
 def preferred(own: DataFrame, parts: DataFrame) -> DataFrame:
     """Q4: the design's own series where there is one, else the sum of its SKUs.  own: id, step, qty; parts: id, sku, step, qty."""
     summed = parts.join(own.select("id").distinct(), "id", "left_anti").groupBy("id", "step").agg(F.sum("qty").alias("qty"))

@@ -92,7 +92,7 @@ def q4(spark, sf):
 @query("q5_design_five_weeks", f"SELECT id, CAST(sum(round_even(qty, 0)) AS BIGINT) AS forecast35 FROM ({_STYLE_NAIVE}) WHERE step < 5 GROUP BY id")
 def q5(spark, sf):
     parts = naive(spark, sf).where("step < 5").withColumnRenamed("id", "sku").join(sales(spark, sf).select("sku", F.col("style").alias("id")).distinct(), "sku")
-    return planning.horizons(parts.groupBy("id", "step").agg(F.sum("qty").alias("qty"))).select("id", "forecast35")
+    return planning.horizons(planning.by_design(parts)).select("id", "forecast35")
 
 
 @query("q6_available", "SELECT *, inventory + wip AS available FROM avail_v")

@@ -92,6 +92,12 @@ def test_run_rate_drops_events_and_spikes(spark):  # [Q1]
     assert planning.run_rate(gross, days).first().weekly == 70
 
 
+def test_halves_are_rounded_alike_in_any_order(spark):  # [Q5]
+    for parts in ((0.6, 0.7, 0.2), (0.7, 0.6, 0.2), (0.2, 0.7, 0.6)):
+        rows = spark.createDataFrame([("a", 0, q) for q in parts], "id string, step int, qty double").coalesce(1)
+        assert planning.horizons(planning.by_design(rows)).first().forecast35 == 2
+
+
 def test_split_adds_up(spark):  # [W11]
     rows = spark.createDataFrame([("s", "a", 3, 1), ("s", "b", 3, 1), ("t", "c", 5, 0), ("t", "d", 5, 0), ("u", "e", 0, 4)], "style string, sku string, total int, w int")
     got = {r.sku: r.units for r in analysis.split_by_share(rows, ["style"], "total", "w", "sku").collect()}
