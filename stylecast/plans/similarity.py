@@ -63,8 +63,17 @@ def k2_over(spark, sf):
     return similarity.pairs_over(profiled(spark, sf), 0.5).drop("grp")
 
 
-@query("j10_category_pairs", "SELECT category, design, other, sim FROM edge_v JOIN (SELECT style, category FROM attributes_v) a ON a.style = design WHERE design < other AND sim >= 0.3")
+_CATEGORY_PAIRS = "SELECT category, design, other, sim FROM edge_v JOIN (SELECT style, category FROM attributes_v) a ON a.style = design WHERE design < other"
+
+
+@query("j10_category_pairs", _CATEGORY_PAIRS)
 def j10(spark, sf):
+    rows = tokens(spark, sf)
+    return similarity.pairs(rows).where("design < other").join(rows.select("design", F.col("grp").alias("category")).distinct(), "design")
+
+
+@query("j10_category_pairs_over", f"{_CATEGORY_PAIRS} AND sim >= 0.3")
+def j10_over(spark, sf):
     return similarity.pairs_over(profiled(spark, sf), 0.3).withColumnRenamed("grp", "category")
 
 

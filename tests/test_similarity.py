@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from stylecast import registry
 from stylecast.operators import similarity
 
 
@@ -39,3 +40,13 @@ def test_a_common_token_makes_no_pairs(spark):
     rows = spark.range(2000).selectExpr("concat('d', id) AS design", "explode(array('ALL', concat('a', id), concat('b', id div 2))) AS token", "'x' AS grp")
     got = similarity.pairs_over(similarity.profiles(rows), 0.5)
     assert got.count() == 0 and similarity.pairs_over(similarity.profiles(rows), 0.3).count() == 1000
+
+
+@pytest.mark.parametrize("name", ["j10_category_pairs", "j10_category_pairs_over"])
+def test_category_pairs_are_whole(spark, name):
+    """All pairs of a category that share a token, those under the threshold of the other query too."""
+    from tests.test_queries import SF, test_query_matches_sql
+
+    test_query_matches_sql(spark, name)
+    sims = [r.sim for r in registry.QUERIES[name](spark, SF).collect()]
+    assert (min(sims) < 0.3) == (name == "j10_category_pairs")
