@@ -23,9 +23,8 @@ def title(c: Column) -> Column:
 
 def design_key(code: Column) -> Column:
     """The first two segments of a code; only the first if the second is a size."""
-    two = _null_if_empty(F.regexp_extract(_upper(code), r"^([A-Z0-9]+-[A-Z0-9]+)", 1))
-    first, second = F.split_part(two, F.lit("-"), F.lit(1)), F.split_part(two, F.lit("-"), F.lit(2))
-    return F.when(second.isin(*SIZE_TOKENS), first).otherwise(two)
+    segment, sizes = "[A-Z0-9]+", "|".join(t for t in SIZE_TOKENS if t.isalnum())
+    return F.nullif(F.regexp_extract(_upper(code), rf"^({segment}(?=-(?:{sizes})(?![A-Z0-9]))|{segment}-{segment})", 1), F.lit(""))
 
 
 def stock_design(code: Column) -> Column:
@@ -103,16 +102,18 @@ def is_placeholder(product: Column) -> Column:
     return out
 
 
-def _status(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
+def _is_one(status: Column, names: tuple[str, ...]) -> Column:
+    """Whether it is one of the names, however spaced; most are spelled as they should be, which spares the pattern."""
+    name = F.lower(F.trim(status))
+    return F.coalesce(name.isin(*names) | F.regexp_replace(name, r"\s+", " ").isin(*names), F.lit(False))
 
 
 def is_gross(status: Column) -> Column:
-    return F.coalesce(_status(status).isin(*GROSS_STATUSES), F.lit(False))
+    return _is_one(status, GROSS_STATUSES)
 
 
 def is_net(status: Column) -> Column:
-    return F.coalesce(_status(status).isin(*SOLD_STATUSES), F.lit(False))
+    return _is_one(status, SOLD_STATUSES)
 
 
 def is_return(status: Column) -> Column:

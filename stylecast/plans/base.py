@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import GROSS_STATUSES, SIZE_TOKENS, SOLD_STATUSES
 from ..sources import orders
 from ..sources.shared import new_path
-from .fixtures import TODAY, VIEWS, view
+from .fixtures import TODAY, VIEWS, order_lines, view
 
 NOW = f"DATE '{TODAY.isoformat()}'"
 
@@ -35,14 +35,15 @@ def once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], DataFra
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned lines, sorted by date within a file, so that a range of dates reads few row groups."""
-    return once(spark, sf_dir, "cleaned", lambda: orders.clean(view(spark, sf_dir, "orders_v"), TODAY).sortWithinPartitions("order_date"))
+    return once(spark, sf_dir, "cleaned", lambda: orders.clean(order_lines(spark, sf_dir), TODAY, by="l_orderkey"))
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sales base with category and sub-category."""
 
     def make() -> DataFrame:
-        styles = view(spark, sf_dir, "attributes_v").select("style", "category", "sub_category")
+        # written first, so that its own size and not that of all parts decides how it is joined
+        styles = once(spark, sf_dir, "styles", lambda: view(spark, sf_dir, "attributes_v").select("style", "category", "sub_category").coalesce(1))
         return orders.sales_base(cleaned(spark, sf_dir)).join(styles, "style", "left").fillna("Unclassified", ["category", "sub_category"])
 
     return once(spark, sf_dir, "sales", make)

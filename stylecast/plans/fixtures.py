@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 #: The last order date of the shared tables; taken as now.
@@ -22,6 +22,24 @@ _DESIGNS = """d AS (
                                    WHEN 3 THEN 'L' WHEN 4 THEN 'XL' ELSE 'XXL' END END AS sz
   FROM part)"""
 
+#: Columns of orders_v as the view has them.
+_SKU = """CASE WHEN p_partkey % 97 = 0 THEN 'INACTIVE-04'
+            WHEN p_partkey % 89 = 0 THEN concat(dn, '-', sz, ' & K-9301-34')
+            WHEN p_partkey % 43 = 0 THEN concat(dn, '-', sz, '-A')
+            WHEN p_partkey % 41 = 0 THEN concat(dn, '_', sz)
+            ELSE concat(dn, '-', sz) END"""
+_STATUS = """CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'Return Received'
+            WHEN l_returnflag = 'R' THEN 'RTO In Transit'
+            WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Delivered'
+            WHEN l_returnflag = 'A' THEN 'Shipped'
+            WHEN l_linestatus = 'F' THEN 'Manifested'
+            WHEN o_orderstatus = 'P' THEN 'Cancelled'
+            ELSE 'In Transit' END"""
+_CHANNEL = """CASE o_orderpriority WHEN '1-URGENT' THEN 'Entity A - Amazon FBA' WHEN '2-HIGH' THEN 'Entity B - Flipkart'
+            WHEN '3-MEDIUM' THEN 'Entity A - Myntra' WHEN '4-NOT SPECIFIED' THEN 'Entity C - Wishlink'
+            ELSE 'mokosh.in' END"""
+_SOURCE = "CASE WHEN o_orderpriority = '5-LOW' THEN 'WEBSITE' ELSE 'OMS' END"
+
 VIEWS = {
     "orders_v": """WITH d AS (
   SELECT p_partkey, p_brand, p_type, p_name,
@@ -113,3 +131,33 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if t in VIEWS[name]:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(VIEWS[name])
+
+
+#: Order lines that a task joins and sorts: their wide rows take some 150 MB.
+LINES_A_TASK = 300_000
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of orders_v and l_orderkey, by which they are dealt out.
+
+    The view joins line by line in the order of its text, which moves all lines once for each
+    large table.  Here customers are joined to orders, and parts and suppliers to the few columns of
+    a line that are read, before lines and orders meet; names come last, when rows move no more.
+    """
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    lines = table("lineitem")
+    tasks = max(-(-lines.count() // LINES_A_TASK), spark.sparkContext.defaultParallelism)
+    table("part").createOrReplaceTempView("part")
+    designs = VIEWS["orders_v"].split("\nSELECT")[0]  # the view's own, by part
+    skus = spark.sql(f"{designs} SELECT p_partkey, p_brand, {_SKU} AS product_sku_code FROM d")
+    lines = lines.selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "CAST(l_quantity AS INT) AS qty", "l_extendedprice AS total", "l_returnflag", "l_linestatus")
+    lines = lines.join(skus, F.col("l_partkey") == F.col("p_partkey")).join(table("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).drop("p_partkey", "l_suppkey", "s_suppkey")
+    sold = table("orders").selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "CAST(o_orderdate AS DATE) AS order_date", "o_orderpriority")
+    sold = sold.join(table("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).withColumn("c_custkey", F.col("c_custkey") % 40)
+    places = table("nation").join(F.broadcast(table("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")  # a row a nation
+    rows = lines.repartition(tasks, "l_orderkey").join(sold.drop("o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.selectExpr(
+        "product_sku_code", "concat('LST-', CAST(l_partkey AS STRING)) AS listing_sku_code", "qty", f"{_STATUS} AS order_status", "order_date", "total", "n_name AS buyer_state",
+        "concat(r_name, ' ', CAST(c_custkey AS STRING)) AS buyer_city", "concat('FC', CAST(s_nationkey AS STRING)) AS warehouse_name", f"{_CHANNEL} AS channel_name", f"{_SOURCE} AS source", "p_brand AS brand_name",
+        "c_mktsegment AS category_name", "CAST(l_orderkey AS STRING) AS channel_order_id", "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS channel_sub_order_id", "l_orderkey",
+    )

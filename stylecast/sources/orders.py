@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import calendar, keys
 
@@ -42,10 +42,18 @@ def without_channel(df: DataFrame, word: str) -> DataFrame:
     return df.where(~F.coalesce(F.lower("channel_name").contains(word.lower()), F.lit(False)))
 
 
-def clean(df: DataFrame, today: date, excluded_channel: str = "shopify") -> DataFrame:
-    """Order lines without combos, placeholders, the excluded channel, future orders, missing SKUs and exact repeats."""
+def clean(df: DataFrame, today: date, excluded_channel: str = "shopify", by: str | None = None) -> DataFrame:
+    """Order lines without combos, placeholders, the excluded channel, future orders, missing SKUs and exact repeats.
+
+    by: a column that equal lines share and that the lines are dealt out by.  It goes; repeats are
+    then dropped where they lie, in the one sort that leaves each task's lines in the order of their dates.
+    """
     rows = without_channel(without_placeholders(without_combos(df)), excluded_channel)
-    return rows.where(F.col("product_sku_code").isNotNull() & (F.col("order_date") <= F.lit(today))).dropDuplicates()
+    rows = rows.where(F.col("product_sku_code").isNotNull() & (F.col("order_date") <= F.lit(today)))
+    if by is None:
+        return rows.dropDuplicates()
+    alike = Window.partitionBy("order_date", by, *(c for c in rows.columns if c not in ("order_date", by))).orderBy(by)
+    return rows.withColumn("_before", F.lag(F.lit(True)).over(alike)).where(F.col("_before").isNull()).drop("_before", by)
 
 
 def labelled(df: DataFrame) -> DataFrame:
@@ -82,8 +90,6 @@ def calendar_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def attribute_sheet(rows: DataFrame, style_col: str, order_col: str, columns: tuple[str, ...]) -> DataFrame:
     """The first row of each style, values that stand for nothing as empty strings."""
-    from pyspark.sql import Window
-
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(F.upper(F.trim(F.col(style_col)))).orderBy(order_col))).where("_r = 1")
     return first.select(F.upper(F.trim(F.col(style_col))).alias("style"), *(keys.clean_display(F.col(c)).alias(c) for c in columns))
 
