@@ -33,7 +33,7 @@ FOLDS, FOLD = 5, 1
 #: Sequences, and words, whose values are broadcast: 16 bytes each.
 COMMON = {0: 1 << 20, 1: 1 << 18}
 #: Bytes of text in a step that counts, if it is more than one text.
-STEP = 1 << 23
+STEP = 1 << 22
 GRAM, WORD = 0, 1
 #: The key of the token that ends each text.
 END_WORD = 0x656E64
@@ -55,10 +55,15 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     line[inside] = data
     inside[ends] = True
     line[ends] = 0xFF  # no UTF-8 text has this byte
-    out = line.astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        out[k:] |= line[:-k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
-    return out[inside], offsets[:-1] + np.arange(texts)
+    where = np.flatnonzero(inside)
+    out = np.empty(len(where), np.uint64)
+    for i in range(0, len(where), 1 << 18):  # a part at a time: wide numbers of all bytes would take several times the result
+        at = where[i : i + (1 << 18)]
+        part = line[at].astype(np.uint64)
+        for k in range(1, DEPTH + 1):
+            part |= line[at - k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
+        out[i : i + len(at)] = part
+    return out, offsets[:-1] + np.arange(texts)
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

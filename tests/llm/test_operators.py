@@ -498,3 +498,26 @@ def test_line_dedup_of_short_lines(spark):
     got = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in lines.deduplicated(df).collect())
     assert got == [(0, "Yes.", 1, 0), (1, "Yes.\n\t\nno word above", 3, 0), (2, "Yex.\n\t\n", 4, 1), (2, "Yex.\n\t\n", 4, 1)]
     assert lines.deduplicated(df.limit(0)).count() == 0
+
+
+def test_the_sequences_of_a_step_fit_a_worker():
+    import tracemalloc
+
+    import numpy as np
+
+    from stylecast.llm import tree_weighting as ctw
+
+    data = np.random.default_rng(1).integers(1, 255, ctw.STEP, dtype=np.uint8)
+    offsets = np.array([0, 5, 5, 1 << 20, ctw.STEP])
+    tracemalloc.start()
+    got, first = ctw.grams(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert first.tolist() == [0, 6, 7, (1 << 20) + 3]
+    for i, j, at in zip(offsets[:-1], offsets[1:], first):
+        line = bytes(ctw.DEPTH) + data[i:j].tobytes() + b"\xff"
+        for k in {0, 1, 4, int(j - i) // 2, int(j - i)}:
+            if k <= j - i:
+                seen = line[k : k + ctw.DEPTH + 1]
+                assert int(got[at + k]) == int.from_bytes(seen[:-1][::-1] + seen[-1:], "big")
