@@ -26,6 +26,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches, give_back
+
 #: Characters of a part that is encoded at once.
 PART_CHARS = 4096
 #: Characters of a text from which its parts are spread over tasks, and of such a part.
@@ -194,6 +196,7 @@ def _digests(c: TreeCoder, texts: list[str], ids: list[np.ndarray]) -> list:
 
 def _coded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, spread_chars: int, fields: str, finish) -> DataFrame:
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(x.split()[0] for x in fields.split(", "))]
@@ -207,6 +210,8 @@ def _coded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, spr
             texts = batch.column(1).to_pylist()
             for s in _slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], *finish(c, texts[s], c.encode(texts[s]))], names=names)
+            del texts
+            give_back()  # encoding takes many times what its ids do
 
     def spread(batches):
         import pyarrow as pa

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -9,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one numpy step works on; a longer single text is one step of its own.
 STEP_BYTES = 1 << 21
+#: Bytes of text over which the running sum of ``span_hashes`` goes at once, unless one span is longer.
+HASH_BYTES = 1 << 18
+#: Bytes of an Arrow batch, a little under the power of two to which its buffers grow.
+BATCH_BYTES = 14 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python are bounded in bytes, not in rows alone, whose texts may be long; a value that the session has stays."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow frame with a reliable checkpoint."""
     shared_dir(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage of a wide frame: written as Parquet into the shared folder and read again."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,7 +74,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i < n at least."""
     if len(_powers[0]) < n:
-        m = max(n, STEP_BYTES + 64)
+        m = max(1 << n.bit_length(), HASH_BYTES + 64)
         for k, base in enumerate((_P, _P_INV)):
             x = np.full(m, np.uint64(base))
             x[0] = 1
@@ -94,11 +108,19 @@ def ink_spans(ink: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold_case: bool) -> np.ndarray:
-    """A 64-bit polynomial hash of each span, from one running sum over the bytes."""
-    up, down = _power_tables(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_FOLDED if fold_case else _BYTE)[data] * up[: len(data)], out=run[1:])
-    return mix((run[stops] - run[starts]) * down[starts] ^ (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit polynomial hash of each span, from a running sum over the bytes of some spans at a time."""
+    out, code, i = np.empty(len(starts), np.uint64), _BYTE_FOLDED if fold_case else _BYTE, 0
+    ordered = bool((starts[1:] >= starts[:-1]).all() and (stops[1:] >= stops[:-1]).all())
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + HASH_BYTES, side="right"))) if ordered else len(starts)
+        low, high = (int(starts[i]), int(stops[j - 1])) if ordered else (int(starts.min()), int(stops.max()))
+        up, down = _power_tables(high - low + 1)
+        run = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(code[data[low:high]] * up[: high - low], out=run[1:])
+        a, b = starts[i:j] - low, stops[i:j] - low
+        out[i:j] = mix((run[b] - run[a]) * down[a] ^ (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -128,6 +150,16 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hash
     return np.unique(of, return_index=True)[1], of
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers wait for their next task beside others that need it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def steps(offsets: np.ndarray, most: int = STEP_BYTES):
     """(first, last) text of each step: consecutive texts of so many bytes together, one text at least."""
     i, n = 0, len(offsets) - 1
@@ -135,6 +167,8 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    if n and offsets[n] - offsets[0] > most >> 2:
+        give_back()
 
 
 def string_buffer(column) -> tuple[np.ndarray, np.ndarray]:

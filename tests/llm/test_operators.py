@@ -521,3 +521,39 @@ def test_the_sequences_of_a_step_fit_a_worker():
             if k <= j - i:
                 seen = line[k : k + ctw.DEPTH + 1]
                 assert int(got[at + k]) == int.from_bytes(seen[:-1][::-1] + seen[-1:], "big")
+
+
+def test_span_hashes_go_over_a_part_of_the_bytes_at_a_time():
+    """A running sum over a whole step took some 25 times its bytes; spans longer than a part and spans out of order have the same hashes."""
+    import tracemalloc
+
+    import numpy as np
+
+    from stylecast.llm import common
+
+    rng = np.random.default_rng(3)
+    data = rng.choice(np.frombuffer(b"abcdefG ", np.uint8), 1 << 22)
+    data[1_000_000:1_400_000] = ord("x")
+    starts, stops = common.word_spans(data, np.array([700, len(data)]))
+    common.span_hashes(data, starts, stops, fold_case=True)  # so that the tables of powers are there
+    tracemalloc.start()
+    got = common.span_hashes(data, starts, stops, fold_case=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(starts) + (32 << 20)
+    turned = np.arange(len(starts))[::-1]
+    assert (common.span_hashes(data, starts[turned], stops[turned], fold_case=True)[turned] == got).all()
+    assert len({(bytes(data[a:b]).lower(), h) for a, b, h in zip(starts.tolist()[:50_000], stops.tolist(), got.tolist())}) == len({bytes(data[a:b]).lower() for a, b in zip(starts.tolist()[:50_000], stops.tolist())})
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    from stylecast.llm import common
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    rows = spark.range(40).coalesce(1).selectExpr("repeat('x', 1000000) AS text")
+    assert common.written(rows.mapInArrow(sizes, "n long"), "sizes").agg({"n": "max"}).first()[0] < 1.2 * common.BATCH_BYTES
