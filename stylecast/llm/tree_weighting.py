@@ -32,8 +32,8 @@ DEPTH, SPLIT = 5, 3
 FOLDS, FOLD = 5, 1
 #: Sequences, and words, whose values are broadcast: 16 bytes each.
 COMMON = {0: 1 << 20, 1: 1 << 18}
-#: Bytes of text in a step that counts, if it is more than one text.
-STEP = 1 << 22
+#: Bytes of text in a step that counts, and in one that scores, if it is more than one text.
+STEP, SCORE_STEP = 1 << 21, 1 << 20
 GRAM, WORD = 0, 1
 #: The key of the token that ends each text.
 END_WORD = 0x656E64
@@ -263,7 +263,7 @@ def _parts(texts: DataFrame, common) -> DataFrame:
 
         for batch in batches:
             data, offsets = string_buffer(batch.column(2))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, SCORE_STEP):
                 own, m = offsets[i : j + 1] - offsets[i], j - i
                 part = _FOLD[data[offsets[i] : offsets[j]]]
                 g, first = grams(part, own)

@@ -197,3 +197,17 @@ def test_tree_weighting_on_odd_rows(spark, odd):
     assert tree_weighting.scored(odd.limit(0)).count() == 0
     alone = tree_weighting.scored(odd.where("doc_id = 4").limit(1)).first()
     assert alone.n_tokens == 3
+
+
+def test_tree_weighting_steps_are_small(spark):
+    """What sorting a step's sequences takes, about twelve numbers of eight bytes a byte of text, has to fit beside another worker's."""
+    import tracemalloc
+
+    for step in (tree_weighting.STEP, tree_weighting.SCORE_STEP):
+        data = np.random.default_rng(4).integers(97, 123, step).astype(np.uint8)
+        tracemalloc.start()
+        sequences, _ = tree_weighting.grams(data, np.array([0, step]))
+        np.unique(sequences, return_inverse=step == tree_weighting.SCORE_STEP)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 << 20
