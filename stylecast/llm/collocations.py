@@ -3,8 +3,9 @@
 Texts are lower-cased (A-Z), split into pieces at punctuation and line ends, pieces into words.
 Prefix polynomials over the words of a step of texts give the 64-bit fingerprint of every
 n-gram by one subtraction.  Fingerprints, counted within the step, are shuffled with a second
-fingerprint of 32 bits and a pointer to an occurrence, and added up by language.  Only phrases
-that are frequent are ever made into text, from their pointers.
+fingerprint of 32 bits and added up by language.  Only phrases that are frequent are ever made
+into text, from pointers to an occurrence of each.  These are looked for last: in the texts of
+smallest hash, ``1 / FIRST_TEXTS`` of all, and, for phrases that aren't there, in all texts.
 
 Lengths are counted one pass after the other: an n-gram is shuffled only if the shorter ones
 in it are frequent, as it can't be frequent otherwise.  They are looked up in a filter of bounded
@@ -36,6 +37,8 @@ PASSES = (((1,), 0), ((2,), 1), ((3,), 2), ((4, 5), 3))
 LEAST, TOP = 100, 2000
 #: Bytes of text in a step of more than one text; pointers' texts that are broadcast (their hashes), others are joined by shuffling.
 STEP, BROADCAST_TEXTS = 1 << 21, 1 << 20
+#: The part of the texts in which pointers are looked for first, and bits a phrase in the filters of both turns.
+FIRST_TEXTS, POINTER_BITS = 32, (1 << 7, 1 << 12)
 #: What ends a piece, and what stands between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -82,32 +85,27 @@ class _Step:
         return np.flatnonzero(self.piece[:m] == self.piece[n - 1 : n - 1 + m])
 
     def counted(self, n: int, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the n-grams that begin at these words: fingerprint, second one, how often, first place."""
+        """Of the n-grams that begin at these words: fingerprint, second one, how often, first word."""
         h = self.prints(n, 0, at)
         _, first, of, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         rep = at[first]
         if not all(np.array_equal(self.word[at + k], self.word[rep + k][of]) for k in range(n)):
             _, first, count = np.unique(np.stack([self.word[at + k] for k in range(n)], 1), axis=0, return_index=True, return_counts=True)
             rep = at[first]
-        order = np.argsort(rep)  # in the order of the texts, so that pointers to one text stand together, which makes the shuffle smaller
-        rep, count = rep[order], count[order]
         return self.prints(n, 0, rep), self.prints(n, 1, rep).astype(np.uint32), count, rep
 
 
 #: The fingerprints hold the language, which the text of the pointer has itself.
-ROWS = "n int, h long, h2 int, f long, text_key long, place long"
+ROWS, POINTERS = "n int, h long, h2 int, f long", "n int, h long, h2 int, text_key long, place long"
 
 
-def _counted(texts: DataFrame, lengths: tuple[int, ...], within: int, parents) -> DataFrame:
-    """Each step's n-grams of these lengths, if all shorter ones of length ``within`` are in the filter; n = 0: all words of the step."""
+def _over_steps(texts: DataFrame, make, schema: str) -> DataFrame:
+    """mapInArrow over steps of texts of one language, those of smallest hash first: make(step, text hashes) gives arrays (n, h, h2, ..)."""
 
-    def count(batches):
+    def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        def rows(n, h, h2, f, key, place):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(f.astype(np.int64)), pa.array(key), pa.array(place)], names=[c.split()[0] for c in ROWS.split(", ")])
-
         def of_lang(lang, part):
             keys = part.column(1).to_numpy()
             order = np.argsort(keys, kind="stable")  # so that the first occurrence is in the text of smallest hash
@@ -118,19 +116,8 @@ def _counted(texts: DataFrame, lengths: tuple[int, ...], within: int, parents) -
                 step = _Step(data[own[0] : own[-1]], own - own[0], lang)
                 if not len(step.word):
                     continue
-                if 1 in lengths:
-                    yield rows(0, np.array([step.key]), np.zeros(1, np.uint32), np.array([len(step.word)]), keys[i : i + 1], np.zeros(1, np.int64))
-                if within:
-                    parent = found(parents.value, step.prints(within))
-                for n in lengths:
-                    at = step.grams(n)
-                    for k in range(n - within + 1) if within else ():
-                        at = at[parent[at + k]]
-                    if len(at):
-                        h, h2, f, rep = step.counted(n, at)
-                        begin = step.offsets[step.text[rep]]
-                        place = (step.starts[rep] - begin) << 31 | step.stops[rep + n - 1] - step.starts[rep]
-                        yield rows(n, h, h2, f, keys[i + step.text[rep]], place)
+                for n, h, h2, *others in make(step, keys[i:j]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int32)), *(pa.array(x.astype(np.int64)) for x in others)], names=[c.split()[0] for c in schema.split(", ")])
 
         for batch in batches:
             langs = pc.dictionary_encode(batch.column(0))
@@ -138,7 +125,56 @@ def _counted(texts: DataFrame, lengths: tuple[int, ...], within: int, parents) -
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 yield from of_lang(lang, batch.take(pa.array(np.flatnonzero(code == k))))
 
-    return texts.mapInArrow(count, ROWS)
+    return texts.mapInArrow(run, schema)
+
+
+def _counted(texts: DataFrame, lengths: tuple[int, ...], within: int, parents) -> DataFrame:
+    """Each step's n-grams of these lengths, if all shorter ones of length ``within`` are in the filter; n = 0: all words of the step."""
+
+    def count(step, keys):
+        if 1 in lengths:
+            yield 0, np.array([step.key]), np.zeros(1, np.uint32), np.array([len(step.word)])
+        if within:
+            parent = found(parents.value, step.prints(within))
+        for n in lengths:
+            at = step.grams(n)
+            for k in range(n - within + 1) if within else ():
+                at = at[parent[at + k]]
+            if len(at):
+                yield n, *step.counted(n, at)[:3]
+
+    return _over_steps(texts, count, ROWS)
+
+
+def _occurrences(texts: DataFrame, wanted) -> DataFrame:
+    """An occurrence within each step of the n-grams in the filter; n = 0: a text of the step."""
+
+    def point(step, keys):
+        yield 0, np.array([step.key]), np.zeros(1, np.uint32), keys[:1], np.zeros(1, np.int64)
+        for n in range(1, max(PASSES[-1][0]) + 1):
+            at = step.grams(n)
+            at = at[found(wanted.value, step.prints(n, 0, at))]
+            if len(at):
+                h, h2, _, rep = step.counted(n, at)
+                begin = step.offsets[step.text[rep]]
+                yield n, h, h2, keys[step.text[rep]], (step.starts[rep] - begin) << 31 | step.stops[rep + n - 1] - step.starts[rep]
+
+    return _over_steps(texts, point, POINTERS)
+
+
+def _pointed(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """The phrases (n, h, h2, f) with text_key, place: an occurrence in the text of smallest hash that has one."""
+    done, missing = None, phrases
+    for few, bits in zip((True, False), POINTER_BITS, strict=True):
+        part = texts.where(F.col("text_key") < -(1 << 63) + (1 << 64) // FIRST_TEXTS) if few else texts
+        at = _occurrences(part, key_filter(missing, per_key=bits)).groupBy("n", "h", "h2").agg(F.min("text_key").alias("text_key"), F.min_by("place", "text_key").alias("place"))
+        here = written(missing.join(at, ["n", "h", "h2"], "left"), "pointed")
+        found_ = here.where(F.col("text_key").isNotNull())
+        done = found_ if done is None else done.unionByName(found_)
+        missing = here.where(F.col("text_key").isNull()).drop("text_key", "place")
+        if missing.isEmpty():
+            break
+    return done
 
 
 def _agrees(rows: DataFrame) -> DataFrame:
@@ -164,10 +200,10 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     texts = texts.select("lang", F.xxhash64("lang", "text").alias("text_key"), "text")
     levels, parents = [], None
     for lengths, within in PASSES:
-        sums = _counted(texts, lengths, within, parents).groupBy("n", "h", "h2").agg(F.sum("f").alias("f"), F.min("text_key").alias("text_key"), F.min_by("place", "text_key").alias("place"))
+        sums = _counted(texts, lengths, within, parents).groupBy("n", "h", "h2").agg(F.sum("f").alias("f"))
         levels.append(written(sums.where((F.col("f") >= least) | (F.col("n") == 0)), "phrases"))
         parents = key_filter(levels[-1].where(F.col("n") == max(lengths)))
-    all_ = reduce(DataFrame.unionByName, levels)
+    all_ = _pointed(reduce(DataFrame.unionByName, levels), texts)
     pointed = all_.groupBy("text_key").agg(F.collect_list(F.struct("n", "h", "h2", "f", "place")).alias("places"))  # of one text
     pointed = written(pointed, "pointers")
     keys = pointed.select("text_key")

@@ -1,6 +1,6 @@
 """A filter of 64-bit keys that tasks look into: what it lets through is counted exactly later.
 
-One bit a key, in a map of 16 bits a key and at most 2^``MOST`` bits (32 MB), however many
+One bit a key, in a map of 16 bits a key, or as many as asked for, and at most 2^``MOST`` bits (32 MB), however many
 keys there are.  The map is put together by Spark and only its words that aren't zero come
 to the driver.  A key that was put in is always found; others are let through at a rate of
 one in sixteen, more if there are over 2^24 keys, which costs time and changes no result.
@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 LEAST, MOST = 16, 28
 
 
-def key_filter(keys: DataFrame, col: str = "h"):
+def key_filter(keys: DataFrame, col: str = "h", per_key: int = 16):
     """A Spark broadcast of the map of the keys (a long column, well mixed), for ``found``."""
-    bits = int(np.clip(np.ceil(np.log2(16 * max(1, keys.count()))), LEAST, MOST))
+    bits = int(np.clip(np.ceil(np.log2(per_key * max(1, keys.count()))), LEAST, MOST))
     slot = F.shiftrightunsigned(F.col(col), 64 - bits)
     words = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - bits}) & 63 AS int))")).alias("bits"))
     got = words.toArrow()

@@ -211,3 +211,13 @@ def test_tree_weighting_steps_are_small(spark):
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 100 << 20
+
+
+@pytest.mark.parametrize("first", [2, 1 << 50])
+def test_collocations_point_to_texts_in_two_turns(spark, monkeypatch, first):
+    """Counts are shuffled without pointers; phrases that the first texts lack are looked for in all."""
+    assert len(collocations.ROWS.split(", ")) == 4
+    monkeypatch.setattr(collocations, "FIRST_TEXTS", first)
+    docs, rows = corpus(spark, 6, 120, WORDS)
+    got = sorted((tuple(r) for r in collocations.collocations(docs, least=8).collect()), key=str)
+    assert got and got == by_sql(collocations.COLLOCATIONS_SQL, rows, 8, collocations.LEAST)
