@@ -19,25 +19,39 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import sys
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, give_back
+from .common import _WHITE, bounded_batches, give_back, spread, string_buffer
 
 #: Characters of a part that is encoded at once.
 PART_CHARS = 4096
 #: Characters of a text from which its parts are spread over tasks, and of such a part.
 SPREAD_CHARS = 1 << 15
 #: Bytes of units and their ids that a worker remembers before it starts anew, their place in the dictionary included,
-#: and characters of a unit at most: longer ones (parts without single blanks) hardly recur.
-HELD_BYTES, HELD_CHARS, ENTRY_BYTES = 80 << 20, 64, 100
+#: and bytes of a unit at most: longer ones (parts without white space or signs) hardly recur.
+HELD_BYTES, HELD_CHARS, ENTRY_BYTES = 80 << 20, 64, 140
 #: Tokens that must agree at each end of a window.
 AGREE = 2
-_BLANK_PAIR = re.compile(r"\s ")
+#: Bytes of new units that are encoded in a row.
+ROW_BYTES = 1 << 15
+#: ASCII letters, and what else ASCII has to see.
+_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+_SIGN = np.array([0x21 <= b < 0x7F for b in range(256)]) & ~_LETTER
+
+
+def _inked(x: np.ndarray) -> np.ndarray:
+    """Bytes that surely end a character other than white space, if they end one; of the others some may, too."""
+    out = ~_WHITE[x]
+    out[(x >= 0x1C) & (x <= 0x1F)] = False
+    # U+0085, U+00A0 and their like: two bytes from C2, or three from E1 to E3
+    out[1:] &= (x[1:] < 0x80) | (x[:-1] != 0xC2)
+    three = (x[:-2] >= 0xE1) & (x[:-2] <= 0xE3)
+    out[2:] &= (x[2:] < 0x80) | ~three
+    return out
 
 
 class TreeCoder:
@@ -55,9 +69,8 @@ class TreeCoder:
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("a byte-level BPE file without normaliser and prefix space is needed")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.splits = not any(" " in t for t in self.special) and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.splits = spec["pre_tokenizer"].get("use_regex", True) and not any(" " in t for t in self.special) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        self._forget()
         size = self.lib.get_vocab_size()
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         other = [b for b in range(256) if b not in set(plain)]
@@ -80,35 +93,90 @@ class TreeCoder:
             return [text] if text else []
         return self.parts(text[:k], most) + self.parts(text[k:], most)
 
-    def leaves(self, texts: list[str]) -> list[np.ndarray]:
+    def leaves(self, parts: list[bytes]) -> list[np.ndarray]:
         """Token ids of each part, from those of its units.
 
-        A byte-level pre-token never runs from a non-blank into a blank, so that a part may be
-        split before each single blank; short units' ids are remembered, as most of them recur.
+        Each distinct unit of these parts is looked up once; short units' ids are remembered, as most of them recur.
         """
-        split = [self._units(t) for t in texts]
+        import pyarrow as pa
+
+        data, ends = b"".join(parts), np.cumsum(list(map(len, parts)))
+        if not data:
+            return [np.zeros(0, np.int64) for _ in parts]
+        at = self._cuts(data, ends)
+        units = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         if self.held > HELD_BYTES:
-            self.known.clear()
-            self.held = 0
-        new = list(set().union(*split).difference(self.known))
-        once = {}  # units of these parts only
-        if new:
-            for u, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids = np.asarray(e.ids, "<u4").tobytes()
-                if len(u) > HELD_CHARS:
-                    once[u] = ids
-                else:
-                    self.known[u] = ids
-                    self.held += sys.getsizeof(u) + sys.getsizeof(ids) + ENTRY_BYTES
-        of = (lambda u: once[u] if u in once else self.known[u]) if once else self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, u)), "<u4").astype(np.int64) for u in split]
-
-    def _units(self, text: str) -> list[str]:
-        if not self.splits or _BLANK_PAIR.search(text):
-            return [text] if text else []
-        first, *rest = text.split(" ")
-        units = [" " + u for u in rest]
-        return [first, *units] if first else units
+            self._forget()
+        distinct, get = units.dictionary.to_pylist(), self.known.get
+        number = np.fromiter((get(u, -1) for u in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        ids, begin = self.ids, self.begin
+        if len(new):
+            new, ids_of, n_ids, short = self._ids_of(units.dictionary, new)
+            number[new] = len(self.known) + np.arange(len(new))
+            ids, begin = np.concatenate([ids, ids_of]), np.concatenate([begin, begin[-1] + np.cumsum(n_ids)])
+            # the long ones come last and are those of these parts only
+            kept = [distinct[k] for k in new[:short]]
+            self.known.update(zip(kept, number[new[:short]].tolist(), strict=True))
+            self.begin = begin[: len(self.known) + 1].copy()
+            self.held += sum(map(sys.getsizeof, kept)) + short * ENTRY_BYTES + 4 * int(self.begin[-1] - len(self.ids))
+            self.ids = ids[: self.begin[-1]].copy()
+        code = units.indices.to_numpy()
+        start, n = begin[number][code], (begin[number + 1] - begin[number])[code]
+        bounds = np.r_[0, np.cumsum(n)][np.searchsorted(at, ends)]
+        return np.split(ids[spread(start, n)].astype(np.int64), bounds[:-1])
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.held = 0
+
+    def _ids_of(self, units, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The new ones of distinct units in another order, their ids back to back, how many each has, and how many come first that are short."""
+        import pyarrow as pa
+
+        data, offsets = string_buffer(units)
+        first, last = data[offsets[new]], offsets[new + 1] - 1
+        long = offsets[new + 1] - offsets[new] > HELD_CHARS
+        # those that may follow one another in one text: each starts with a blank and ends in something else
+        apart = long | (first != 0x20) | ~_inked(data)[last]
+        order = np.argsort(apart + 1 * long, kind="stable")
+        new, n_row = new[order], int((~apart).sum())
+        ids, n_ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        if n_row:
+            row, stops = string_buffer(units.take(pa.array(new[:n_row])))
+            j = 0
+            while (i := j) < n_row:
+                j = max(i + 1, int(np.searchsorted(stops, stops[i] + ROW_BYTES)) - 1)
+                got = np.asarray(self.lib.encode_batch_fast([row[stops[i] : stops[j]].tobytes().decode()], add_special_tokens=False)[0].ids, np.int32)
+                # a unit's last token ends where the unit ends
+                n = np.searchsorted(np.cumsum(self.n_bytes[got]), stops[i : j + 1] - stops[i], side="right")
+                ids.append(got)
+                n_ids.append(np.diff(n))
+        for e in self.lib.encode_batch_fast([u.decode() for u in units.take(pa.array(new[n_row:])).to_pylist()], add_special_tokens=False) if n_row < len(new) else ():
+            ids.append(np.asarray(e.ids, np.int32))
+            n_ids.append(np.array([len(ids[-1])]))
+        return new, np.concatenate(ids), np.concatenate(n_ids), int((~long).sum())
+
+    def _cuts(self, data: bytes, ends: np.ndarray) -> np.ndarray:
+        """Where units begin, and where the last one ends: places that no pre-token of a byte-level file runs across, however
+        the text goes on at either side, and that don't lie in a special string."""
+        x = np.frombuffer(data, np.uint8)
+        cut = np.zeros(len(x) + 1, bool)
+        if self.splits:
+            ink = _inked(x)
+            # before white space, between an ASCII letter and a digit or sign, after a line break that stands alone
+            cut[1:-1] = ink[:-1] & _WHITE[x[1:]] | _LETTER[x[:-1]] & _SIGN[x[1:]]
+            cut[2:-1] |= (x[1:-1] == 0x0A) & ink[:-2] & (_LETTER | _SIGN)[x[2:]]
+            for s in self.special:
+                s = s.encode()
+                k = data.find(s)
+                while k >= 0:
+                    cut[k + 1 : k + len(s)] = False
+                    k = data.find(s, k + 1)
+        cut[0] = True
+        cut[ends] = True
+        return np.flatnonzero(cut)
 
     def joined(self, sides: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
         """The tokens of neighbouring parts together: level by level, two by two."""
@@ -137,7 +205,9 @@ class TreeCoder:
             j = self._edge(right, stop, min(len(ys), reach), 1)
             at_start, at_end = i == 0 and len(xs) == len(x), j == len(ys) and len(ys) == len(y)
             window = left[begin[i] :] + right[: stop[j]]
-            if (at_start or left[begin[i]] & 0xC0 != 0x80) and (at_end or right[stop[j]] & 0xC0 != 0x80):
+            # white space at a text's end is one pre-token, before other characters it is two
+            inked = at_end or _inked(np.frombuffer(right[max(0, stop[j] - 3) : stop[j]], np.uint8))[-1]
+            if inked and (at_start or left[begin[i]] & 0xC0 != 0x80) and (at_end or right[stop[j]] & 0xC0 != 0x80):
                 z = np.asarray(self.lib.encode(window.decode(), add_special_tokens=False).ids, np.int64)
                 agree_left = at_start or (len(xs) - i >= AGREE and np.array_equal(z[:AGREE], xs[i : i + AGREE]))
                 agree_right = at_end or (j >= AGREE and np.array_equal(z[-AGREE:], ys[j - AGREE : j]))
@@ -147,9 +217,9 @@ class TreeCoder:
 
     def encode(self, texts: list[str], part_chars: int = PART_CHARS) -> list[np.ndarray]:
         """Token ids of each text."""
-        trees = [self.parts(t, part_chars) for t in texts]
+        trees = [[p.encode() for p in self.parts(t, part_chars)] for t in texts]
         ids = iter(self.leaves([p for t in trees for p in t]))
-        return [self.joined([(p.encode(), next(ids)) for p in t]) for t in trees]
+        return [self.joined([(p, next(ids)) for p in t]) for t in trees]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -160,7 +230,7 @@ def coder(path: str) -> TreeCoder:
     return TreeCoder(path)
 
 
-def _slices(texts: list[str], most: int = 1 << 19):
+def _slices(texts: list[str], most: int = 1 << 20):
     i = held = 0
     for j, t in enumerate(texts):
         if held and held + len(t) > most:

@@ -104,6 +104,44 @@ def test_bpe_round_trip(spark, odd):
     assert {(r.text or "") == r.decoded for r in bpe.decoded(ids, path).collect()} == {True}
 
 
+def test_bpe_gives_the_library_each_distinct_word_once():
+    """Words with different signs, digits and line breaks beside them: they are looked up without these."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, given = Tokenizer.from_file(path), []
+
+    class Counting:
+        def encode(self, text, **more):
+            given.append(len(text))
+            return lib.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(map(len, texts))
+            return lib.encode_batch_fast(texts, **more)
+
+    words = ["".join(random.Random(k).choice("abcdefgh") for _ in range(12)) for k in range(40)]
+    text = " ".join(w + x for x in (*".,;:!?)*$%&|<>", "...", "1", "2", "3", "'s", ".\nThe") for w in words)
+    c = bpe.TreeCoder(path)
+    c.lib = Counting()
+    assert c.encode([text], len(text))[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert sum(given) < len(text) / 5
+
+
+def test_bpe_units_end_where_pretokens_do():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, c = Tokenizer.from_file(path), bpe.TreeCoder(path)
+    blanks = [" ", " ", "  ", "\n", "\n", "\n\n", "\r\n", "\t", "\v", "\f", "\x1c", "\x1f", "\x00", "\x7f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000", "\ufeff"]
+    others = ["a", "The", "é", "ª", "日", "。", "ሴ", "😀", "e\u0301", "٣", "1", "42", "'", "'s", "'ll", "'S", ".", "$$$", "<", "<|endoftext|>", "<|endof", "text|>", "w" * 70]
+    texts = mixed(5, blanks + others, 3000, 12) + mixed(6, [" ", "\n", "a", ".", "é", "\xa0"], 3000, 9)
+    expected = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    for part in (1 << 12, 4):
+        assert [x.tolist() for x in c.encode(texts, part)] == expected
+    assert [c.encode([t])[0].tolist() for t in texts[::5]] == expected[::5]
+
+
 def test_quality_figures(spark, odd):
     texts = mixed(3, ["a", "b ", " ", "\n", "a b c d e ", "é", "#", "日本 ", " ", "x\n"], 400, 40)
 
