@@ -5,8 +5,9 @@ with equal sets form a class, and only the classes' representatives are compared
 sets of similarity 0.8 or more have sizes within a fifth of each other and share one of
 the first fifth of their shingles, in any order that is the same for all.  In that order,
 shingles that many documents begin with come last (how well these are known only bears on
-speed); the others go by their hash.  A tile is the sets of one band of sizes and the band
-above it that share such a shingle.  Within a tile each set only meets the sizes it can be
+speed); the others go by their hash.  If such a shingle is the first that both have, no more
+is shared than follows it in either; sets that no other of the shingle's can be similar to by
+this are dropped.  A tile is the sets of one band of sizes and the band above it that are left.  Within a tile each set only meets the sizes it can be
 similar to, and a parity bitmap of the set bounds the overlap from above: each bit that
 differs is a shingle that only one of both has.  What passes is verified on the whole
 sorted arrays.
@@ -47,6 +48,8 @@ BLOCK, TOGETHER = 1024, 64
 PAIRS_AT_ONCE = 1 << 18
 #: Pairs a set beyond which a tile's best ones come first.
 DENSE = 4
+#: Steps of sizes and of places in which first shingles are shuffled, and documents of a shingle that are compared by these.
+SIZE_STEP, PLACE_STEPS, GROUP = 1.0125, 155, 1 << 16
 #: Growth of sizes from band to band: a little more than two linked sets can differ; and bands of a tile, besides the one above them.
 BAND, BANDS = 1.26, 4
 #: Hash places of wanted documents, a filter of fixed size: beyond it more texts are shuffled, once each at most.
@@ -160,7 +163,7 @@ def common_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def posts(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """h, ids: the documents of a step with h among their first shingles when the common ones come last; one of those with equal sets."""
+    """h, ids, ats: the documents of a step with h among their first shingles when the common ones come last, one of those with equal sets; and h's place in each."""
     texts = _texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
 
     def make(ids, keys, bounds):
@@ -172,16 +175,55 @@ def posts(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col:
         if len(common):
             last = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
         order = np.lexsort((keys, last, of))
-        kept = (np.arange(len(keys)) - np.repeat(bounds[:-1], n) < np.repeat(_prefixes(n), n)) & np.repeat(_distinct(keys, bounds), n)
-        h, of = keys[order][kept], of[kept]
+        place = np.arange(len(keys)) - np.repeat(bounds[:-1], n)
+        kept = (place < np.repeat(_prefixes(n), n)) & np.repeat(_distinct(keys, bounds), n)
+        h, of, place = keys[order][kept], of[kept], place[kept]
         order = np.argsort(h, kind="stable")
-        h, of = h[order], of[order]
+        h, of, at = h[order], of[order], _packed(n[of], place)[order]
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(h)].astype(np.int32)), ids.take(pa.array(of)))
-        return [pa.array(h[starts].view(np.int64)), lists]
+        bounds = pa.array(np.r_[starts, len(h)].astype(np.int32))
+        return [pa.array(h[starts].view(np.int64)), pa.ListArray.from_arrays(bounds, ids.take(pa.array(of))), pa.ListArray.from_arrays(bounds, pa.array(at))]
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return _over_sets(texts, make, f"h long, ids array<{kind}>")
+    return _over_sets(texts, make, f"h long, ids array<{kind}>, ats array<smallint>")
+
+
+def _packed(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Size of a set and a first shingle's place in it in 16 bits: steps of SIZE_STEP, and of PLACE_STEPS to the whole, both rounded down."""
+    return (np.floor(np.log(n) / np.log(SIZE_STEP)).astype(np.int64) << 5 | place * PLACE_STEPS // n).astype(np.uint16).view(np.int16)
+
+
+def _partnered(group: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which sets of a group, all with one shingle, can be linked to another of it if that shingle is the first that both have.
+
+    Of two such sets no more is shared than follows in either; what a link needs grows with both sizes.
+    Rounded sizes and places err on the side of a link.
+    """
+    size, place = at.view(np.uint16).astype(np.int64) >> 5, at.view(np.uint16) & 31
+    order = np.lexsort((size, group))
+    group, size, place = group[order], size[order], place[order]
+    low = SIZE_STEP**size * (1 - 1e-9)
+    # the largest partner that what follows here is enough for
+    most = SIZE_STEP ** (size + 1) * (1 + 1e-9) * (1 - place / PLACE_STEPS) * (100 + PER_CENT) / PER_CENT - low
+    key = group << 12 | size
+    to = np.searchsorted(key, (group << 12) + np.floor(np.log(np.maximum(most, 0.9)) / np.log(SIZE_STEP) + 1e-6).clip(-1, 4095).astype(np.int64), side="right")
+    at = np.arange(len(key))
+    tops = [most]
+    while 2 << len(tops) <= 2 * len(key):
+        half = 1 << len(tops) - 1
+        tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]))
+
+    def top(begin, end):
+        out = np.full(len(begin), -np.inf)
+        level = np.frexp(np.maximum(end - begin, 0))[1] - 1
+        for k in np.unique(level[level >= 0]):
+            x = np.flatnonzero(level == k)
+            out[x] = np.maximum(tops[k][begin[x]], tops[k][end[x] - (1 << k)])
+        return out
+
+    out = np.zeros(len(key), bool)
+    out[order] = np.maximum(top(np.searchsorted(group, group), np.minimum(at, to)), top(at + 1, to)) >= low
+    return out
 
 
 def _prefixes(n: np.ndarray) -> np.ndarray:
@@ -208,28 +250,45 @@ def _fold(x: np.ndarray, to: int) -> np.ndarray:
     return x
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of posts whose shingle several documents have.  One shuffle by shingle; each task runs through its sorted rows."""
+def _shared(rows: DataFrame, most: int = GROUP) -> DataFrame:
+    """h, id: of the rows of posts, the documents that another one's set can be similar to by this shingle.  One shuffle by shingle; each task runs through its sorted rows.
+
+    A shingle of more than ``most`` documents isn't held from batch to batch: those beyond pass.
+    """
+    kind = rows.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        held, known = None, False
+        held, whole = None, None
+
+        def passing(table):
+            if table.num_rows:
+                h, at = table.column("h").to_numpy(), table.column("at").to_numpy()
+                good = _partnered(np.cumsum(np.r_[0, h[1:] != h[:-1]]), at)
+                if whole is not None:
+                    good |= h == whole
+                yield from table.filter(pa.array(good)).select(["h", "id"]).to_batches()
+
         for batch in batches:
-            table = pa.Table.from_batches([b for b in (held, batch.select(["h", "ids"])) if b is not None and b.num_rows])
+            n = batch.column(1).value_lengths().to_numpy()
+            table = pa.table([pa.array(np.repeat(batch.column(0).to_numpy(), n)), batch.column(1).flatten(), batch.column(2).flatten()], names=["h", "id", "at"])
+            table = table if held is None else pa.concat_tables([held, table])
             if not table.num_rows:
                 continue
             h = table.column("h").to_numpy()
-            same = h[1:] == h[:-1]
-            several = np.r_[known, same] | np.r_[same, False] | pc.greater(pc.list_value_length(table.column("ids")), 1).to_numpy()
-            yield from table.slice(0, table.num_rows - 1).filter(pa.array(several[:-1])).to_batches()
-            # whether the last row's shingle is shared may depend on the next batch
-            held, known = table.slice(table.num_rows - 1).combine_chunks().to_batches()[0], bool(several[-1])
-        if known:
-            yield held
+            first = int(np.searchsorted(h, h[-1]))
+            yield from passing(table.slice(0, first))
+            # the last shingle may go on in the next batch
+            held = table.slice(first).combine_chunks()
+            if held.num_rows > most:
+                whole = int(h[-1])  # all of it passes from here on
+                yield from passing(held)
+                held = None
+        if held is not None:
+            yield from passing(held)
 
-    return rows.repartition("h").sortWithinPartitions("h").select("h", "ids").mapInArrow(run, rows.schema)
+    return rows.repartition("h").sortWithinPartitions("h").select("h", "ids", "ats").mapInArrow(run, f"h long, id {kind}")
 
 
 def _differing(bits: list[np.ndarray], words: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -432,7 +491,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # (what grows with the documents is never broadcast, so that the plan is the same at every size)
     # second round: tiles of sets that share a first shingle and are not yet together
     of = kept(of.join(known.withColumnRenamed("id", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("comp")))
-    shared = _shared(posts(docs, common_shingles(docs, id_col, text_col), id_col, text_col)).select("h", F.explode("ids").alias("id"))
+    shared = _shared(posts(docs, common_shingles(docs, id_col, text_col), id_col, text_col))
     band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
     tile = F.floor(band / BANDS).cast("int")
     # the lowest band of a tile is also the one above the tile before

@@ -9,6 +9,7 @@ import time
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -444,6 +445,32 @@ def test_jaccard_on_odd_rows(spark, odd):
     assert jaccard.near_duplicates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows, most", [(10_000, 1 << 16), (3, 1 << 16), (3, 5)])
+def test_jaccard_drops_sets_that_a_shingle_cannot_link(spark, rows, most):
+    """Texts of different sizes with sentences in common: those stay that may have a partner if the shingle is the first of both."""
+    rnd = random.Random(17)
+    sentences = [" ".join(f"s{rnd.randrange(500)}" for _ in range(8)) for _ in range(6)]
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(5, 120))) + " " + " ".join(rnd.sample(sentences, rnd.randrange(4))) for _ in range(400)]
+    texts += [t + " more" * k for t in texts[:40] for k in (1, 2)]
+    data = [t.encode() for t in texts]
+    keys, bounds = jaccard._sets(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum(list(map(len, data)))])
+    first = {}
+    for k, (a, b) in enumerate(itertools.pairwise(bounds.tolist())):
+        for place, h in enumerate(keys[a:b][: (b - a) - ((b - a) * 80 + 99) // 100 + 1].view(np.int64).tolist()):
+            first.setdefault(h, []).append((k, b - a, place))
+    shared = {(h, x[0]) for h, group in first.items() if len(group) > 1 for x in group}
+    linkable = {(h, x) for h, group in first.items() for (x, n, i), (y, m, j) in itertools.permutations(group, 2) if 180 * min(n - i, m - j) >= 80 * (n + m)}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        found = jaccard._shared(jaccard.posts(frame(spark, texts).coalesce(1), np.zeros(0, np.uint64)), most).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {(r.h, r.id) for r in found}
+    assert linkable <= got <= shared and len(found) == len(got)
+    assert most == 5 or len(got - linkable) < len(shared - linkable) / 3
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
     assert {r.component for r in components.components(links).collect()} == {0}
